@@ -5,10 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfmark.llm import mixing, sharding, url_filter
+import public_tokenizers
+
+from shelfmark.llm import fingerprint, mixing, piece_codec, sharding, url_filter
 from shelfmark.llm.common import WORD, table
 
 
+def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.fingerprints(table(spark, sf_dir, "documents"))
+
+
+def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    coded = docs.select("doc_id", piece_codec.encode_decode(F.col("text"), public_tokenizers.path("piece_bpe_32k.model")).alias("r"))
+    return coded.select("doc_id", "r.n_tokens", F.sha2("r.ids", 256).alias("ids_sha256"), F.sha2(F.col("r.decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     text = F.coalesce("text", F.lit(""))
@@ -110,7 +122,9 @@ FROM ruled
 """
 
 QUERIES = {
+    "op4_fingerprints": op4_fingerprints,
     "op6_sharding": op6_sharding,
+    "op7_sentencepiece": op7_sentencepiece,
     "op8_mixing": op8_mixing,
     "op10_url_filter": op10_url_filter,
 }
