@@ -7,14 +7,30 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from shelfmark.llm import fingerprint, mixing, piece_codec, sharding, url_filter
+from shelfmark.llm import fingerprint, mixing, pii, piece_codec, sharding, toxicity, url_filter
 from shelfmark.llm.common import WORD, table
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.learn(docs, table(spark, sf_dir, "labels"), ~toxicity.held_out(F.col("doc_id")))
+    scored = docs.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), toxicity.toxicity(F.col("text"), model).alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+
 def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = docs.select("doc_id", pii.spans(F.col("text"), pii.learn(docs)).alias("s"))
+    joined = lambda spans: F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")
+    counts = [F.size(F.filter("s", lambda x, k=k: x["base"] & (x["kind"] == k))).cast("long").alias(f"n_{k}") for k in pii.BASE]
+    base = joined(F.filter("s", lambda x: x["base"]))
+    return found.select("doc_id", *counts, F.sha2(base.cast("binary"), 256).alias("base_sha256"), joined(F.col("s")).alias("spans"))
+
+
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     coded = docs.select("doc_id", piece_codec.encode_decode(F.col("text"), public_tokenizers.path("piece_bpe_32k.model")).alias("r"))
@@ -122,7 +138,9 @@ FROM ruled
 """
 
 QUERIES = {
+    "op1_toxicity": op1_toxicity,
     "op4_fingerprints": op4_fingerprints,
+    "op5_pii": op5_pii,
     "op6_sharding": op6_sharding,
     "op7_sentencepiece": op7_sentencepiece,
     "op8_mixing": op8_mixing,
