@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from shelfmark.llm import fingerprint, mixing, pii, piece_codec, sharding, toxicity, url_filter
+from shelfmark.llm import fingerprint, mixing, ngram_join, pii, piece_codec, sharding, toxicity, url_filter
 from shelfmark.llm.common import WORD, table
 
 
@@ -18,6 +18,10 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
+def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.classes(table(spark, sf_dir, "documents"), n=4, percent=85)
+
+
 def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.fingerprints(table(spark, sf_dir, "documents"))
 
@@ -139,6 +143,7 @@ FROM ruled
 
 QUERIES = {
     "op1_toxicity": op1_toxicity,
+    "op3_ngram_join": op3_ngram_join,
     "op4_fingerprints": op4_fingerprints,
     "op5_pii": op5_pii,
     "op6_sharding": op6_sharding,
