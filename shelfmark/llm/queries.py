@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from shelfmark.llm import fingerprint, mixing, ngram_join, pii, piece_codec, sharding, toxicity, url_filter
+from shelfmark.llm import fingerprint, html_extract, mixing, ngram_join, pii, piece_codec, sharding, toxicity, url_filter
 from shelfmark.llm.common import WORD, table
 
 
@@ -18,6 +18,11 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
+def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return pages.select("page_id", "url", html_extract.extract(F.col("html")).alias("text")).withColumn("n_chars", F.length("text").cast("long"))
+
+
 def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.classes(table(spark, sf_dir, "documents"), n=4, percent=85)
 
@@ -143,6 +148,7 @@ FROM ruled
 
 QUERIES = {
     "op1_toxicity": op1_toxicity,
+    "op2_html_extraction": op2_html_extraction,
     "op3_ngram_join": op3_ngram_join,
     "op4_fingerprints": op4_fingerprints,
     "op5_pii": op5_pii,
