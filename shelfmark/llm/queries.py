@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 import public_tokenizers
 
-from shelfmark.llm import fingerprint, html_extract, mixing, ngram_join, pii, piece_codec, sharding, toxicity, url_filter
+from shelfmark.llm import binary_search, fingerprint, html_extract, mixing, ngram_join, pii, piece_codec, sharding, toxicity, url_filter
 from shelfmark.llm.common import WORD, table
 
 
@@ -35,7 +36,8 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = docs.select("doc_id", pii.spans(F.col("text"), pii.learn(docs)).alias("s"))
     joined = lambda spans: F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")
-    counts = [F.size(F.filter("s", lambda x, k=k: x["base"] & (x["kind"] == k))).cast("long").alias(f"n_{k}") for k in pii.BASE]
+    count = lambda kind: F.size(F.filter("s", lambda x: x["base"] & (x["kind"] == kind))).cast("long")
+    counts = [count(kind).alias(f"n_{kind}") for kind in pii.BASE]
     base = joined(F.filter("s", lambda x: x["base"]))
     return found.select("doc_id", *counts, F.sha2(base.cast("binary"), 256).alias("base_sha256"), joined(F.col("s")).alias("spans"))
 
@@ -116,6 +118,25 @@ FROM timed
 """
 
 
+def op9_exact_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return binary_search.top_k(vectors, vectors.where(F.col("vec_id") % 50 == 0), k=10)
+
+
+OP9_SQL = r"""
+WITH codes AS (
+  SELECT vec_id, list_transform(embedding, lambda x: x > 0) AS code FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+), near AS (
+  SELECT q.vec_id AS query_id, v.vec_id AS neighbor_id,
+         CAST(len(list_filter(list_zip(q.code, v.code), lambda p: p[1] <> p[2])) AS INTEGER) AS distance
+  FROM codes q JOIN codes v ON q.vec_id % 50 = 0
+), ranked AS (
+  SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY distance, neighbor_id) AS INTEGER) AS rank, neighbor_id, distance FROM near
+)
+SELECT * FROM ranked WHERE rank <= 10
+"""
+
+
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     listed = spark.createDataFrame([(d,) for d in url_filter.LISTED], "key string")
     return url_filter.judge(table(spark, sf_dir, "pages"), listed).select("page_id", "host", "path", "rule", "verdict")
@@ -155,10 +176,14 @@ QUERIES = {
     "op6_sharding": op6_sharding,
     "op7_sentencepiece": op7_sentencepiece,
     "op8_mixing": op8_mixing,
+    "op9_exact_search": op9_exact_search,
     "op10_url_filter": op10_url_filter,
+    "pipeline": corpus_pipeline.run,
 }
 
 ORACLE_SQL = {
     "op8_mixing": OP8_SQL,
+    "op9_exact_search": OP9_SQL,
     "op10_url_filter": OP10_SQL,
+    **({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {}),
 }
