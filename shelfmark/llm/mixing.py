@@ -75,19 +75,21 @@ def assign(docs: DataFrame, source: str = "source", doc_id: str = "doc_id", size
     own = [c for c in docs.columns if c not in new]
     order = F.md5(F.coalesce(F.col(doc_id).cast("string"), F.lit("")))
     rows = docs.select(*own, F.coalesce(size if size is not None else F.col("size"), F.lit(0)).cast("long").alias("size"))
-    keyed = rows.withColumn("_order", order).withColumn("_bucket", F.floor(F.conv(F.substring("_order", 1, 7), 16, 10).cast("long") * buckets / (1 << 28)).cast("int"))
-    sums = staged(keyed.groupBy(F.col(source).alias("_source"), F.col("_bucket").alias("_at")).agg(F.sum("size").alias("_sum")), "mixing-sums")
-    by_source = sums.groupBy("_source").agg(F.sum("_sum").alias("n")).limit(MAX_SOURCES + 1).collect()
+    # a key that is never null, so that window and join share one exchange
+    named = F.coalesce(F.concat(F.lit("s"), F.col(source).cast("string")), F.lit(""))
+    keyed = rows.withColumn("_order", order).withColumn("_key", named).withColumn("_bucket", F.floor(F.conv(F.substring("_order", 1, 7), 16, 10).cast("long") * buckets / (1 << 28)).cast("int"))
+    sums = staged(keyed.groupBy(F.col("_key").alias("_of"), F.col("_bucket").alias("_at")).agg(F.sum("size").alias("_sum")), "mixing-sums")
+    by_source = sums.groupBy("_of").agg(F.sum("_sum").alias("n")).limit(MAX_SOURCES + 1).collect()
     if len(by_source) > MAX_SOURCES:
         raise ValueError(f"more than {MAX_SOURCES} sources")
-    ranked = sorted(by_source, key=lambda r: (r["_source"] is None, (r["_source"] or "").encode("utf-8")))
+    ranked = sorted(by_source, key=lambda r: (not r["_of"], r["_of"].encode("utf-8")))
     goal = targets([r["n"] for r in ranked], [weights[k % len(weights)] for k in range(len(ranked))], share)
-    plan = spark.createDataFrame([(r["_source"], r["n"], goal[k], k % len(schedules)) for k, r in enumerate(ranked)], f"_source {docs.schema[source].dataType.simpleString()}, source_size long, target double, _schedule int")
-    running = F.sum("_sum").over(Window.partitionBy("_source").orderBy("_at").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("_sum")
-    offsets = sums.withColumn("_before", running).alias("s").join(plan.alias("p"), F.col("s._source").eqNullSafe(F.col("p._source")), "inner").select("s._source", "_at", "_before", "source_size", "target", "_schedule")
-    inner = Window.partitionBy(source, "_bucket").orderBy("_order", doc_id).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    plan = spark.createDataFrame([(r["_of"], r["n"], goal[k], k % len(schedules)) for k, r in enumerate(ranked)], "_of string, source_size long, target double, _schedule int")
+    running = F.sum("_sum").over(Window.partitionBy("_of").orderBy("_at").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("_sum")
+    offsets = sums.withColumn("_before", running).join(plan.hint("shuffle_hash"), "_of").drop("_sum")
+    inner = Window.partitionBy("_key", "_bucket").orderBy("_order", doc_id).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     summed = keyed.withColumn("_inner", F.sum("size").over(inner) - F.col("size"))
-    joined = summed.join(offsets.hint("shuffle_hash"), F.col(source).eqNullSafe(F.col("_source")) & (F.col("_bucket") == F.col("_at")), "left")
+    joined = summed.join(offsets.hint("shuffle_hash"), (F.col("_key") == F.col("_of")) & (F.col("_bucket") == F.col("_at")), "left")
     start, again = F.col("_before") + F.col("_inner"), F.col("source_size") + F.col("_before") + F.col("_inner")
     limit = F.floor("target").cast("long")
     use = lambda at: F.greatest(F.lit(0), F.least(F.col("size"), limit - at))
