@@ -1,0 +1,378 @@
+import hashlib
+import random
+import re
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+public_tokenizers = pytest.importorskip("public_tokenizers")
+
+import corpus_pipeline  # noqa: E402
+from shelfmark.llm import binary_search, fingerprint, html_extract, mixing, ngram_join, pii, piece_codec, sharding, toxicity, url_filter  # noqa: E402
+
+MODEL = public_tokenizers.path("piece_bpe_32k.model")
+DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def docs(spark, texts, sources=None):
+    rows = [(i, t, "en", sources[i] if sources else "s", len(t or "")) for i, t in enumerate(texts)]
+    return spark.createDataFrame(rows, DOCS)
+
+
+# --- toxicity
+
+
+def test_grammar_marks():
+    reader = toxicity.Reader({"idiot": 1.0})
+    one = lambda text: {toxicity.MATCHES[k] for k in np.flatnonzero(reader.features(text))}
+    assert one("you idiot") == {"It"}
+    assert one("not an idiot. idiot") == {"In", "I"}
+    assert one("they said he is an idiot") == {"Irt"}
+    assert one("kill them") == {"H"}
+    assert one("a calm day") == set()
+
+
+def test_toxicity_learns(spark):
+    rng = random.Random(5)
+    plain = lambda: " ".join(rng.choice("lo mu ta re".split()) + rng.choice("na po".split()) for _ in range(30))
+    bad = [k % 3 == 0 for k in range(300)]
+    d = docs(spark, [plain() + (f" zorgle{k}." if b else ".") for k, b in enumerate(bad)])
+    labels = spark.createDataFrame([(k, int(b)) for k, b in enumerate(bad)] + [(None, 1), (1, None)], "doc_id long, toxic int")
+    model = toxicity.learn(d, labels, ~toxicity.held_out(F.col("doc_id")))
+    got = d.select("doc_id", toxicity.toxicity(F.col("text"), model).alias("s")).collect()
+    assert all((r["s"] >= 0.5) == bad[r["doc_id"]] for r in got)
+
+
+def test_toxicity_edges(spark):
+    empty = spark.createDataFrame([], "doc_id long, toxic int")
+    d = docs(spark, [None, "", "you idiot " * 3000])
+    model = toxicity.learn(d, empty, F.lit(True))
+    s = [r["s"] for r in d.orderBy("doc_id").select(toxicity.toxicity(F.col("text"), model).alias("s")).collect()]
+    assert s[0] == s[1] < 0.5 < s[2] <= 1
+
+
+# --- html
+
+
+def test_html():
+    m = html_extract.default_model()
+    page = """<!DOCTYPE html><html><head><title>No</title><style>p{}</style><script>var t="</p>";</script></head><body><nav><ul><li><a href="/a">Menu</a></li></ul></nav><!-- x --><div class="ad">Buy this now.</div>
+<article><h1>A &amp; B</h1><p><b>First  line.<br><p>Second\n<i>li</i>ne, with a longer text that goes on for a while.</p><div class="advert">Ad inside here.</div></article><section class="comments"><p>I think this is great, really.</p></section><form><label>Mail</label></form><footer>&copy; me</footer>"""
+    assert html_extract.main_text(page, m) == "A & B First line. Second line, with a longer text that goes on for a while."
+    assert [html_extract.main_text(x, m) for x in (None, "", "<nav><a>x</a></nav>")] == ["", "", ""]
+    assert html_extract.main_text("<div>" * 5000 + "<a \"'", m) is not None
+
+
+def test_html_held_out():
+    rng, m = random.Random(4242), html_extract.default_model()
+    good = total = 0
+    for _ in range(150):
+        page = html_extract.parse(html_extract.labelled_page(rng))
+        chance = html_extract.marginals(page, m)
+        for k, t in page.pieces:
+            if k >= 0:
+                total += len(t)
+                good += len(t) * ((chance[k] > 0.5) == (page.labels[k] == "1"))
+    assert good / total > 0.94
+
+
+def test_marginals_are_exact():
+    """Against the sum over all labellings of small trees."""
+    from itertools import product
+    from math import exp
+
+    m = html_extract.default_model()
+    page = html_extract.parse("<div class=wrap><p>Some text, here.</p><ul><li><a>x</a></ul></div>")
+    seen, n = html_extract.evidence(page), len(page.tags)
+    total, content = 0.0, [0.0] * n
+    for ys in product(range(3), repeat=n):
+        w = m.root[ys[0]]
+        for k in range(n):
+            w *= exp(sum(m.seen[s][ys[k]] for s in seen[k] if s in m.seen))
+            if k:
+                w *= m.child[page.tags[k] not in html_extract.BLOCKS][ys[page.parents[k]]][ys[k]]
+        total += w
+        for k in range(n):
+            content[k] += w * (ys[k] == 1)
+    assert np.allclose(html_extract.marginals(page, m), [c / total for c in content])
+
+
+# --- joins
+
+
+def brute_classes(texts, n, percent):
+    sets = []
+    for t in texts:
+        w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+        sets.append({tuple(w[k : k + n]) for k in range(max(1, len(w) - n + 1))} if w else set())
+    root = list(range(len(texts)))
+    for a in range(len(texts)):
+        for b in range(a):
+            o = len(sets[a] & sets[b])
+            if sets[a] and sets[b] and 100 * o >= percent * len(sets[a] | sets[b]):
+                old, new = max(root[a], root[b]), min(root[a], root[b])
+                root = [new if r == old else r for r in root]
+    return {k: (len(sets[k]), root[k]) for k in range(len(texts))}
+
+
+@pytest.mark.parametrize("n, percent", [(4, 85), (5, 80)])
+def test_ngram_classes(spark, n, percent, monkeypatch):
+    monkeypatch.setattr(ngram_join, "BLOCK", 40)
+    rng = random.Random(n)
+    base = [[f"w{rng.randrange(500)}" for _ in range(rng.randint(1, 80))] for _ in range(40)]
+    texts = [None, "", " \t", "One two", "one TWO"]
+    for _ in range(220):
+        words = list(rng.choice(base[:6] if rng.random() < 0.6 else base))
+        for _ in range(rng.choice([0, 0, 1, 1, 2, 3])):
+            words[rng.randrange(len(words))] = f"x{rng.randrange(50)}"
+        texts.append(rng.choice([" ", "\n"]).join(words) + rng.choice(["", " "]))
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.classes(docs(spark, texts), n, percent).collect()}
+    assert got == brute_classes(texts, n, percent)
+
+
+def test_ngram_edges(spark):
+    assert ngram_join.classes(docs(spark, []), 4, 85).count() == 0
+    d = spark.createDataFrame([(None, "a b c d e", "x"), (3, "a b c d e", "y"), (3, "a b c d e", "z")], "doc_id long, text string, digest string")
+    got = sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in ngram_join.classes(d).collect()), key=str)
+    assert got == [(3, 2, 3), (3, 2, 3), (None, 2, None)]
+
+
+def test_tree_finds_all_pairs():
+    rng = np.random.default_rng(1)
+    sets = [np.unique(rng.integers(0, 1 << 63, 60).astype(np.uint64)) for _ in range(30)]
+    sets += [np.unique(np.concatenate([s[: int(len(s) * 0.95)], rng.integers(0, 1 << 63, 2).astype(np.uint64)])) for s in sets for _ in range(5)]
+    words = np.frombuffer(b"".join(map(ngram_join.bitmap, sets)), np.uint64).reshape(len(sets), -1)
+    t = ngram_join.Tree(words, np.array(list(map(len, sets))), np.arange(len(sets)))
+    found = {tuple(sorted(p)) for i, j, _ in ngram_join.dual(t, t, 85) for p in zip(i.tolist(), j.tolist())}
+    true = {(a, b) for b in range(len(sets)) for a in range(b) if ngram_join.linked(len(np.intersect1d(sets[a], sets[b])), len(sets[a]), len(sets[b]), 85)}
+    assert true and true <= found
+
+
+# --- fingerprints
+
+
+def test_fingerprints(spark):
+    rng = random.Random(3)
+    texts = [None, "", "short", "é🙂" * 40] + ["".join(rng.choice("abcdef gh") for _ in range(rng.randint(1, 900))) for _ in range(60)]
+    texts += [texts[9], texts[9]]
+    got = {r["doc_id"]: r for r in fingerprint.fingerprints(docs(spark, texts).repartition(7)).collect()}
+    clean = [t or "" for t in texts]
+    for k, t in enumerate(clean):
+        following = clean[(k + 1) % len(clean)]
+        e = t[: len(t) - len(t) // 2] + following[: len(t) // 2]
+        assert got[k]["n_chars"] == len(t) and got[k]["edited_sha256"] == hashlib.sha256(e.encode()).hexdigest()
+        assert got[k]["near_edited"] == fingerprint.likeness(fingerprint.sketch(t), fingerprint.sketch(e))
+        assert list(fingerprint.from_text(got[k]["fingerprint"])) == list(fingerprint.sketch(t))
+    assert got[len(texts) - 2]["near_next"] == 1.0
+    assert fingerprint.fingerprints(docs(spark, [])).count() == 0
+    assert fingerprint.fingerprints(docs(spark, ["only one"])).first()["near_next"] == 1.0
+
+
+def test_sketch_estimates():
+    rng = random.Random(8)
+    a = "".join(rng.choice("abcdefghij ") for _ in range(40_000))
+    b = a[:10_000]
+    s, t = fingerprint.sketch(a), fingerprint.sketch(b)
+    assert abs(fingerprint.likeness(s, t) - 0.25) < 0.04
+    assert fingerprint.containment(t, s) > 0.97
+    assert abs(fingerprint.containment(s, t) - 0.25) < 0.05
+    u = fingerprint.sketch(a[10_000:])
+    assert len(np.setdiff1d(fingerprint.merge(t, u), s)) == 0
+
+
+# --- personal data
+
+
+def brute_spans(t):
+    out = [(m.start(), "email", m.end()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)]
+    out += [(m.start(), "ip", m.end()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", t) if all(int(x) <= 255 for x in m[0].split("."))]
+    for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", t):
+        if 14 <= len(d := re.sub("[^0-9]", "", m[0])) <= 19 and pii.luhn(d):
+            out.append((m.start(), "card", m.end()))
+    out += [(m.start(), "phone", m.end()) for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", t) if 10 <= len(re.sub("[^0-9]", "", m[0])) <= 15]
+    return sorted(out)
+
+
+@pytest.mark.parametrize("letters", ["a@.-1", "1.02@a5 ", "+1 ()-.2", "4 -1052@a."])
+def test_base_spans(letters):
+    rng = random.Random(letters)
+    for _ in range(3000):
+        t = "".join(rng.choice(letters) for _ in range(rng.randint(0, 40)))
+        assert sorted(pii.base_spans(t)) == brute_spans(t)
+
+
+def test_pii_learns_secrets(spark):
+    rng = random.Random(2)
+    secret = lambda: "".join(rng.choice("0123456789abcdef") for _ in range(40))
+    texts = [f'é word token = "{secret()}" more' for _ in range(40)] + ["serial 1234567890123456 is no card"] * 30 + [None, "", "mail a.b@c.example.com or +1 (555) 010-9999"]
+    d = docs(spark, texts)
+    model = pii.learn(d)
+    rows = d.select("doc_id", "text", pii.spans(F.col("text"), model).alias("s"), pii.redact(F.col("text"), model).alias("r")).orderBy("doc_id").collect()
+    assert all([(x["kind"], x["end"] - x["start"]) for x in r["s"]] == [("secret", 40)] and r["r"] == 'é word token = "[SECRET]" more' for r in rows[:40])
+    assert all(r["s"] == [] for r in rows[40:72])
+    assert rows[70]["r"] is None
+    assert rows[72]["r"] == "mail [EMAIL] or [PHONE]"
+    assert pii.learn(docs(spark, [])) is None
+
+
+# --- sharding
+
+
+@pytest.mark.parametrize("hot", [0.0, 0.5])
+def test_shards(spark, hot):
+    rng = random.Random(1)
+    rows = [(k, 7 if rng.random() < hot else rng.getrandbits(63) - (1 << 62), rng.randint(1, 50)) for k in range(3000)]
+    df = spark.createDataFrame(rows, "doc_id long, h long, size long")
+    got = sharding.shard_by_bytes(df, F.col("h"), F.col("doc_id"), F.col("size"), 8).collect()
+    total = sum(r[2] for r in rows)
+    by, where = {}, {}
+    for r in got:
+        by.setdefault(r["shard"], []).append(r)
+        where.setdefault(r["h"], set()).add(r["shard"])
+    assert len(got) == len(rows) and len(by) == 8
+    assert all(sorted(r["slot"] for r in v) == list(range(len(v))) for v in by.values())
+    assert all(abs(sum(r["size"] for r in v) - total / 8) <= 100 for v in by.values())
+    assert all(len(s) == 1 for h, s in where.items() if h != 7)  # only a group larger than a shard is split
+
+
+def test_shards_of_little(spark):
+    df = spark.createDataFrame([(None, None, 5), (1, 2, 1), (1, 2, 1)], "doc_id long, h long, size long")
+    got = sharding.shard_by_bytes(df, F.col("h"), F.col("doc_id"), F.col("size"), 8).collect()
+    assert len(got) == 3 and len({(r["shard"], r["slot"]) for r in got}) == 3
+    assert sharding.shard_by_bytes(df.limit(0), F.col("h"), F.col("doc_id"), F.col("size"), 8).count() == 0
+
+
+# --- tokens
+
+
+def test_codec_against_library():
+    import sentencepiece
+
+    sp, c, rng = sentencepiece.SentencePieceProcessor(model_file=MODEL), piece_codec.codec(MODEL), random.Random(1)
+    texts = ["", " ", "  a  b\n\tc\x00 é🙂 <s> <0x41> ▁x ", "a" * 5000, " " * 300]
+    texts += ["".join(rng.choice("  ab etnis\n\tTh▁é🙂<>s0x41ñ　�中国") for _ in range(rng.randint(0, 60))) for _ in range(1500)]
+    for t in texts:
+        ids = [1, *sp.encode(t), 2]
+        assert c.encode(t) == ids and c.run(t)[1] == sp.decode(ids) == c.decode(ids)
+    for _ in range(200):
+        ids = [rng.randrange(3, 32000) if rng.random() < 0.5 else rng.randrange(3, 259) for _ in range(20)]
+        assert c.decode(ids) == sp.decode(ids)
+
+
+def test_codec_on_nulls(spark):
+    r = docs(spark, [None]).select(piece_codec.encode_decode(F.col("text"), MODEL).alias("r")).first()["r"]
+    assert (bytes(r["ids"]), r["n_tokens"], r["decoded"]) == (b"\1\0\0\0\2\0\0\0", 2, "")
+
+
+# --- mixing
+
+
+def test_targets():
+    assert mixing.targets([100, 10, 10], [5, 2, 1]) == [pytest.approx(x) for x in (140.0, 20.0, 20.0)]
+    assert mixing.targets([10, 100], [5, 2]) == [20.0, 145.0]
+    assert mixing.targets([0, 0], [5, 2]) == [0.0, 0.0]
+    assert mixing.targets([], []) == []
+
+
+def test_mixing(spark):
+    rng = random.Random(1)
+    sizes = [rng.randint(0, 40) for _ in range(600)]
+    sources = [rng.choice(["a", "a", "a", "b", "é", "Z", None]) for _ in sizes]
+    d = spark.createDataFrame([(k, s, n, 1.0) for k, (s, n) in enumerate(zip(sources, sizes))], "doc_id long, source string, size long, target double")
+    rows = mixing.assign(d).collect()
+    assert rows == mixing.assign(d.repartition(5)).collect() or sorted(map(tuple, rows), key=str) == sorted(map(tuple, mixing.assign(d.repartition(5)).collect()), key=str)
+    for s in set(sources):
+        own = [r for r in rows if r["source"] == s]
+        assert abs(sum(r["taken"] for r in own) - own[0]["target"]) < 1
+        assert all(0 <= r["taken"] <= 2 * r["size"] for r in own)
+        used = [r for r in own if r["position"] is not None]
+        assert all(0 <= r["position"] <= 1 and (r["again"] is None or r["again"] >= r["position"]) for r in used)
+    order = [r["position"] for r in mixing.uses(mixing.assign(d)).collect()]
+    assert order == sorted(order)
+    assert mixing.assign(d.limit(0)).count() == 0
+
+
+def test_demand_is_inverted(spark):
+    for knots in ((1.5, 0.5), (0.5, 1.5), (1.0, 1.0), (1.0, 3.0, 0.5)):
+        df = spark.range(0, 1000, 50).select(F.col("id").cast("double").alias("w"))
+        got = df.select("w", mixing.position(F.col("w"), F.lit(1000.0), knots).alias("t")).collect()
+        xs = np.linspace(0, 1, 200_001)
+        rate = np.interp(xs, np.linspace(0, 1, len(knots)), knots)
+        demand = np.concatenate([[0], np.cumsum((rate[1:] + rate[:-1]) / 2)])
+        for r in got:
+            assert abs(np.interp(r["t"], xs, demand / demand[-1]) - r["w"] / 1000) < 1e-6
+
+
+# --- search
+
+
+def test_exact_search(spark):
+    rng = np.random.default_rng(3)
+    base = rng.normal(size=(12, 20))
+    vectors = [(base[rng.integers(12)] + rng.normal(scale=0.7, size=20)).tolist() for _ in range(300)] + [base[0].tolist()] * 40
+    rows = [(k, v) for k, v in enumerate(vectors)] + [(None, vectors[0]), (999, None)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = {}
+    for r in binary_search.top_k(df, df.where("vec_id % 25 = 0"), 7).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["distance"], r["neighbor_id"]))
+    bits = np.array(vectors, dtype=np.float32) > 0
+    assert set(got) == set(range(0, 340, 25))
+    for q, found in got.items():
+        want = sorted(((bits[q] != b).sum(), k) for k, b in enumerate(bits))[:7]
+        assert [(d, k) for _, d, k in sorted(found)] == want
+    assert binary_search.top_k(df.limit(0), df.limit(0), 7).count() == 0
+
+
+# --- urls
+
+
+def test_cascade_is_exact(spark):
+    keys = [f"k{i}" for i in range(4000)]
+    listed = set(keys[::7]) | {"unseen"}
+    universe = spark.createDataFrame([(k,) for k in [*keys, *keys, None]], "key string")
+    levels = url_filter.build_cascade(universe, spark.createDataFrame([(k,) for k in listed], "key string"))
+    assert len(levels) > 1
+    got = {r["key"]: r["l"] for r in universe.where("key is not null").select("key", url_filter.listed_in(levels, F.col("key")).alias("l")).collect()}
+    assert got == {k: k in listed for k in keys}
+    with pytest.raises(ValueError):
+        url_filter.build_cascade(universe, universe, max_bits=64)
+
+
+def test_url_parts(spark):
+    rows = [("http://A.Example.ORG/es/1?x#y",), ("x://h?q",), ("no scheme",), (None,), ("://casino-win.example.net#f",), ("https://b.fr.com/de/",), ("https://x.com/fr/",)]
+    got = url_filter.judge(spark.createDataFrame([(r[0], "clash") for r in rows], "url string, host string"), spark.createDataFrame([(d,) for d in url_filter.LISTED], "key string")).collect()
+    assert [(r["host"], r["path"], r["rule"], r["verdict"]) for r in got] == [
+        ("a.example.org", "/es/1", "example.org/es/", "block"), ("h", "", None, "allow"), ("", "", None, "allow"), ("", "", None, "allow"),
+        ("casino-win.example.net", "", None, "block"), ("b.fr.com", "/de/", "com/de/", "block"), ("x.com", "/fr/", "com/fr/", "allow"),
+    ]
+
+
+# --- pipeline
+
+
+def test_stages_in_turn(spark):
+    rng = random.Random(6)
+    body = lambda: " ".join(rng.choice("lo mu ta re".split()) + str(rng.randrange(90)) for _ in range(60))
+    texts = [body() for _ in range(20)]
+    texts += [texts[0], texts[1] + " end", "you stupid idiot. " + body(), "write to me@host.example.com " + body(), None, ""]
+    d = docs(spark, texts)
+    no_labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    model = toxicity.learn(d, no_labels, F.lit(True))
+    clean = d.where(toxicity.toxicity(F.col("text"), model) < 0.5).select(corpus_pipeline.COLUMNS)
+    assert {r["doc_id"] for r in d.join(clean, "doc_id", "left_anti").collect()} == {22}
+    kept = corpus_pipeline.drop_near_copies(spark, clean, "")
+    want = {k for k, (_, c) in brute_classes(texts, 5, 80).items() if c == k} - {22}
+    assert {r["doc_id"] for r in kept.collect()} == want
+    redacted = corpus_pipeline.redact_personal_data(spark, kept, "")
+    assert redacted.where("doc_id = 23").first()["text"].startswith("write to [EMAIL] ")
+    mixed = corpus_pipeline.mix_sources(spark, redacted, "")
+    words = {r["doc_id"]: len((r["text"] or "").split()) for r in redacted.collect()}
+    taken = sum(words[r["doc_id"]] for r in mixed.collect())
+    assert 1.5 * sum(words.values()) <= taken <= 1.5 * sum(words.values()) + 70 and mixed.columns == corpus_pipeline.COLUMNS
+    coded = corpus_pipeline.encode(spark, mixed, "").collect()
+    assert len(coded) == mixed.count() and all(r["round_trip"] and len(r["ids"]) == 4 * r["n_tokens"] for r in coded)
+
+
+def test_stage_names():
+    assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "ngram_join", "pii", "mixing", "sentencepiece"]
