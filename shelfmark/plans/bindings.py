@@ -18,6 +18,7 @@ from shelfmark.operators import attributes, changes, dedupe, entities, logs, mat
 from shelfmark.plans import jobs
 from shelfmark.sources import feeds as feed_sources
 from shelfmark.sources import grid as grids
+from shelfmark.streaming import streams
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -833,3 +834,44 @@ def cached_urls(spark, d):
     o = offers(spark, d)
     known = o.select(F.col("row_id").alias("url"), F.col("row_id").alias("pos"), F.lower("source_model").alias("model"), F.lit("").alias("sku"))
     return attributes.cached_url(o.select(F.col("row_id").alias("product_id"), F.regexp_replace("source_model", "-", " ").alias("model")), known)
+
+
+@query("""SELECT p_partkey AS url, p_name AS name, 'M' || p_partkey AS model, p_brand AS brand, p_type AS category, CAST(CASE WHEN p_type = 'ECONOMY' THEN 7 END AS INTEGER) AS template_id FROM part""")
+def page_batch(spark, d):
+    """W6"""
+    p = table(spark, d, "part")
+    ld = F.to_json(F.struct(F.lit("Product").alias("@type"), F.col("p_brand").alias("brand"), F.col("p_type").alias("category")))
+    html = F.concat(F.lit('<script type="application/ld+json">'), ld, F.lit("</script><h1>"), "p_name", F.lit("</h1><dl><dt>Артикул</dt><dd>M"), "p_partkey", F.lit("</dd></dl>"))
+    t = spark.createDataFrame([(7, "Economy!"), (8, "none such")], "template_id int, name string")
+    return jobs.batch_from_pages(p.select(F.col("p_partkey").alias("url"), html.alias("html")), t, fuzzy=False).select("url", "name", "model", "brand", "category", "template_id")
+
+
+@query("WITH" + OFFERS + " SELECT row_id AS url FROM offers WHERE row_id % 3 = 0")
+def usable_pages(spark, d):
+    """U18"""
+    o = offers(spark, d)
+    return pages.usable_pages(o.select(F.col("row_id").alias("url")), o.where("row_id % 3 = 0").select(F.col("row_id").alias("page_url"))).select("url")
+
+
+# --- streams
+
+
+@query("SELECT event_type AS level, count(*) AS n FROM events GROUP BY event_type")
+def stream_log_counts(spark, d):
+    """R1"""
+    e = streams.file_stream(spark, d, "events.parquet")
+    return streams.settled(streams.stream_log_counts(e.select(F.col("event_type").alias("level"))), "complete")
+
+
+@query("SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, event_type AS level, count(*) AS n FROM events GROUP BY ALL")
+def stream_days(spark, d):
+    """R2"""
+    e = streams.file_stream(spark, d, "events.parquet").select(F.col("event_type").alias("level"), F.col("ts").alias("created_at"))
+    return streams.settled(streams.log_counts_by_day(e), "complete").select(F.date_format("day", "yyyy-MM-dd").alias("day"), "level", "n")
+
+
+@query("SELECT DISTINCT user_id, event_type FROM events")
+def stream_first_seen(spark, d):
+    """R4"""
+    e = streams.file_stream(spark, d, "events.parquet").select("user_id", "event_type", "ts")
+    return streams.settled(streams.first_seen(e, ["user_id", "event_type"], "ts", "3650 days"), "append").select("user_id", "event_type")

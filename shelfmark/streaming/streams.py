@@ -2,15 +2,36 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfmark.operators.changes import apply_delta, collapse
 from shelfmark.operators.match import missing_feeds
 
 
+def file_stream(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """A table of a folder as a stream of its files; the table may be one file or a folder of files."""
+    table = spark.read.parquet(f"{folder}/{name}")
+    one = table.inputFiles()[0].rstrip("/").endswith(f"/{name}")
+    reader = spark.readStream.schema(table.schema)
+    return reader.option("pathGlobFilter", name).parquet(folder) if one else reader.parquet(f"{folder}/{name}")
+
+
+def settled(stream: DataFrame, mode: str) -> DataFrame:
+    """What a stream gives for all that is there now: run to its end, each batch stored in the shared folder under its number."""
+    spark = stream.sparkSession
+    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="shelfmark-")
+    path = f"{shared.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    whole = mode == "complete"
+    write = lambda batch, n: batch.write.mode("overwrite").parquet(f"{path}/rows/{'all' if whole else f'batch={n}'}")
+    stream.writeStream.outputMode(mode).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).foreachBatch(write).start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{path}/rows/*")
+
+
 def stream_log_counts(stream: DataFrame) -> DataFrame:
     """Running counts by level; write it in update or complete mode."""
     return stream.groupBy("level").agg(F.count(F.lit(1)).alias("n"))
