@@ -26,9 +26,13 @@ def compare_key(c: Column) -> Column:
     return model_key(trim_edges(F.regexp_replace(bare, " +", " ")))
 
 
+def compact(key: Column) -> Column:
+    return F.regexp_replace(key, r"[\s./_+\-]+", "")
+
+
 def compact_key(c: Column) -> Column:
     """The compare key without blanks and . / _ + -"""
-    return F.regexp_replace(compare_key(c), r"[\s./_+\-]+", "")
+    return compact(compare_key(c))
 
 
 def visual_key(c: Column) -> Column:
@@ -38,7 +42,8 @@ def visual_key(c: Column) -> Column:
 
 def compare_keys(c: Column) -> Column:
     """array<struct<reason, key>> in the order in which reasons are tried, blank keys dropped."""
-    keys = F.array(*[F.struct(F.lit(r).alias("reason"), k.alias("key")) for r, k in (("original", compare_key(c)), ("compact", compact_key(c)), ("visual", visual_key(c)))])
+    named = lambda reason, key: F.struct(F.lit(reason).alias("reason"), key.alias("key"))
+    keys = let(compare_key(c), lambda own: F.array(named("original", own), named("compact", compact(own)), named("visual", visual_key(c))))
     return F.filter(keys, lambda k: k["key"] != "")
 
 

@@ -79,12 +79,15 @@ def extract_prices(c: Column) -> Column:
 
 def price_display(c: Column) -> Column:
     """The first price with a currency; else a bare number of two digits or more with blanks between thousands and the rouble sign; else ''."""
-    text = clean_text(c)
-    found = F.regexp_extract(text, f"({PRICE})", 1)
-    digits = F.regexp_replace(text, r"\D", "")
-    bare = text.rlike(r"^(?U)[^\w]*\d[\d\s.,]*[^\w]*$") & (F.length(digits) >= 2)
-    shown = F.concat(F.replace(F.format_number(digits.cast("decimal(38,0)"), 0), F.lit(","), F.lit(" ")), F.lit(" \u20bd"))
-    return F.when(found != "", clean_text(found)).when(bare, shown).otherwise("")
+
+    def show(text: Column) -> Column:
+        found = F.regexp_extract(text, f"({PRICE})", 1)
+        digits = F.regexp_replace(text, r"\D", "")
+        bare = text.rlike(r"^(?U)[^\w]*\d[\d\s.,]*[^\w]*$") & (F.length(digits) >= 2)
+        shown = F.concat(F.replace(F.format_number(digits.cast("decimal(38,0)"), 0), F.lit(","), F.lit(" ")), F.lit(" \u20bd"))
+        return F.when(found != "", clean_text(found)).when(bare, shown).otherwise("")
+
+    return let(clean_text(c), show)
 
 
 def model_key(c: Column) -> Column:

@@ -88,10 +88,13 @@ def normalize_url(href: Column, base: Column) -> Column:
 def normalize_feed_url(c: Column) -> Column:
     """https by default, no fragment, single slashes, lower-case host; the query stays; '' where there is no host."""
     text = F.trim(text_of(c))
-    full = drop_fragment(F.when(text.rlike("^https?://"), text).otherwise(F.concat(F.lit("https://"), text)))
-    path = F.regexp_replace(F.when(path_of(full) == "", "/").otherwise(path_of(full)), "/{2,}", "/")
-    query = F.when(query_of(full) != "", F.concat(F.lit("?"), query_of(full))).otherwise("")
-    return F.when((text == "") | (host_of(full) == ""), "").otherwise(F.concat(scheme_of(full), F.lit("://"), host_of(full), path, query))
+
+    def build(full: Column) -> Column:
+        path = F.regexp_replace(F.when(path_of(full) == "", "/").otherwise(path_of(full)), "/{2,}", "/")
+        query = F.when(query_of(full) != "", F.concat(F.lit("?"), query_of(full))).otherwise("")
+        return F.when((text == "") | (host_of(full) == ""), "").otherwise(F.concat(scheme_of(full), F.lit("://"), host_of(full), path, query))
+
+    return let(drop_fragment(F.when(text.rlike("^https?://"), text).otherwise(F.concat(F.lit("https://"), text))), build)
 
 
 def same_site(url: Column, host: Column) -> Column:
@@ -119,11 +122,15 @@ def should_follow(url: Column, starts: list[str]) -> Column:
 
 def canonical_product_url(url: Column) -> Column:
     """The path from its /good(s)_N part on, fragment off."""
-    cut = F.regexp_extract(path_of(url), r"(?i)(/goods?_\d+.*)$", 1)
-    path = F.when(cut != "", cut).when(path_of(url) == "", "/").otherwise(path_of(url))
-    origin = F.regexp_extract(text_of(url), r"^([A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*)", 1)
-    query = F.when(query_of(url) != "", F.concat(F.lit("?"), query_of(url))).otherwise("")
-    return F.when(text_of(url) == "", "").otherwise(F.concat(origin, path, query))
+
+    def build(u: Column) -> Column:
+        cut = F.regexp_extract(path_of(u), r"(?i)(/goods?_\d+.*)$", 1)
+        path = F.when(cut != "", cut).when(path_of(u) == "", "/").otherwise(path_of(u))
+        origin = F.regexp_extract(u, r"^([A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*)", 1)
+        query = F.when(query_of(u) != "", F.concat(F.lit("?"), query_of(u))).otherwise("")
+        return F.when(u == "", "").otherwise(F.concat(origin, path, query))
+
+    return let(text_of(url), build)
 
 
 def feed_source(url: Column) -> Column:

@@ -30,9 +30,9 @@ def match_fields(stack: DataFrame, fields: DataFrame) -> DataFrame:
     hit = rows.join(small(known, MAX_DIMENSION), "_n").where((F.col("_many") == 1) | (F.col("_rg") == F.col("_g")))
     taken = first_by(hit.select("product_id", "pos", "field_id", "_group", "_name", "value"), [F.col("product_id"), F.col("field_id")], [F.col("pos")])
     used = taken.select("product_id", "pos")
-    extras = stack.join(used, ["product_id", "pos"], "left_anti").select("product_id", F.lit(None).cast("int").alias("field_id"), "group_name", "name", "value", F.lit(False).alias("in_template"))
+    extras = stack.join(used.hint("merge"), ["product_id", "pos"], "left_anti").select("product_id", F.lit(None).cast("int").alias("field_id"), "group_name", "name", "value", F.lit(False).alias("in_template"))
     per_product = stack.select("product_id").distinct().select("product_id", F.explode(fields.agg(F.collect_list(F.struct("field_id", "group_name", "name"))).scalar()).alias("f")).select("product_id", "f.*")
-    filled = per_product.join(taken.select("product_id", "field_id", "value"), ["product_id", "field_id"], "left")
+    filled = per_product.join(taken.select("product_id", "field_id", "value").hint("merge"), ["product_id", "field_id"], "left")
     return filled.select("product_id", "field_id", "group_name", "name", F.coalesce("value", F.lit("")).alias("value"), F.lit(True).alias("in_template")).unionByName(extras)
 
 
@@ -55,7 +55,7 @@ def map_attributes(attrs: DataFrame, fields: DataFrame, rules: DataFrame | None
     ranked = score_fields(attrs, fields, fuzzy).withColumn("second", F.lead("score").over(w)).withColumn("n", F.row_number().over(w)).where("n = 1")
     status = F.when(F.col("score") < FIELD, "unknown").when(F.col("second").isNotNull() & (F.col("score") - F.col("second") < MARGIN) & (F.col("score") < SURE), "ambiguous").otherwise("mapped")
     best = ranked.select("name", "field_id", F.bround(F.col("score") * 100).cast("int").alias("confidence"), status.alias("status"))
-    names = attrs.select("name").distinct().join(best, "name", "left")
+    names = attrs.select("name").distinct().join(best.hint("merge"), "name", "left")
     if rules is not None:
         names = names.withColumn("_k", attr_key(F.col("name"))).join(rules.select(F.col("normalized_name").alias("_k"), F.col("field_id").alias("_rule")), "_k", "left").drop("_k")
     else:
@@ -79,16 +79,16 @@ def map_values(values: DataFrame, fields: DataFrame, allowed: DataFrame, synonym
     parts = own.withColumn("part", F.explode(F.when(F.col("is_composite"), many).otherwise(single))).withColumn("_k", attr_key(F.col("part")))
     words = allowed.select("field_id", F.col("normalized_value").alias("_k"), F.col("value").alias("_exact"))
     other = synonyms.select("field_id", F.col("normalized_synonym").alias("_k"), F.col("value").alias("_synonym"))
-    joined = parts.join(first_by(words, [F.col("field_id"), F.col("_k")], [F.col("_exact")]), ["field_id", "_k"], "left").join(first_by(other, [F.col("field_id"), F.col("_k")], [F.col("_synonym")]), ["field_id", "_k"], "left")
+    joined = parts.join(first_by(words, [F.col("field_id"), F.col("_k")], [F.col("_exact")]).hint("merge"), ["field_id", "_k"], "left").join(first_by(other, [F.col("field_id"), F.col("_k")], [F.col("_synonym")]).hint("merge"), ["field_id", "_k"], "left")
     form = F.col("value_type").isin("number", "dimensions") & F.col("_has").isNull()
     known = F.when(form, F.col("part")).otherwise(F.coalesce("_exact", "_synonym"))
     score = F.when(form & F.col("part").isNotNull(), 96).when(F.col("_exact").isNotNull(), 100).when(F.col("_synonym").isNotNull(), 98)
     joined = joined.withColumn("_value", known).withColumn("_score", score)
     if fuzzy:
-        rest = joined.where("_score is null and part is not null").select("field_id", "_k").distinct().join(words.withColumnRenamed("_k", "_w"), "field_id")
+        rest = joined.where("_score is null and part is not null").select("field_id", "_k").distinct().join(words.withColumnRenamed("_k", "_w").hint("merge"), "field_id")
         near = rest.withColumn("_ratio", sequence_ratio(F.col("_k"), F.col("_w"))).where(F.col("_ratio") >= VALUE)
         near = near.groupBy("field_id", "_k").agg(F.max(F.struct("_ratio", "_exact")).alias("b")).select("field_id", "_k", F.col("b._exact").alias("_near"), F.bround(F.col("b._ratio") * 100).cast("int").alias("_near_score"))
-        joined = joined.join(near, ["field_id", "_k"], "left").withColumn("_value", F.coalesce("_value", "_near")).withColumn("_score", F.coalesce("_score", "_near_score"))
+        joined = joined.join(near.hint("merge"), ["field_id", "_k"], "left").withColumn("_value", F.coalesce("_value", "_near")).withColumn("_score", F.coalesce("_score", "_near_score"))
     grouped = joined.groupBy("field_id", "value").agg(F.bool_and(F.col("_score").isNotNull()).alias("ok"), F.min("_score").alias("s"), F.collect_set("_value").alias("parts"))
     text = F.array_join(F.transform(F.array_sort(F.transform("parts", lambda p: F.struct(F.lower(p).alias("k"), p.alias("p")))), lambda x: x["p"]), "/")
     return grouped.select("field_id", "value", F.when(F.col("ok"), text).alias("mapped"), F.when(F.col("ok"), F.col("s")).otherwise(0).cast("int").alias("confidence"))
@@ -104,7 +104,7 @@ def match_template(pages: DataFrame, templates: DataFrame, fuzzy: bool = True) -
         listed = names.agg(F.array_sort(F.collect_list(F.struct("template_id", "_t")))).scalar()
         pairs = exact.where("_exact is null").select("_k", F.explode(listed).alias("t")).select("_k", "t.*").withColumn("r", sequence_ratio(F.col("_k"), F.col("_t"))).where(F.col("r") >= TEMPLATE)
         near = pairs.groupBy("_k").agg(F.max_by("template_id", F.struct("r", -F.col("template_id"))).alias("_near"), F.max("r").alias("_r"))
-        out = out.join(near, "_k", "left").withColumn("template_id", F.coalesce("template_id", "_near")).withColumn("score", F.coalesce("score", "_r"))
+        out = out.join(near.hint("merge"), "_k", "left").withColumn("template_id", F.coalesce("template_id", "_near")).withColumn("score", F.coalesce("score", "_r"))
     return out.select("category", "template_id", "score")
 
 
@@ -112,7 +112,7 @@ def cached_url(products: DataFrame, known: DataFrame, fields: tuple[str, ...] =
     """product_id, url of the first known page (by pos) one of whose candidate fields is the product's model."""
     keys = known.select("url", "pos", F.explode(F.array_distinct(F.array(*[attr_model(F.col(f)) for f in fields if f in known.columns]))).alias("_m")).where("_m <> ''")
     first = keys.groupBy("_m").agg(F.min_by("url", "pos").alias("url"))
-    return products.select("product_id", attr_model(F.col("model")).alias("_m")).join(first, "_m").select("product_id", "url")
+    return products.select("product_id", attr_model(F.col("model")).alias("_m")).join(first.hint("merge"), "_m").select("product_id", "url")
 
 
 def resolve_candidates(cands: DataFrame, auto: bool = False) -> DataFrame:

@@ -41,7 +41,7 @@ def collapse(changes: DataFrame, cursor: int) -> DataFrame:
     after = changes.where(F.col("revision") > cursor)
     base = after.where("kind <> 'state'").groupBy("item_id").agg(F.max_by(F.struct("revision", "kind", "payload"), "revision").alias("base"))
     patches = after.where("kind = 'state'").select("item_id", "revision", F.explode_outer("payload").alias("k", "v"))
-    joined = patches.join(base.select("item_id", F.col("base.revision").alias("_from")), "item_id", "left").where(F.col("_from").isNull() | (F.col("revision") > F.col("_from")))
+    joined = patches.join(base.select("item_id", F.col("base.revision").alias("_from")).hint("merge"), "item_id", "left").where(F.col("_from").isNull() | (F.col("revision") > F.col("_from")))
     # of every key the latest value: a partial aggregate, no list of an item's history
     last = joined.groupBy("item_id", "k").agg(F.max_by(F.struct("v"), "revision")["v"].alias("v"), F.max("revision").alias("r"))
     state = last.groupBy("item_id").agg(F.map_from_entries(F.collect_list(F.when(F.col("k").isNotNull(), F.struct("k", "v")))).alias("state"), F.max("r").alias("r"))

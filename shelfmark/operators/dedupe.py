@@ -35,7 +35,7 @@ def dedupe_products(products: DataFrame) -> DataFrame:
     model = F.lower(text_of(F.col("model")))
     with_url = F.nullif(text_of(F.col("url")), F.lit("")).isNotNull()
     bare_first = products.where(~with_url).groupBy(model.alias("_m")).agg(F.min("pos").alias("_first"))
-    joined = products.withColumn("_m", model).join(bare_first, "_m", "left").where(F.col("_first").isNull() | (F.col("pos") <= F.col("_first")))
+    joined = products.withColumn("_m", model).join(bare_first.hint("merge"), "_m", "left").where(F.col("_first").isNull() | (F.col("pos") <= F.col("_first")))
     kept = first_by(joined.where(with_url), [F.col("url")], [F.col("pos")]).unionByName(joined.where(~with_url & (F.col("pos") == F.col("_first"))))
     return kept.drop("_m", "_first")
 
@@ -96,6 +96,6 @@ def longest_prefix(urls: DataFrame, rules: DataFrame, url: str = "url") -> DataF
     """
     lengths = [r[0] for r in rules.select(F.length("prefix")).distinct().collect()]  # a row for each length
     probes = urls.select(url).distinct().select(url, F.explode(F.array(*[F.lit(n) for n in lengths]).cast("array<int>")).alias("_n")).where(F.length(url) >= F.col("_n"))
-    hit = probes.withColumn("prefix", F.left(F.col(url), F.col("_n"))).join(rules.select("prefix").distinct(), "prefix")
+    hit = probes.withColumn("prefix", F.left(F.col(url), F.col("_n"))).join(rules.select("prefix").distinct().hint("merge"), "prefix")
     best = hit.groupBy(url).agg(F.max_by("prefix", "_n").alias("prefix"))
-    return urls.join(best, url, "left")
+    return urls.join(best.hint("merge"), url, "left")

@@ -47,7 +47,7 @@ def best_match(rows: DataFrame, feed_keys: DataFrame, feeds: DataFrame) -> DataF
     """
     tried = rows.select("row_id", F.posexplode("candidates").alias("cand_pos", "candidate"))
     tried = tried.select("row_id", "cand_pos", "candidate", F.posexplode(compare_keys(F.col("candidate"))).alias("reason_pos", "k")).select("*", "k.key", "k.reason").drop("k")
-    hits = tried.join(feed_keys.select("source", "key", "item"), "key").join(small(feeds.select("source", F.col("position").alias("feed_pos"))), "source")
+    hits = tried.join(feed_keys.select("source", "key", "item").hint("merge"), "key").join(small(feeds.select("source", F.col("position").alias("feed_pos"))), "source")
     best = F.min_by(F.struct("candidate", "reason", "source", "item"), F.struct("cand_pos", "reason_pos", "feed_pos"))
     out = hits.groupBy("row_id").agg(best.alias("b"))
     return out.select("row_id", "b.candidate", F.concat(F.lit("matched:"), "b.reason").alias("reason"), "b.source", "b.item")
@@ -59,10 +59,12 @@ def missing_feeds(rows: DataFrame, feeds: DataFrame, feed_keys: DataFrame, no_ke
     A row is present in a feed if any of its keys is. no_keys: a row without keys misses 'all' feeds, or 'none'.
     feeds: source, label, position; feed_keys: source, key.
     """
-    hits = rows.select("row_id", F.explode("keys").alias("key")).distinct().join(feed_keys.select("source", "key").distinct(), "key")
+    # explode_outer: a plain explode would compute the keys a second time to filter by them
+    asked = rows.select("row_id", F.explode_outer("keys").alias("key")).where("key is not null").distinct()
+    hits = asked.join(feed_keys.select("source", "key").distinct().hint("merge"), "key")
     present = hits.groupBy("row_id").agg(F.collect_set("source").alias("present"))  # at most one entry for each feed
     listed = feeds.agg(F.array_sort(F.collect_list(F.struct("position", "label", "source")))).scalar()
-    own = rows.select("row_id", F.size("keys").alias("n")).join(present, "row_id", "left")
+    own = rows.select("row_id", F.size("keys").alias("n")).join(present.hint("merge"), "row_id", "left")
     missing = F.transform(F.filter("_feeds", lambda f: ~F.array_contains(F.coalesce("present", F.array().cast("array<string>")), f["source"].cast("string"))), lambda f: f["label"])
     out = own.withColumn("_feeds", listed).select("row_id", F.when((F.col("n") == 0) & F.lit(no_keys == "none"), F.array().cast("array<string>")).otherwise(missing).alias("missing"))
     return out.where(F.size("missing") > 0)
@@ -70,14 +72,14 @@ def missing_feeds(rows: DataFrame, feeds: DataFrame, feed_keys: DataFrame, no_ke
 
 def missing_everywhere(rows: DataFrame, feed_keys: DataFrame) -> DataFrame:
     """Rows of which no key is in any feed."""
-    keys = rows.select("row_id", F.explode("keys").alias("key")).join(all_keys(feed_keys), "key", "left_semi")
-    return rows.join(keys.select("row_id").distinct(), "row_id", "left_anti")
+    keys = rows.select("row_id", F.explode("keys").alias("key")).join(all_keys(feed_keys).hint("merge"), "key", "left_semi")
+    return rows.join(keys.select("row_id").distinct().hint("merge"), "row_id", "left_anti")
 
 
 def present_everywhere(rows: DataFrame, feeds: DataFrame, feed_keys: DataFrame) -> DataFrame:
     """row_id of rows with a key in every feed."""
     n = feeds.select("source").distinct().count()
-    hits = rows.select("row_id", F.explode("keys").alias("key")).join(feed_keys.select("source", "key"), "key").groupBy("row_id").agg(F.count_distinct("source").alias("n"))
+    hits = rows.select("row_id", F.explode("keys").alias("key")).join(feed_keys.select("source", "key").hint("merge"), "key").groupBy("row_id").agg(F.count_distinct("source").alias("n"))
     return hits.where(F.col("n") == n).select("row_id")
 
 
@@ -102,7 +104,7 @@ def new_products(products: DataFrame, details: DataFrame, feeds: DataFrame, feed
     kept = joined.where(available) if available is not None else joined
     keyed = kept.withColumn("keys", union_keys(product_keys(F.col("name"), F.col("vendor_code")), product_keys(F.col("model"), F.lit(""))))
     missing = missing_feeds(keyed.select(F.col("url").alias("row_id"), "keys"), feeds, feed_keys, no_keys="none")
-    return keyed.join(missing.withColumnRenamed("row_id", "url"), "url")
+    return keyed.join(missing.withColumnRenamed("row_id", "url").hint("merge"), "url")
 
 
 def detect_brand(rows: DataFrame, brands: DataFrame, name: str = "name", explicit: str | None = None) -> DataFrame:
@@ -117,9 +119,9 @@ def detect_brand(rows: DataFrame, brands: DataFrame, name: str = "name", explici
     w = words(F.col("_name"))
     grams = F.flatten(F.transform(F.sequence(F.lit(1), F.size(w)), lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(4), F.size(w) - i + 1)), lambda n: F.array_join(F.slice(w, i, n), " "))))
     probes = ids.select("_id", "_name", F.explode(F.when(F.size(w) > 0, F.array_distinct(grams))).alias("_key"))
-    hit = probes.join(known, "_key").where(F.contains(F.upper(clean_text(F.col("_name"))), F.upper("brand")))
+    hit = probes.join(known.hint("merge"), "_key").where(F.contains(F.upper(clean_text(F.col("_name"))), F.upper("brand")))
     # of brands of one length the first by name
     best = hit.groupBy("_name").agg(F.min_by("brand", F.struct(-F.length("brand"), "brand")).alias("_brand"))
-    out = rows.join(best, F.col(name) == F.col("_name"), "left")
+    out = rows.join(best.hint("merge"), F.col(name) == F.col("_name"), "left")
     stated = F.nullif(clean_text(F.col(explicit)), F.lit("")) if explicit else F.lit(None).cast("string")
     return out.withColumn("detected_brand", F.coalesce(stated, "_brand", F.lit(""))).drop("_name", "_brand")

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfmark.functions.candidates import finalize_model
-from shelfmark.functions.text import PRICE, between_markers, clean_text, extract_prices, price_display, strip_tags, text_of, unescape
+from shelfmark.functions.text import PRICE, between_markers, clean_text, extract_prices, let, price_display, strip_tags, text_of, unescape
 from shelfmark.functions.urls import canonical_product_url, normalize_url, product_url_ok, should_follow, url_excluded
 from shelfmark.functions.values import attr_key
 from shelfmark.operators.dedupe import first_by
@@ -52,12 +52,9 @@ def link_count(html: Column) -> Column:
 
 def is_blocked(html: Column) -> Column:
     """A block page or a nearly empty shell: a price in it clears it; block words with little text or few links; else very little of both."""
-    text, links = F.length(visible_text(html)), link_count(html)
-    lowered = F.lower(text_of(html))
-    words = F.lit(False)
-    for w in BLOCK_WORDS:
-        words = words | F.contains(lowered, F.lit(w))
-    return ~text_of(html).rlike(PRICE) & F.when(words, (text < 1200) | (links < 10)).otherwise((text < 250) & (links < 5))
+    words = F.lower(text_of(html)).rlike("|".join(BLOCK_WORDS))
+    judged = let(F.struct(F.length(visible_text(html)).alias("text"), link_count(html).alias("links")), lambda n: F.when(words, (n["text"] < 1200) | (n["links"] < 10)).otherwise((n["text"] < 250) & (n["links"] < 5)))
+    return ~text_of(html).rlike(PRICE) & judged
 
 
 def extract_links(pages: DataFrame) -> DataFrame:
@@ -68,8 +65,9 @@ def extract_links(pages: DataFrame) -> DataFrame:
 
 
 def _model(html: Column, rules: PageRules, preserve: bool = True) -> Column:
-    marked = between_markers(html, rules.model_start, rules.model_end)
-    raw = F.when(marked != "", marked).otherwise(_value(html, rules.model))
+    raw = _value(html, rules.model)
+    if rules.model_start or rules.model_end:
+        raw = F.coalesce(F.nullif(between_markers(html, rules.model_start, rules.model_end), F.lit("")), raw)
     return finalize_model(raw, rules.model_replace, preserve)
 
 
@@ -84,9 +82,10 @@ def extract_listing(pages: DataFrame, rules: PageRules) -> DataFrame:
     cards = pages.select(F.col("url").alias("page_url"), F.posexplode(F.filter(parts, lambda p: p.rlike(f"^(?:{rules.card_open})"))).alias("pos", "card"))
     card = F.col("card")
     link = F.coalesce(canonical_product_url(normalize_url(unescape(F.regexp_extract(card, rules.url, 1)), F.col("page_url"))), F.lit("")) if rules.url else F.lit("")
-    price = _value(card, rules.price)
-    found = F.coalesce(F.get(extract_prices(price), F.lit(0)), price_display(price))
-    rows = cards.select("page_url", "pos", link.alias("url"), _model(card, rules).alias("model"), found.alias("price"))
+    found = let(_value(card, rules.price), lambda price: F.coalesce(F.get(extract_prices(price), F.lit(0)), price_display(price)))
+    # one struct, exploded, so that the filter below does not take the expressions apart again
+    made = F.struct(link.alias("url"), _model(card, rules).alias("model"), found.alias("price"))
+    rows = cards.select("page_url", "pos", F.explode_outer(F.array(made)).alias("c")).select("page_url", "pos", "c.*")
     rows = rows.where((F.col("model") != "") & (F.col("price") != "") & ((F.col("url") == "") | product_url_ok(F.col("url"), rules.include, rules.exclude)))
     key = F.when(F.col("url") != "", F.concat(F.lit("u"), "url")).otherwise(F.concat(F.lit("m"), F.lower("model")))
     return first_by(rows, [F.col("page_url"), key], [F.col("pos")])
@@ -95,10 +94,11 @@ def extract_listing(pages: DataFrame, rules: PageRules) -> DataFrame:
 def extract_detail(pages: DataFrame, rules: PageRules, allow_empty_price: bool = False) -> DataFrame:
     """url, model, price of product pages (url, html, fallback_price): the last price in the price field, else the field as a price, else the fallback."""
     html = F.col("html")
-    price = _value(html, rules.price)
     fallback = F.col("fallback_price") if "fallback_price" in pages.columns else F.lit("")
-    found = F.when(F.size(extract_prices(price)) > 0, F.element_at(extract_prices(price), -1)).otherwise(price_display(F.when(price != "", price).otherwise(text_of(fallback))))
-    rows = pages.select("url", _model(html, rules).alias("model"), found.alias("price"))
+    last = lambda price: let(extract_prices(price), lambda p: F.when(F.size(p) > 0, F.element_at(p, -1)))
+    found = let(_value(html, rules.price), lambda price: F.coalesce(last(price), price_display(F.when(price != "", price).otherwise(text_of(fallback)))))
+    made = F.struct("url", _model(html, rules).alias("model"), found.alias("price"))
+    rows = pages.select(F.explode_outer(F.array(made)).alias("p")).select("p.*")
     return has_model_price(rows, allow_empty_price)
 
 
@@ -109,7 +109,7 @@ def has_model_price(rows: DataFrame, allow_empty_price: bool = False) -> DataFra
 def with_listing_price(details: DataFrame, listing: DataFrame) -> DataFrame:
     """details with fallback_price: the last listing price (by page and position) of their canonical url."""
     last = listing.where("url <> ''").groupBy(canonical_product_url(F.col("url")).alias("_c")).agg(F.max_by("price", F.struct("page_url", "pos")).alias("fallback_price"))
-    return details.withColumn("_c", canonical_product_url(F.col("url"))).join(last, "_c", "left").drop("_c")
+    return details.withColumn("_c", canonical_product_url(F.col("url"))).join(last.hint("merge"), "_c", "left").drop("_c")
 
 
 def extract_name(html: Column, rules: PageRules = PageRules()) -> Column:
@@ -165,18 +165,18 @@ def page_fallbacks(pages: DataFrame) -> DataFrame:
     model = extract_pairs(pages).where(attr_key(F.col("name")).isin(*MODEL_NAMES)).groupBy("url").agg(F.min_by("value", "pos").alias("model"))
     crumbs = F.regexp_extract(F.col("html"), r"""(?is)<(?:nav|ul|ol|div)[^>]*class\s*=\s*["'][^"']*breadcrumb[^"']*["'][^>]*>(.*?)</(?:nav|ul|ol|div)>""", 1)
     texts = F.filter(F.transform(F.regexp_extract_all(crumbs, F.lit(r"(?s)>([^<>]+)<"), 1), clean_text), lambda t: t != "")
-    return pages.select("url", F.array_join(F.array_distinct(texts), " > ").alias("category")).join(model, "url", "left")
+    return pages.select("url", F.array_join(F.array_distinct(texts), " > ").alias("category")).join(model.hint("merge"), "url", "left")
 
 
 def usable_pages(pages: DataFrame, products: DataFrame, url: str = "page_url") -> DataFrame:
     """Pages from which at least one product came."""
-    return pages.join(products.select(F.col(url).alias("url")), "url", "left_semi")
+    return pages.join(products.select(F.col(url).alias("url")).hint("merge"), "url", "left_semi")
 
 
 def next_frontier(links: DataFrame, visited: DataFrame, results: DataFrame, starts: list[str], excluded: list[str] = ()) -> DataFrame:
     """link: distinct links that may be followed and were neither visited nor are results already."""
     allowed = links.select("link").where(should_follow(F.col("link"), starts) & ~url_excluded(F.col("link"), list(excluded))).distinct()
-    return allowed.join(visited.select(F.col("url").alias("link")), "link", "left_anti").join(results.select(F.col("url").alias("link")), "link", "left_anti")
+    return allowed.join(visited.select(F.col("url").alias("link")).hint("merge"), "link", "left_anti").join(results.select(F.col("url").alias("link")).hint("merge"), "link", "left_anti")
 
 
 def crawl_totals(urls: DataFrame) -> DataFrame:

@@ -55,7 +55,7 @@ def compare_feeds(offers: DataFrame, feeds: DataFrame, feed_keys: DataFrame, exc
     rows = with_candidates(offers, rules).withColumn("keys", _keys(F.col("candidates"))).withColumn("kept", kept)
     asked = rows.where(F.col("kept") & (F.size("candidates") > 0))
     missing = match.missing_feeds(asked, feeds, feed_keys)
-    joined = rows.join(missing, "row_id", "left")
+    joined = rows.join(missing.hint("merge"), "row_id", "left")
     status = F.when(~F.col("kept"), "excluded").when(F.size("candidates") == 0, "no_model").when(F.col("missing").isNotNull(), "missing").otherwise("found")
     marked = joined.withColumn("status", status)
     out = marked.where("status = 'missing'").withColumn("selected_model", F.col("candidates")[0]).drop("keys", "kept", "status")
@@ -71,7 +71,7 @@ def import_file(rows: DataFrame, feeds: DataFrame, feed_keys: DataFrame, exclusi
     own = with_candidates(rows, rules).withColumn("keys", _keys(F.col("candidates"))).withColumn("kept", kept)
     asked = own.where(F.col("kept") & (F.size("candidates") > 0))
     best = match.best_match(asked, feed_keys, feeds).select("row_id", F.col("candidate").alias("_best"), "reason")
-    joined = own.join(match.missing_feeds(asked, feeds, feed_keys), "row_id", "left").join(best, "row_id", "left")
+    joined = own.join(match.missing_feeds(asked, feeds, feed_keys).hint("merge"), "row_id", "left").join(best.hint("merge"), "row_id", "left")
     status = F.when(~F.col("kept"), "excluded").when(F.size("candidates") == 0, "no_model").when(F.col("missing").isNotNull(), "missing").otherwise("found")
     marked = joined.withColumn("status", status)
     out = marked.where("status = 'missing'").withColumn("selected_model", F.coalesce("_best", F.col("candidates")[0])).drop("keys", "kept", "status", "_best")
@@ -94,7 +94,7 @@ def scan_partial(products: DataFrame, feeds: DataFrame, feed_keys: DataFrame) ->
     """The same from the listing alone: pos, url, model, price, missing, deduped."""
     keyed = products.withColumn("keys", product_keys(F.col("model"), F.lit(""))).withColumn("row_id", F.col("pos"))
     missing = match.missing_feeds(keyed, feeds, feed_keys, no_keys="none")
-    return dedupe.dedupe_news(keyed.join(missing, "row_id").drop("row_id", "keys"))
+    return dedupe.dedupe_news(keyed.join(missing.hint("merge"), "row_id").drop("row_id", "keys"))
 
 
 def crawl_result(stored: DataFrame, listing: pages.PageRules, detail: pages.PageRules) -> DataFrame:
@@ -102,7 +102,7 @@ def crawl_result(stored: DataFrame, listing: pages.PageRules, detail: pages.Page
     usable = stored.where(~pages.is_blocked(F.col("html")))
     cards = pages.extract_listing(usable, listing)
     # a page that lists products is no product page
-    rest = usable.join(cards.select(F.col("page_url").alias("url")), "url", "left_anti")
+    rest = usable.join(cards.select(F.col("page_url").alias("url")).hint("merge"), "url", "left_anti")
     single = pages.extract_detail(pages.with_listing_price(rest, cards), detail)
     both = cards.select("page_url", "pos", "url", "model", "price").unionByName(single.select(F.col("url").alias("page_url"), F.lit(0).alias("pos"), "url", "model", "price"))
     ordered = both.withColumn("pos", F.struct("page_url", "pos"))
@@ -121,10 +121,10 @@ def batch_from_pages(stored: DataFrame, templates: DataFrame, fuzzy: bool = True
     """url, name, model, brand, category, template_id of stored product pages: structured data first, then the page's own pairs and headings."""
     ld = dedupe.first_by(pages.extract_jsonld(stored), [F.col("url")], [F.col("pos")]).drop("pos", "properties")
     back = pages.page_fallbacks(stored).select("url", F.col("model").alias("_model"), F.col("category").alias("_category"))
-    rows = stored.select("url", pages.extract_name(F.col("html")).alias("_name")).join(ld, "url", "left").join(back, "url", "left")
+    rows = stored.select("url", pages.extract_name(F.col("html")).alias("_name")).join(ld.hint("merge"), "url", "left").join(back.hint("merge"), "url", "left")
     pick = lambda a, b: F.coalesce(F.nullif(F.col(a), F.lit("")), F.col(b), F.lit("")).alias(a)
     out = rows.select("url", pick("name", "_name"), pick("model", "_model"), F.coalesce("brand", F.lit("")).alias("brand"), pick("category", "_category"))
-    return out.join(attributes.match_template(out, templates, fuzzy), "category", "left").drop("score")
+    return out.join(attributes.match_template(out, templates, fuzzy).hint("merge"), "category", "left").drop("score")
 
 
 def fill_from_sources(attrs: DataFrame, fields: DataFrame, allowed: DataFrame, synonyms: DataFrame, rules: DataFrame | None = None, auto: bool = False, fuzzy: bool = True) -> Result:
@@ -133,8 +133,8 @@ def fill_from_sources(attrs: DataFrame, fields: DataFrame, allowed: DataFrame, s
     Confidence is the lesser of the field's and the value's.
     """
     mapped = attributes.map_attributes(attrs, fields, rules, fuzzy)
-    named = attrs.join(mapped, "name")
+    named = attrs.join(mapped.hint("merge"), "name")
     values = attributes.map_values(named.where("field_id is not null"), fields, allowed, synonyms, fuzzy).select("field_id", "value", "mapped", F.col("confidence").alias("_c"))
-    good = named.join(values, ["field_id", "value"]).where("mapped is not null")
+    good = named.join(values.hint("merge"), ["field_id", "value"]).where("mapped is not null")
     cands = good.select("product_id", "field_id", F.col("mapped").alias("value"), "source", "priority", F.least("confidence", "_c").alias("confidence"), "pos")
     return Result(attributes.resolve_candidates(cands, auto), attributes.mapping_report(named))
