@@ -1,9 +1,10 @@
 """Exact nearest binary codes by incremental multi-index hashing.
 
 A vector's code is the signs of its elements. The code is cut into m segments, each with an
-index from value to codes. If all m indexes have been searched up to radius r, every code
-within m (r + 1) - 1 has been met; a query is done once its kth verified distance is within
-that. Radii grow by one for the queries that are left. Equal codes are one entry with its k
+index from value to codes. If j of the indexes have been searched up to radius r and the others
+up to r - 1, every code within m r + j - 1 has been met; a query is done once its kth verified
+distance is within that. Radii grow by one for the queries that are left, in as many
+segments as the kth distance so far asks for. Equal codes are one entry with its k
 smallest ids, and equal queries are searched once, so a very common vector costs one search.
 """
 
@@ -18,22 +19,22 @@ from pyspark.sql import functions as F
 
 from shelfmark.llm.common import staged
 
-WORD = 62  # bits of a code in one bigint
+WORD = 64  # bits of a code in one bigint
 
 
 def signs(vector: Column, dims: int) -> Column:
     """The code as an array of bigints: bit i of the whole is set where element i is positive."""
     word = lambda w: F.aggregate(
-        F.transform(F.slice(vector, w * WORD + 1, WORD), lambda x, i: F.when(x > 0, F.lit(1).cast("bigint") * F.pow(F.lit(2.0), i).cast("bigint")).otherwise(F.lit(0).cast("bigint"))),
+        F.transform(F.slice(vector, w * WORD + 1, WORD), lambda x, i: F.when(x > 0, F.call_function("shiftleft", F.lit(1).cast("bigint"), i)).otherwise(F.lit(0).cast("bigint"))),
         F.lit(0).cast("bigint"),
-        lambda a, b: a + b,
+        lambda a, b: a.bitwiseOR(b),
     )
     return F.array(*[word(w) for w in range(-(-dims // WORD))])
 
 
 def segments(dims: int, count: int) -> list[tuple[int, int, int]]:
-    """(word, first bit, width) of segments about log2 of the number of codes wide, none across words."""
-    width = max(4, min(20, round(math.log2(max(count, 2)))))
+    """(word, first bit, width) of segments, none across words; so wide that a value has about six codes, which keeps both probes and codes met few."""
+    width = max(4.0, min(20.0, math.log2(max(count, 2) / 6.5)))
     out = []
     for w in range(-(-dims // WORD)):
         bits = min(WORD, dims - w * WORD)
@@ -51,11 +52,12 @@ def distance(a: Column, b: Column, words: int) -> Column:
 
 
 def _values(code: Column, parts: list[tuple[int, int, int]]) -> list[Column]:
-    return [F.shiftright(F.get(code, F.lit(w)), a).bitwiseAND((1 << n) - 1) for w, a, n in parts]
+    return [F.shiftrightunsigned(F.get(code, F.lit(w)), a).bitwiseAND((1 << n) - 1) for w, a, n in parts]
 
 
-def _probes(part: int, value: Column, masks: np.ndarray) -> Column:
-    return F.transform(F.lit(masks), lambda m: F.struct(F.lit(part).alias("part"), value.bitwiseXOR(m).alias("value")))
+def _probes(part: int, value: Column, masks: np.ndarray, wanted: Column) -> Column:
+    made = F.transform(F.lit(masks), lambda m: F.struct(F.lit(part).alias("part"), value.bitwiseXOR(m).alias("value")))
+    return F.when(wanted, made).otherwise(F.array().cast("array<struct<part:int,value:bigint>>"))
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, id_: str = "vec_id", vector: str = "embedding") -> DataFrame:
@@ -83,15 +85,17 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, id_: str = "vec_i
     parts = segments(dims, count)
     index = codes.select("code", "ids", F.posexplode(F.array(*_values(F.col("code"), parts))).alias("part", "value"))
     index = staged(index, "mih-index")
-    left = staged(asked.select(F.col("code").alias("q")).distinct(), "mih-left")
+    # need: the kth distance so far
+    left = staged(asked.select(F.col("code").alias("q"), F.lit(dims).alias("need")).distinct(), "mih-left")
     best = None
     done = []
     for radius in range(max(n for _, _, n in parts) + 1):
+        searched = F.least(F.lit(len(parts)), F.col("need") - len(parts) * radius + 1)  # segments that go to this radius
         probes = []
         for at, n in enumerate(n for _, _, n in parts):
             masks = np.array([sum(1 << b for b in bits) for bits in itertools.combinations(range(n), radius)], dtype=np.int64)
             if len(masks):
-                probes.append(_probes(at, _values(F.col("q"), parts)[at], masks))
+                probes.append(_probes(at, _values(F.col("q"), parts)[at], masks, F.lit(at) < searched))
         found = left.select("q", F.explode(F.concat(*probes)).alias("p")).select("q", "p.part", "p.value")
         met = found.join(index.hint("shuffle_hash"), ["part", "value"]).select("q", "code", "ids", distance(F.col("q"), F.col("code"), words).alias("distance"))
         if best is not None:
@@ -99,16 +103,17 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, id_: str = "vec_i
         met = met.dropDuplicates(["q", "code"])
         near = Window.partitionBy("q").orderBy("distance", F.col("ids")[0])
         # k codes by distance and smallest id always hold the k nearest ids
-        rank = met.withColumn("c", F.row_number().over(near)).where(F.col("c") <= k).drop("c")
-        best = staged(rank, "mih-best")
-        covered = len(parts) * (radius + 1) - 1
-        total = best.groupBy("q").agg(F.sum(F.when(F.col("distance") <= covered, F.size("ids")).otherwise(0)).alias("sure"))
-        ready = total.where((F.col("sure") >= k) | F.lit(covered >= dims)).select("q")
-        done.append(best.join(ready.hint("shuffle_hash"), "q", "left_semi"))
-        left = staged(left.join(ready.hint("shuffle_hash"), "q", "left_anti"), "mih-left")
-        if covered >= dims or left.isEmpty():
+        best = staged(met.withColumn("c", F.row_number().over(near)).where(F.col("c") <= k).drop("c"), "mih-best")
+        so_far = F.sum(F.size("ids")).over(near.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+        kth = best.withColumn("_n", so_far).groupBy("q").agg(F.min(F.when(F.col("_n") >= k, F.col("distance"))).alias("kth"))
+        state = left.join(kth.hint("shuffle_hash"), "q", "left").withColumn("covered", len(parts) * radius + searched - 1)
+        over = (F.coalesce("kth", F.lit(dims)) <= F.col("covered")) | (F.col("covered") >= dims)
+        state = staged(state.select("q", F.coalesce("kth", F.lit(dims)).alias("need"), over.alias("over")), "mih-left")
+        done.append(best.join(state.where("over").select("q").hint("shuffle_hash"), "q", "left_semi"))
+        left = state.where("not over").select("q", "need")
+        if left.isEmpty():
             break
-        best = best.join(left.hint("shuffle_hash"), "q", "left_semi")
+        best = best.join(left.select("q").hint("shuffle_hash"), "q", "left_semi")
     out = done[0]
     for more in done[1:]:
         out = out.unionByName(more)
