@@ -3,11 +3,12 @@
 1. Equal sets are one class; only its smallest doc_id goes on.
 2. Two sets that link share one of the first n - ceil(t n) + 1 of their shingles in any common
    order, here frequent shingles last: each set is sent to the groups of these shingles.
-3. In a group, a signature tree over the sets: leaves hold up to 64 sets with token bitmaps, nodes the
-   OR of the bitmaps below, the range of sizes and of surplus (tokens beyond the bits they set).
+3. In a group, a signature tree over the sets: leaves hold up to 64 sets with token bitmaps (groups that are one
+   leaf are done many at once), nodes the OR of the bitmaps below, the range of sizes and of surplus (tokens beyond the bits they set).
    Two nodes are traversed together, and dropped where no pair below can overlap enough, or
    where all of both is one component already.
-4. A maximum spanning forest of what is left is verified on the exact sets first; then,
+4. Of a maximum spanning forest of what is left, each set's three likest pairs, less what a bitmap of four bits a token rules out, are
+   verified on the exact sets first; then,
    with the components known from that, every remaining pair between components. So no link between
    components is lost, and a group of near copies does not emit all of its pairs.
 
@@ -22,7 +23,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfmark.llm.common import partitions, staged
@@ -33,7 +34,7 @@ LEAF, FAN = 64, 8
 BLOCK = 4096
 #: Most frequent shingles, put last in the common order. Any order gives right results.
 FREQUENT = 20_000
-#: Most doc ids that are broadcast to pick texts; beyond it they are joined by shuffle.
+#: Most doc ids, or keys, that are broadcast to pick rows; beyond it they are joined by shuffle.
 BROADCAST_IDS = 1_000_000
 
 _MULTIPLIERS = np.array([pow(0x9E3779B97F4A7C15, k + 1, 1 << 64) for k in range(16)], dtype=np.uint64)
@@ -51,7 +52,7 @@ class Hasher:
         if not words:
             return np.zeros(0, np.uint64)
         known = self.known
-        if len(known) > 1_000_000:
+        if len(known) > 100_000:
             known.clear()
         codes = np.empty(len(words), np.uint64)
         for k, w in enumerate(words):
@@ -76,12 +77,30 @@ def linked(overlap, a, b, percent: int):
     return 100 * overlap >= percent * (a + b - overlap)
 
 
-def bitmap(shingles: np.ndarray) -> bytes:
-    bits = np.zeros(BITS, np.uint8)
-    bits[(shingles >> np.uint64(40)) % np.uint64(BITS)] = 1
+def bitmap(shingles: np.ndarray, size: int = BITS) -> bytes:
+    bits = np.zeros(size, np.uint8)
+    bits[(shingles >> np.uint64(40)) % np.uint64(size)] = 1
     return np.packbits(bits).tobytes()
 
 
+def wide(shingles: np.ndarray) -> bytes:
+    """A bitmap of four bits or more for each shingle, a power of two of them."""
+    return bitmap(shingles, 1 << max(10, (4 * len(shingles) - 1).bit_length()))
+
+
+def fits(x: bytes, n: int, y: bytes, m: int, percent: int) -> bool:
+    """Whether two sets of n and m shingles with these bitmaps may link; the longer bitmap is folded to the shorter."""
+    p, q = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
+    while len(p) != len(q):
+        if len(p) > len(q):
+            p = p[: len(p) // 2] | p[len(p) // 2 :]
+        else:
+            q = q[: len(q) // 2] | q[len(q) // 2 :]
+    ones = [int(np.bitwise_count(v).sum()) for v in (p, q, p & q)]
+    most = min(n, m, ones[2] + min(n - ones[0], m - ones[1]))
+    return (100 + percent) * most >= percent * (n + m)
+
+
 def frequent(docs: DataFrame, n: int, top: int = FREQUENT) -> tuple[np.ndarray, np.ndarray]:
     """The most frequent shingles by number of documents, and these numbers (of those that repeat within a partition)."""
 
@@ -91,7 +110,7 @@ def frequent(docs: DataFrame, n: int, top: int = FREQUENT) -> tuple[np.ndarray,
             for text in batch["text"]:
                 held.append(hasher.shingles(text))
                 size += len(held[-1])
-                if size > 4_000_000:
+                if size > 1_000_000:
                     yield repeated(held)
                     held, size = [], 0
         if held:
@@ -109,10 +128,10 @@ def frequent(docs: DataFrame, n: int, top: int = FREQUENT) -> tuple[np.ndarray,
 
 
 def described(docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """doc_id, n_shingles, digest, bitmap and prefix (the shingles whose groups the set is sent to)."""
+    """doc_id, n_shingles, digest, bitmap, wide (a bitmap that grows with the set) and prefix (the shingles whose groups the set is sent to)."""
     often, times = frequent(docs, n)
 
-    @F.pandas_udf("struct<n_shingles: bigint, digest: binary, bitmap: binary, prefix: array<bigint>>")
+    @F.pandas_udf("struct<n_shingles: bigint, digest: binary, bitmap: binary, wide: binary, prefix: array<bigint>>")
     def describe(texts: pd.Series) -> pd.DataFrame:
         hasher, out = Hasher(n), []
         for text in texts:
@@ -122,8 +141,8 @@ def described(docs: DataFrame, n: int, percent: int) -> DataFrame:
                 at = np.minimum(np.searchsorted(often, s), len(often) - 1)
                 rank = np.where(often[at] == s, times[at], 0)
             prefix = s[np.lexsort((s, rank))][: len(s) - least_overlap(len(s), percent) + 1] if len(s) else s
-            out.append((len(s), hashlib.blake2b(s.tobytes(), digest_size=16).digest(), bitmap(s), prefix.view(np.int64)))
-        return pd.DataFrame(out, columns=["n_shingles", "digest", "bitmap", "prefix"])
+            out.append((len(s), hashlib.blake2b(s.tobytes(), digest_size=16).digest(), bitmap(s), wide(s), prefix.view(np.int64)))
+        return pd.DataFrame(out, columns=["n_shingles", "digest", "bitmap", "wide", "prefix"])
 
     return docs.select("doc_id", describe("text").alias("d")).select("doc_id", "d.*")
 
@@ -186,63 +205,107 @@ def dual(a: Tree, b: Tree, percent: int) -> Iterator[tuple[np.ndarray, np.ndarra
 
 
 def candidates(groups: DataFrame, percent: int, forest: bool) -> DataFrame:
-    """Distinct pairs (a, b), a < b, from groups (key, left, right, block, id, n, comp, bitmap); a spanning forest of each group, or all."""
-
-    def pairs_of(g: pd.DataFrame) -> pd.DataFrame:
-        def tree(p: pd.DataFrame) -> Tree:
-            words = np.frombuffer(b"".join(p["bitmap"]), np.uint64).reshape(len(p), -1)
-            return Tree(words, p["n"].to_numpy(), p["comp"].to_numpy())
-
-        left, right = g["left"].iloc[0], g["right"].iloc[0]
-        p = g[g["block"] == left]
-        q = p if left == right else g[g["block"] == right]
-        if not len(p) or not len(q):
-            return pd.DataFrame({"a": [], "b": []}, dtype="int64")
-        t = tree(p)
-        found = list(dual(t, t if q is p else tree(q), percent))
-        if not found:
-            return pd.DataFrame({"a": [], "b": []}, dtype="int64")
-        i, j, like = (np.concatenate(x) for x in zip(*found))
-        a, b = p["id"].to_numpy()[i], q["id"].to_numpy()[j]
-        if forest:
-            keep, root = [], {}
-            for k in np.argsort(-like, kind="stable"):
-                x, y = int(a[k]), int(b[k])
-                while root.get(x, x) != x:
-                    root[x] = x = root.get(root[x], root[x])
-                while root.get(y, y) != y:
-                    root[y] = y = root.get(root[y], root[y])
-                if x != y:
-                    root[x] = y
-                    keep.append(k)
-            a, b = a[keep], b[keep]
-        return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+    """Distinct pairs (a, b, like), a < b, from groups (key, left, right, block, id, n, comp, bitmap); a spanning forest of each group, or all."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: pd.DataFrame | None = None
         seen: set[tuple[int, int]] = set()  # of this task, so that a pair in many groups goes on once
         for batch in batches:
             frame = batch if held is None else pd.concat([held, batch], ignore_index=True)
-            cell = frame[["key", "left", "right"]].to_numpy()
-            starts = np.concatenate([[0], np.flatnonzero((cell[1:] != cell[:-1]).any(1)) + 1]) if len(frame) else np.zeros(1, int)
-            out = [p for s, e in zip(starts[:-1], starts[1:]) if len(p := pairs_of(frame.iloc[s:e]))]
-            held = frame.iloc[starts[-1] :]
-            yield from fresh(out, seen)
+            cells = frame[["key", "left", "right"]].to_numpy()
+            starts = np.concatenate([[0], np.flatnonzero((cells[1:] != cells[:-1]).any(1)) + 1])
+            held = frame.iloc[starts[-1] :]  # may go on in the next batch
+            yield from fresh(frame.iloc[: starts[-1]], starts, seen)
         if held is not None and len(held):
-            yield from fresh([pairs_of(held)], seen)
+            yield from fresh(held, np.array([0, len(held)]), seen)
+
+    def fresh(frame: pd.DataFrame, starts: np.ndarray, seen: set) -> Iterator[pd.DataFrame]:
+        if not len(frame):
+            return
+        words = np.frombuffer(b"".join(frame["bitmap"]), np.uint64).reshape(len(frame), -1)
+        ids, sizes, comps = (frame[c].to_numpy() for c in ("id", "n", "comp"))
+        block, left, right = (frame[c].to_numpy() for c in ("block", "left", "right"))
+        lengths = np.diff(starts)
+        cell = np.repeat(np.arange(len(lengths)), lengths)
+        found = list(_in_leaves(words, sizes, comps, block, left != right, cell, lengths[cell] <= LEAF, percent))
+        for k in np.flatnonzero(lengths > LEAF):
+            at = np.arange(starts[k], starts[k + 1])
+            p, q = at[block[at] == left[at[0]]], at[block[at] == right[at[0]]]
+            if len(p) and len(q):
+                t = Tree(words[p], sizes[p], comps[p])
+                u = t if left[at[0]] == right[at[0]] else Tree(words[q], sizes[q], comps[q])
+                found += [(p[i], q[j], like) for i, j, like in dual(t, u, percent)]
+        if not found:
+            return
+        i, j, like = (np.concatenate(x) for x in zip(*found))
+        if forest:
+            keep = _forest(cell[i], ids[i], ids[j], like)
+            i, j = i[keep], j[keep]
+        pairs = dict(zip(zip(np.minimum(ids[i], ids[j]).tolist(), np.maximum(ids[i], ids[j]).tolist()), like[keep].tolist() if forest else like.tolist()))
+        new = [(*t, v) for t, v in pairs.items() if t not in seen]
+        if len(seen) < 1_000_000:
+            seen.update(pairs)
+        if new:
+            yield pd.DataFrame(new, columns=["a", "b", "like"])
+
+    dealt = groups.repartition(partitions(groups.sparkSession), "key", "left", "right").sortWithinPartitions("key", "left", "right", "id")
+    return dealt.mapInPandas(run, "a long, b long, like double").groupBy("a", "b").agg(F.max("like").alias("like"))
+
+
+def _in_leaves(words, sizes, comps, block, crossed, cell, small, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """The same for all groups that are one leaf, at once: rows are met with the next, the one after it, and so on."""
+    surplus = sizes - np.bitwise_count(words).sum(1).astype(np.int64)
+    for k in range(1, LEAF):
+        i = np.flatnonzero(small[:-k] & (cell[:-k] == cell[k:]))
+        if not len(i):
+            break
+        j = i + k
+        most = np.minimum(sizes[i], sizes[j])
+        ok = (comps[i] != comps[j]) & ((100 + percent) * most >= percent * (sizes[i] + sizes[j])) & (~crossed[i] | (block[i] != block[j]))
+        i, j, most = i[ok], j[ok], most[ok]
+        common = np.bitwise_count(words[i] & words[j]).sum(1).astype(np.int64)
+        most = np.minimum(most, common + np.minimum(surplus[i], surplus[j]))
+        ok = (100 + percent) * most >= percent * (sizes[i] + sizes[j])
+        if ok.any():
+            i, j, common = i[ok], j[ok], common[ok]
+            yield i, j, common / (sizes[i] + sizes[j] - common)
+
+
+def _forest(cell: np.ndarray, a: np.ndarray, b: np.ndarray, like: np.ndarray) -> list[int]:
+    """A maximum spanning forest of each group: places of the pairs that are kept."""
+    keep, root = [], {}
+    for k in np.argsort(-like, kind="stable").tolist():
+        x, y = (int(cell[k]), int(a[k])), (int(cell[k]), int(b[k]))
+        while root.get(x, x) != x:
+            root[x] = x = root.get(root[x], root[x])
+        while root.get(y, y) != y:
+            root[y] = y = root.get(root[y], root[y])
+        if x != y:
+            root[x] = y
+            keep.append(k)
+    return keep
+
+
+def nearest(pairs: DataFrame, most: int = 3) -> DataFrame:
+    """(a, b) of the pairs (a, b, like) that are among the likest few of a or of b."""
+    ends = pairs.select("a", "b", "like", F.explode(F.array("a", "b")).alias("of"))
+    rank = F.row_number().over(Window.partitionBy("of").orderBy(F.desc("like"), "a", "b"))
+    return ends.withColumn("_n", rank).where(F.col("_n") <= most).select("a", "b").distinct()
+
+
+def possible(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Those of the pairs (a, b) that may link by size and bitmap."""
 
-    def fresh(out: list[pd.DataFrame], seen: set) -> Iterator[pd.DataFrame]:
-        if out:
-            new = [t for t in zip(*(pd.concat(out)[c].tolist() for c in "ab")) if t not in seen]
-            new = list(dict.fromkeys(new))
-            if len(seen) < 1_000_000:
-                seen.update(new)
-            if new:
-                yield pd.DataFrame(new, columns=["a", "b"])
+    @F.pandas_udf("boolean")
+    def may(x: pd.Series, n: pd.Series, y: pd.Series, m: pd.Series) -> pd.Series:
+        return pd.Series([fits(*v, percent) for v in zip(x, n, y, m)], dtype="bool")
 
-    spark = groups.sparkSession
-    dealt = groups.repartition(partitions(spark), "key", "left", "right").sortWithinPartitions("key", "left", "right", "id")
-    return dealt.mapInPandas(run, "a long, b long").distinct()
+    # sizes rule out most pairs before any bitmap moves
+    of = lambda end, *cols: sets.select(F.col("id").alias(end), *[F.col(c).alias(f"{c}_{end}") for c in cols]).hint("shuffle_hash")
+    sized = pairs.join(of("a", "n"), "a").join(of("b", "n"), "b")
+    near = sized.where((100 * F.col("n_a") >= percent * F.col("n_b")) & (100 * F.col("n_b") >= percent * F.col("n_a")))
+    both = near.join(of("a", "wide"), "a").join(of("b", "wide"), "b")
+    return both.where(may("wide_a", "n_a", "wide_b", "n_b")).select("a", "b")
 
 
 def verified(pairs: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
@@ -265,7 +328,7 @@ def verified(pairs: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFra
             out.append(bool(linked(len(np.intersect1d(a, b, assume_unique=True)), len(a), len(b), percent)))
         return pd.Series(out)
 
-    sets = staged(docs.join(ids, "doc_id", "left_semi").select("doc_id", exact("text").alias("s")), "ngram-sets")
+    sets = docs.join(ids, "doc_id", "left_semi").select("doc_id", exact("text").alias("s"))
     first = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("s").alias("x")).hint("merge"), "a")
     both = first.join(sets.select(F.col("doc_id").alias("b"), F.col("s").alias("y")).hint("merge"), "b")
     return staged(both.where(link("x", "y")).select("a", "b").distinct(), "ngram-links")
@@ -302,15 +365,20 @@ def classes(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
     usable = table.where("doc_id is not null and n_shingles > 0")
     twins = staged(usable.groupBy("digest").agg(F.min("doc_id").alias("rep")), "ngram-twins")
     # a row goes on if it is the first of its class
-    reps = staged(usable.join(twins.withColumnRenamed("digest", "_d").hint("merge"), (F.col("digest") == F.col("_d")) & (F.col("doc_id") == F.col("rep")), "left_semi").dropDuplicates(["doc_id", "digest"]).select("doc_id", "n_shingles", "bitmap", "prefix"), "ngram-reps")
+    reps = staged(usable.join(twins.withColumnRenamed("digest", "_d").hint("merge"), (F.col("digest") == F.col("_d")) & (F.col("doc_id") == F.col("rep")), "left_semi").dropDuplicates(["doc_id", "digest"]).select("doc_id", "n_shingles", "bitmap", "wide", "prefix"), "ngram-reps")
     records = reps.select(F.explode("prefix").alias("key"), F.col("doc_id").alias("id"))
-    shared = records.groupBy("key").agg(F.count(F.lit(1)).alias("g")).where("g > 1")
-    groups = staged(records.join(shared.hint("shuffle_hash"), "key"), "ngram-groups")
+    shared = staged(records.groupBy("key").agg(F.count(F.lit(1)).alias("g"), F.min("id").alias("a"), F.max("id").alias("b")).where("g > 1"), "ngram-shared")
+    sets = reps.select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "bitmap")
+    large = reps.select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "wide")
+    # a group of two is a pair already
+    twos = shared.where("g = 2").select("a", "b").distinct()
+    keys = shared.where("g > 2").select("key", "g")
+    keys = F.broadcast(keys) if keys.count() <= BROADCAST_IDS else keys.hint("shuffle_hash")
+    groups = staged(records.join(keys, "key"), "ngram-groups")
     blocks = F.ceil(F.col("g") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("id"), blocks).cast("int")
     cells = groups.select("key", "id", own.alias("block"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
     cells = cells.select("key", "id", "block", F.least("block", "other").alias("left"), F.greatest("block", "other").alias("right"))
-    sets = reps.select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "bitmap")
 
     def with_sets(found: DataFrame | None) -> DataFrame:
         known = sets.withColumn("comp", F.col("id"))
@@ -319,12 +387,13 @@ def classes(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
         return cells.join(known.hint("shuffle_hash"), "id").select("key", "left", "right", "block", "id", "n", "comp", "bitmap")
 
     texts = docs.select("doc_id", "text")
-    sure = verified(candidates(with_sets(None), percent, True), texts, n, percent)
+    first = nearest(candidates(with_sets(None), percent, True)).unionAll(twos).distinct()
+    sure = verified(possible(first, large, percent), texts, n, percent)
     known = staged(components(sure), "ngram-known")
-    more = verified(candidates(with_sets(known), percent, False), texts, n, percent)
+    more = verified(possible(candidates(with_sets(known), percent, False).select("a", "b"), large, percent), texts, n, percent)
     final = staged(components(sure.unionAll(more)), "ngram-components").withColumnRenamed("id", "rep")
     named = twins.join(final.hint("shuffle_hash"), "rep", "left").select("digest", F.coalesce("comp", "rep").alias("component_id"))
-    out = table.drop("bitmap", "prefix").withColumn("digest", F.when(F.col("n_shingles") > 0, F.col("digest")))
+    out = table.select("doc_id", "n_shingles", "digest").withColumn("digest", F.when(F.col("n_shingles") > 0, F.col("digest")))
     out = out.join(named.hint("merge"), "digest", "left")
     alone = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("component_id")).otherwise(F.col("doc_id"))
     return out.select("doc_id", "n_shingles", alone.alias("component_id"))
