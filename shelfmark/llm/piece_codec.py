@@ -21,8 +21,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 SPACE = "▁"
-#: Entries that a worker keeps of chunks and of token pairs; beyond it the tables start anew.
-MAX_CHUNKS, MAX_PAIRS = 400_000, 4_000_000
+#: Entries of chunks and of token pairs in each of the two generations that a worker keeps.
+MAX_CHUNKS, MAX_PAIRS = 60_000, 300_000
 RESULT = "struct<ids: binary, n_tokens: bigint, decoded: string>"
 
 
@@ -61,6 +61,25 @@ def merged(text: str, id_of: dict[str, int], scores: list[float]) -> list[str]:
         parts[at : at + 2] = [parts[at] + parts[at + 1]]
 
 
+class Memory:
+    """A bounded table: when the young generation is full it becomes the old one, and what is asked for again moves on."""
+
+    def __init__(self, most: int):
+        self.most, self.young, self.old = most, {}, {}
+
+    def get(self, key):
+        found = self.young.get(key)
+        if found is None and (found := self.old.get(key)) is not None:
+            self.put(key, found)
+        return found
+
+    def put(self, key, value):
+        if len(self.young) >= self.most:
+            self.old, self.young = self.young, {}
+        self.young[key] = value
+        return value
+
+
 class Codec:
     def __init__(self, path: str):
         v = vocabulary(path)
@@ -77,17 +96,14 @@ class Codec:
         self.automaton.make_automaton()
         self.byte_of = {i: b for b, i in self.bytes.items()}
         self.silent = {self.begin, self.end}
-        self.pairs: dict[int, bool] = {}
-        self.chunks: dict[str, tuple[bytes, str]] = {}
+        self.pairs, self.chunks = Memory(MAX_PAIRS), Memory(MAX_CHUNKS)
 
     def compatible(self, left: int, right: int) -> bool:
         key = left * len(self.pieces) + right
         known = self.pairs.get(key)
         if known is None:
-            if len(self.pairs) >= MAX_PAIRS:
-                self.pairs.clear()
             a, b = self.pieces[left], self.pieces[right]
-            known = self.pairs[key] = merged(a + b, self.id_of, self.scores) == [a, b]
+            known = self.pairs.put(key, merged(a + b, self.id_of, self.scores) == [a, b])
         return known
 
     def encode_chunk(self, chunk: str) -> list[int]:
@@ -114,12 +130,10 @@ class Codec:
     def both(self, chunk: str) -> tuple[bytes, str]:
         """Ids of a chunk as little-endian 32-bit integers, and the text these ids stand for."""
         if (known := self.chunks.get(chunk)) is None:
-            if len(self.chunks) >= MAX_CHUNKS:
-                self.chunks.clear()
             ids = self.encode_chunk(chunk)
             known = b"".join(i.to_bytes(4, "little") for i in ids), self.text(ids)
             if len(chunk) <= 64:
-                self.chunks[chunk] = known
+                self.chunks.put(chunk, known)
         return known
 
     def text(self, ids: list[int]) -> str:

@@ -104,7 +104,7 @@ class Reader:
 
     def classify(self, word: str) -> tuple[str, float]:
         if (found := self.known.get(word)) is None:
-            if len(self.known) > 500_000:
+            if len(self.known) > 100_000:
                 self.known.clear()
             weight = max([self.lexicon.get(word, 0.0), *(self.lexicon.get(word[:n] + "*", 0.0) for n in PREFIXES if len(word) >= n)])
             found = self.known[word] = ("I", weight) if weight else (self.fixed.get(word, "O"), 1.0)
