@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfmark.llm import mixing, ngram_join, pii, piece_codec, toxicity
-from shelfmark.llm.common import WORD, staged, table
+from shelfmark.llm.common import WORD, small_batches, staged, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -23,6 +23,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest doc_id of each class of near copies stays (five words, 0.8); rows without a doc_id all stay."""
+    small_batches(spark)
     classes = ngram_join.classes(docs, n=5, percent=80)
     gone = staged(classes.where("doc_id <> component_id").select("doc_id").distinct(), "near-copies")
     few = gone.count() <= ngram_join.BROADCAST_IDS
@@ -32,6 +33,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every span becomes its kind in brackets."""
+    small_batches(spark)
     text = pii.redact(F.col("text"), pii.learn(docs))
     return docs.withColumn("text", text).withColumn("n_chars", F.length("text").cast("long")).select(COLUMNS)
 
@@ -44,6 +46,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, ids (little-endian 32-bit integers), n_tokens and whether decoding them gives the text back."""
+    small_batches(spark)
     r = piece_codec.encode_decode(F.col("text"), public_tokenizers.path("piece_bpe_32k.model"))
     coded = docs.select("doc_id", "text", r.alias("r"))
     # the codec knows blanks only as U+2581, which it decodes to a blank

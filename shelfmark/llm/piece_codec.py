@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 SPACE = "▁"
 #: Entries of chunks and of token pairs in each of the two generations that a worker keeps.
-MAX_CHUNKS, MAX_PAIRS = 60_000, 300_000
+MAX_CHUNKS, MAX_PAIRS = 40_000, 200_000
 RESULT = "struct<ids: binary, n_tokens: bigint, decoded: string>"
 
 
