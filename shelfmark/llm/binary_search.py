@@ -13,8 +13,7 @@ from __future__ import annotations
 import itertools
 import math
 
-import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from shelfmark.llm.common import staged
@@ -55,8 +54,14 @@ def _values(code: Column, parts: list[tuple[int, int, int]]) -> list[Column]:
     return [F.shiftrightunsigned(F.get(code, F.lit(w)), a).bitwiseAND((1 << n) - 1) for w, a, n in parts]
 
 
-def _probes(part: int, value: Column, masks: np.ndarray, wanted: Column) -> Column:
-    made = F.transform(F.lit(masks), lambda m: F.struct(F.lit(part).alias("part"), value.bitwiseXOR(m).alias("value")))
+def masks(spark: SparkSession, width: int, radius: int) -> DataFrame:
+    """One row: all values of so many bits with radius bits set. A table, so that plans hold no long literals."""
+    found = [sum(1 << b for b in bits) for bits in itertools.combinations(range(width), radius)]
+    return spark.createDataFrame([(found,)], "m array<bigint>")
+
+
+def _probes(part: int, value: Column, masks: Column, wanted: Column) -> Column:
+    made = F.transform(masks, lambda m: F.struct(F.lit(part).alias("part"), value.bitwiseXOR(m).alias("value")))
     return F.when(wanted, made).otherwise(F.array().cast("array<struct<part:int,value:bigint>>"))
 
 
@@ -91,12 +96,10 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, id_: str = "vec_i
     done = []
     for radius in range(max(n for _, _, n in parts) + 1):
         searched = F.least(F.lit(len(parts)), F.col("need") - len(parts) * radius + 1)  # segments that go to this radius
-        probes = []
-        for at, n in enumerate(n for _, _, n in parts):
-            masks = np.array([sum(1 << b for b in bits) for bits in itertools.combinations(range(n), radius)], dtype=np.int64)
-            if len(masks):
-                probes.append(_probes(at, _values(F.col("q"), parts)[at], masks, F.lit(at) < searched))
-        found = left.select("q", F.explode(F.concat(*probes)).alias("p")).select("q", "p.part", "p.value")
+        spark = vectors.sparkSession
+        held = left.withColumns({f"_m{n}": masks(spark, n, radius).scalar() for n in {n for _, _, n in parts}})
+        probes = [_probes(at, _values(F.col("q"), parts)[at], F.col(f"_m{n}"), F.lit(at) < searched) for at, (_, _, n) in enumerate(parts)]
+        found = held.select("q", F.explode(F.concat(*probes)).alias("p")).select("q", "p.part", "p.value")
         met = found.join(index.hint("shuffle_hash"), ["part", "value"]).select("q", "code", "ids", distance(F.col("q"), F.col("code"), words).alias("distance"))
         if best is not None:
             met = met.unionByName(best)
