@@ -367,7 +367,10 @@ def classes(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
     # a row goes on if it is the first of its class
     reps = staged(usable.join(twins.withColumnRenamed("digest", "_d").hint("merge"), (F.col("digest") == F.col("_d")) & (F.col("doc_id") == F.col("rep")), "left_semi").dropDuplicates(["doc_id", "digest"]).select("doc_id", "n_shingles", "bitmap", "wide", "prefix"), "ngram-reps")
     records = reps.select(F.explode("prefix").alias("key"), F.col("doc_id").alias("id"))
-    shared = staged(records.groupBy("key").agg(F.count(F.lit(1)).alias("g"), F.min("id").alias("a"), F.max("id").alias("b")).where("g > 1"), "ngram-shared")
+    # the sizes of a group of two say at once whether it can link: by chance most cannot
+    counted = reps.select(F.explode("prefix").alias("key"), F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"))
+    counted = counted.groupBy("key").agg(F.count(F.lit(1)).alias("g"), F.min("id").alias("a"), F.max("id").alias("b"), F.min("n").alias("low"), F.max("n").alias("high"))
+    shared = staged(counted.where((F.col("g") > 2) | ((F.col("g") == 2) & (100 * F.col("low") >= percent * F.col("high")))).select("key", "g", "a", "b"), "ngram-shared")
     sets = reps.select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "bitmap")
     large = reps.select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "wide")
     # a group of two is a pair already
