@@ -238,7 +238,16 @@ def listing_cards(spark, d):
 @query("WITH" + OFFERS + " SELECT 'https://shop.example.test/goods_' || row_id AS url, upper(source_model) AS model, price FROM offers WHERE row_id % 2 = 0")
 def detail_pages(spark, d):
     """U12, J7, P5"""
-    o = offers(spark, d).where("row_id % 2 = 0")
+    return detail_view(offers(spark, d).where("row_id % 2 = 0"))
+
+
+@query("WITH" + OFFERS + " SELECT 'https://shop.example.test/goods_' || row_id AS url, upper(source_model) AS model, price FROM offers")
+def detail_pages_whole(spark, d):
+    """Every part"""
+    return detail_view(offers(spark, d))
+
+
+def detail_view(o):
     url = F.concat(F.lit("https://shop.example.test/goods_"), "row_id")
     html = F.concat(F.lit("<h1>["), "source_model", F.lit("]</h1>"))
     listing = o.select(F.lit("p").alias("page_url"), F.col("row_id").alias("pos"), url.alias("url"), "price")
@@ -264,11 +273,21 @@ def structured_data(spark, d):
  SELECT link FROM links WHERE NOT starts_with(lower(h), '/the') AND link NOT IN (SELECT url FROM pages)""")
 def url_frontier(spark, d):
     """J8"""
+    return frontier_view(spark, d).where(~F.lower(urls.path_of(F.col("link"))).startswith("/the"))
+
+
+@query("WITH" + PARTS + r""", links AS (SELECT DISTINCT scheme || '://' || host || h AS link, h FROM (SELECT scheme, host, unnest(regexp_extract_all(html, '<a href="(/[^"]*)"', 1)) AS h FROM parts WHERE host LIKE '%.example.com'))
+ SELECT link FROM links WHERE link NOT IN (SELECT url FROM pages)""")
+def url_frontier_whole(spark, d):
+    """Every path"""
+    return frontier_view(spark, d)
+
+
+def frontier_view(spark, d):
     p = table(spark, d, "pages").select("url", "html")
     links = pages.extract_links(p)
     nothing = p.limit(0)
-    out = pages.next_frontier(links, p, nothing, ["https://example.com/"])
-    return out.where(~F.lower(urls.path_of(F.col("link"))).startswith("/the"))
+    return pages.next_frontier(links, p, nothing, ["https://example.com/"])
 
 
 # --- values and times
@@ -352,6 +371,18 @@ def feed_index(spark, d):
     return feed_keys(spark, d).select("source", "key", "item").join(all_.where("n = 1").select("source", "key"), ["source", "key"], "left_semi")
 
 
+KEYED = """,
+placed AS (SELECT l_returnflag AS source, row_id, min(source_model) AS item FROM lineitem JOIN offers ON l_partkey = row_id WHERE l_quantity >= 48 GROUP BY ALL),
+reasons AS (SELECT source, item, row_id * 2 AS place, 'original' AS reason, item AS key FROM placed UNION ALL SELECT source, item, row_id * 2 + 1, 'compact', regexp_replace(item, '[-/]', '', 'g') FROM placed),
+indexed AS (SELECT source, key, arg_min(item, place) AS item, arg_min(reason, place) AS reason FROM reasons GROUP BY source, key)"""
+
+
+@query("WITH" + FEEDS + KEYED + " SELECT * FROM indexed")
+def feed_index_whole(spark, d):
+    """Keys that items share too; the first item by position has them"""
+    return feed_keys(spark, d)
+
+
 @query("WITH" + FEEDS + ", codes AS (SELECT source, item AS key FROM listed UNION SELECT source, item || ' NAME' FROM listed) SELECT source, count(*) AS codes_count FROM codes GROUP BY source")
 def feed_codes(spark, d):
     """J2, G5"""
@@ -362,10 +393,22 @@ def feed_codes(spark, d):
 @query("WITH" + FEEDS + ", hits AS (SELECT o.row_id, f.source, f.position FROM offers o JOIN listed l ON l.item = o.source_model JOIN feeds f ON f.source = l.source) SELECT row_id, arg_min(source, position) AS source, 'matched:original' AS reason, source_model AS candidate FROM hits JOIN offers USING (row_id) GROUP BY row_id, source_model")
 def best_matches(spark, d):
     """J3"""
-    rows = offers(spark, d).select("row_id", F.array(F.lit("none"), F.col("source_model")).alias("candidates"))
-    out = match.best_match(rows, feed_keys(spark, d), feeds(spark, d))
     # a row that is listed only by its compact form is another matter
-    return out.where("reason = 'matched:original'").select("row_id", "source", "reason", "candidate")
+    return match_view(spark, d).where("reason = 'matched:original'").select("row_id", "source", "reason", "candidate")
+
+
+@query("WITH" + FEEDS + KEYED + """,
+asked AS (SELECT row_id, source_model AS candidate, 0 AS r, 'original' AS reason, source_model AS key FROM offers UNION ALL SELECT row_id, source_model, 1, 'compact', regexp_replace(source_model, '[-/]', '', 'g') FROM offers),
+hits AS (SELECT a.row_id, a.candidate, 'matched:' || a.reason AS reason, i.source, i.item, a.r * 1000000 + f.position AS place FROM asked a JOIN indexed i ON i.key = a.key JOIN feeds f ON f.source = i.source)
+ SELECT row_id, arg_min(source, place) AS source, arg_min(reason, place) AS reason, arg_min(candidate, place) AS candidate, arg_min(item, place) AS item FROM hits GROUP BY row_id""")
+def best_matches_whole(spark, d):
+    """Every reason"""
+    return match_view(spark, d)
+
+
+def match_view(spark, d):
+    rows = offers(spark, d).select("row_id", F.array(F.lit("none"), F.col("source_model")).alias("candidates"))
+    return match.best_match(rows, feed_keys(spark, d), feeds(spark, d))
 
 
 MISSING = FEEDS + """,
@@ -584,7 +627,18 @@ def stable_counters(spark, d):
 def journal_gaps(spark, d):
     """C5"""
     e = table(spark, d, "events")
-    return changes.needs_full(e.where("event_id % 10 = 0").select(F.col("event_id").alias("cursor")), e.where("event_id >= 100").select(F.col("event_id").alias("revision")))
+    return gap_view(e.where("event_id % 10 = 0"), e)
+
+
+@query("SELECT event_id AS cursor, event_id < 99 AS needs_full FROM events")
+def journal_gaps_whole(spark, d):
+    """Every cursor"""
+    e = table(spark, d, "events")
+    return gap_view(e, e)
+
+
+def gap_view(cursors, e):
+    return changes.needs_full(cursors.select(F.col("event_id").alias("cursor")), e.where("event_id >= 100").select(F.col("event_id").alias("revision")))
 
 
 @query("SELECT l_partkey AS url, max(l_linenumber) AS attempts, CASE WHEN bool_or(l_quantity > 45) THEN 'done' WHEN max(l_linenumber) <= 2 THEN 'retry' ELSE 'deferred' END AS plan FROM lineitem GROUP BY l_partkey")
@@ -737,7 +791,20 @@ RESOLVED = """cands AS (SELECT DISTINCT l_partkey AS product_id, l_suppkey % 3 A
 @query("WITH " + RESOLVED + " SELECT product_id, CASE WHEN count(DISTINCT value) > 1 THEN 'conflict' WHEN arg_min(confidence, priority) >= 90 THEN 'approved' ELSE 'suggested' END AS status, CASE WHEN count(DISTINCT value) > 1 THEN '' ELSE min(value) END AS value, CASE WHEN count(DISTINCT value) > 1 THEN max(confidence) ELSE arg_min(confidence, priority) END AS confidence FROM cands GROUP BY product_id")
 def resolved_values(spark, d):
     """G10"""
-    li = table(spark, d, "lineitem").where("l_suppkey % 10 < 3").select(F.col("l_partkey").alias("product_id"), F.lit(1).alias("field_id"), (F.col("l_suppkey") % 3).alias("priority"), F.concat(F.lit("v"), F.col("l_suppkey") % 2).alias("value"), (F.lit(80) + F.col("l_suppkey") % 3 * 10).cast("int").alias("confidence"), F.lit(0).alias("pos"), F.lit("s").alias("source")).distinct()
+    return resolved_view(table(spark, d, "lineitem").where("l_suppkey % 10 < 3"))
+
+
+RESOLVED_WHOLE = """cands AS (SELECT DISTINCT l_partkey AS product_id, l_suppkey % 3 AS priority, 'v' || (l_suppkey % 2) AS value, CAST(80 + l_suppkey % 3 * 10 AS INTEGER) AS confidence FROM lineitem)"""
+
+
+@query("WITH " + RESOLVED_WHOLE + " SELECT product_id, CASE WHEN count(DISTINCT value) > 1 THEN 'conflict' WHEN arg_min(confidence, priority) >= 90 THEN 'approved' ELSE 'suggested' END AS status, CASE WHEN count(DISTINCT value) > 1 THEN '' ELSE min(value) END AS value, CASE WHEN count(DISTINCT value) > 1 THEN max(confidence) ELSE arg_min(confidence, priority) END AS confidence FROM cands GROUP BY product_id")
+def resolved_values_whole(spark, d):
+    """Every lineitem"""
+    return resolved_view(table(spark, d, "lineitem"))
+
+
+def resolved_view(lines):
+    li = lines.select(F.col("l_partkey").alias("product_id"), F.lit(1).alias("field_id"), (F.col("l_suppkey") % 3).alias("priority"), F.concat(F.lit("v"), F.col("l_suppkey") % 2).alias("value"), (F.lit(80) + F.col("l_suppkey") % 3 * 10).cast("int").alias("confidence"), F.lit(0).alias("pos"), F.lit("s").alias("source")).distinct()
     return attributes.resolve_candidates(li, True).select("product_id", "status", "value", "confidence")
 
 
