@@ -28,7 +28,9 @@ TRAINING_PAGES, SEED = 1500, 7
 # Element kinds of HTML
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript xmp iframe noembed".split())
-DROPPED = RAW | frozenset("head template select option button svg canvas object datalist math".split())
+DROPPED = RAW | frozenset("head template select option button svg datalist".split())
+#: What may stand in a head; anything else, text too, ends it.
+IN_HEAD = frozenset("base basefont bgsound head html link meta noframes noscript script style template title".split())
 BLOCKS = frozenset(
     "address article aside blockquote body center details dialog dd div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul br".split()
 )
@@ -63,6 +65,8 @@ def parse(source: str) -> Page:
     dropped = 0  # open elements whose text never counts
 
     def text(a: int, b: int) -> None:
+        if b > a and page.tags[stack[-1]] == "head" and not source[a:b].isspace():
+            close(len(stack) - 1)
         if b > a and not dropped:
             page.pieces.append((stack[-1], html.unescape(source[a:b])))
 
@@ -98,6 +102,8 @@ def parse(source: str) -> Page:
                     close(k)
                     break
             continue
+        if tag not in IN_HEAD and page.tags[stack[-1]] == "head":
+            close(len(stack) - 1)
         if tag in BLOCKS:
             if tag != "br" and (k := open_at({"p"})):
                 close(k)

@@ -64,6 +64,23 @@ def test_html():
     assert html_extract.main_text("<div>" * 5000 + "<a \"'", m) is not None
 
 
+def test_html_open_head():
+    m = html_extract.default_model()
+    head, body = "<html><head><title>No</title><meta charset=utf-8><style>p{}</style>", "<article><p>First line. Second line, with a longer text that goes on for a while.</p></article>"
+    want = "First line. Second line, with a longer text that goes on for a while."
+    for x in ("</head><body>", "<body>", "", "<script>s</script>\n"):
+        assert html_extract.main_text(head + x + body, m) == want
+    assert html_extract.main_text("<head><template><p>No</p></template></head><body>" + body, m) == want
+
+
+def test_html_kinds_left_to_the_model():
+    m = html_extract.default_model()
+    for tag in ("math", "object", "canvas"):
+        page = f"<body><article><p>First line, with a longer text that goes on <{tag}>a + b</{tag}> for a while.</p><p>Second line, as long as that.</p></article>"
+        assert html_extract.main_text(page, m) == "First line, with a longer text that goes on a + b for a while. Second line, as long as that."
+        assert "a + b" not in html_extract.main_text(page.replace(tag, "svg"), m)
+
+
 def test_html_held_out():
     rng, m = random.Random(4242), html_extract.default_model()
     good = total = 0
