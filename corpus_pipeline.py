@@ -5,7 +5,11 @@ A stage takes (spark, docs, sf_dir). All but the last return the columns of docu
 
 from __future__ import annotations
 
+import re
+from itertools import accumulate
+
 import public_tokenizers
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,14 +48,30 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.uses(mixing.assign(docs, size=words)).select(COLUMNS)
 
 
+def placed(docs: DataFrame) -> DataFrame:
+    """docs with position: a row's place, from 0, in the order in which the table was written. Anything but a table is written first."""
+    own = "_metadata.file_name", "_metadata.row_index"
+    try:
+        rows = docs.select("*", *[F.col(c).alias(n) for c, n in zip(own, ("_file", "_row"))])
+    except AnalysisException:
+        return placed(staged(docs, "placed"))
+    # reads no column; as many rows reach the driver as there are files
+    sizes = rows.groupBy("_file").count().collect()
+    part = lambda name: int(m[1]) if (m := re.match(r"part-(\d+)", name)) else 0
+    files = sorted(sizes, key=lambda r: (part(r["_file"]), r["_file"]))
+    starts = accumulate((r["count"] for r in files), initial=0)
+    first = docs.sparkSession.createDataFrame([(r["_file"], n) for r, n in zip(files, starts)], "_file string, _first long")
+    return rows.join(F.broadcast(first), "_file").withColumn("position", F.col("_first") + F.col("_row")).drop("_file", "_row", "_first")
+
+
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, ids (little-endian 32-bit integers), n_tokens and whether decoding them gives the text back."""
+    """position (place in training order, from 0), doc_id, ids (little-endian 32-bit integers), n_tokens and whether decoding them gives the text back."""
     small_batches(spark)
     r = piece_codec.encode_decode(F.col("text"), public_tokenizers.path("piece_bpe_32k.model"))
-    coded = docs.select("doc_id", "text", r.alias("r"))
+    coded = placed(docs).select("position", "doc_id", "text", r.alias("r"))
     # the codec knows blanks only as U+2581, which it decodes to a blank
     same = F.col("r.decoded") == F.replace(F.coalesce("text", F.lit("")), F.lit("▁"), F.lit(" "))
-    return coded.select("doc_id", "r.n_tokens", "r.ids", same.alias("round_trip"))
+    return coded.select("position", "doc_id", "r.n_tokens", "r.ids", same.alias("round_trip"))
 
 
 STAGES = [

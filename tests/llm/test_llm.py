@@ -393,3 +393,16 @@ def test_stages_in_turn(spark):
 
 def test_stage_names():
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "ngram_join", "pii", "mixing", "sentencepiece"]
+
+
+def test_pipeline_order_over_files(spark, tmp_path):
+    rng = random.Random(3)
+    d = docs(spark, [" ".join(["word"] * rng.randint(1, 40)) + f" {k}" for k in range(400)], ["abc"[k % 3] for k in range(400)])
+    order = mixing.uses(mixing.assign(d, size=F.regexp_count("text", F.lit(r"\S+")).cast("long")))
+    want = [r["doc_id"] for r in order.collect()]
+    order.select(corpus_pipeline.COLUMNS).write.option("maxRecordsPerFile", 70).parquet(str(tmp_path / "mixed"))
+    assert len(list((tmp_path / "mixed").glob("part-*"))) > 5
+    # files are read by size, not by part
+    got = corpus_pipeline.encode(spark, spark.read.parquet(str(tmp_path / "mixed")), "").collect()
+    assert [r["doc_id"] for r in sorted(got, key=lambda r: r["position"])] == want
+    assert sorted(r["position"] for r in got) == list(range(len(want))) and len(set(want)) < len(want)
