@@ -110,16 +110,26 @@ def new_products(products: DataFrame, details: DataFrame, feeds: DataFrame, feed
 def detect_brand(rows: DataFrame, brands: DataFrame, name: str = "name", explicit: str | None = None) -> DataFrame:
     """rows with detected_brand: the stated one, else the longest known brand that stands in the name as whole words, else ''.
 
-    Names are cut into runs of one to four words and met with brands on an equal key; the literal text decides.
+    Names are cut into runs of as many words as brands have and met with them on an equal key; the literal text decides.
+    Brands without a letter or digit of these words are met by runs of characters, of the lengths that such brands have.
     """
     words = lambda c: F.regexp_extract_all(F.upper(c), F.lit("([A-ZА-ЯЁ0-9]+)"), 1)
     known = brands.select(clean_text(F.col("brand")).alias("brand")).where("brand <> ''").distinct()
-    known = known.withColumn("_key", F.array_join(words(F.col("brand")), " ")).where("_key <> ''")
+    parts = words(F.col("brand"))
+    known = known.select("brand", F.size(parts).alias("_n"), F.when(F.size(parts) > 0, F.array_join(parts, " ")).otherwise(F.upper("brand")).alias("_key"))
+    # the distinct lengths of brands are few
+    lengths = known.select((F.col("_n") > 0).alias("worded"), F.when(F.col("_n") > 0, F.col("_n")).otherwise(F.length("_key")).alias("n")).distinct().collect()
+    run = {kind: F.array(*[F.lit(n) for n in sorted(r["n"] for r in lengths if r["worded"] is kind)]).cast("array<int>") for kind in (True, False)}
     ids = rows.withColumn("_id", F.xxhash64(F.col(name))).select("_id", F.col(name).alias("_name")).distinct()
     w = words(F.col("_name"))
-    grams = F.flatten(F.transform(F.sequence(F.lit(1), F.size(w)), lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(4), F.size(w) - i + 1)), lambda n: F.array_join(F.slice(w, i, n), " "))))
-    probes = ids.select("_id", "_name", F.explode(F.when(F.size(w) > 0, F.array_distinct(grams))).alias("_key"))
+    cut = lambda size, lengths, piece: F.flatten(F.transform(F.filter(lengths, lambda n: n <= size), lambda n: F.transform(F.sequence(F.lit(1), size - n + 1), lambda i: piece(i, n))))
+    grams = cut(F.size(w), run[True], lambda i, n: F.array_join(F.slice(w, i, n), " "))
+    if any(not r["worded"] for r in lengths):
+        t = F.upper(clean_text(F.col("_name")))
+        grams = F.concat(grams, cut(F.length(t), run[False], lambda i, n: F.substring(t, i, n)))
+    probes = ids.select("_id", "_name", F.explode(F.array_distinct(grams)).alias("_key"))
     hit = probes.join(known.hint("merge"), "_key").where(F.contains(F.upper(clean_text(F.col("_name"))), F.upper("brand")))
+    hit = hit.where((F.col("_n") > 0) | F.regexp_like(F.upper(clean_text(F.col("_name"))), F.concat(F.lit(r"(?<![A-ZА-ЯЁ0-9])\Q"), "_key", F.lit(r"\E(?![A-ZА-ЯЁ0-9])"))))
     # of brands of one length the first by name
     best = hit.groupBy("_name").agg(F.min_by("brand", F.struct(-F.length("brand"), "brand")).alias("_brand"))
     out = rows.join(best.hint("merge"), F.col(name) == F.col("_name"), "left")

@@ -48,6 +48,14 @@ def test_brands(spark):
     assert rows(match.detect_brand(names, brands)) == [("Boschx", ""), ("LG & Co TV", "LG & Co"), ("Плита Bosch Home 7", "Bosch Home")]
 
 
+def test_long_brands_and_other_scripts(spark):
+    names = spark.createDataFrame([("Kettle A.B.C. & D-E 7",), ("One Two Three Four Five Six Seven",), ("冰箱 東芝 7",), ("東芝X",), ("Kettle ABC",), (None,), ("",)], "name string")
+    brands = spark.createDataFrame([("A.B.C. & D-E",), ("Two Three Four Five Six Seven",), ("Two",), ("東芝",), (None,)], "brand string")
+    got = dict(tuple(r) for r in match.detect_brand(names, brands).collect())
+    assert got == {"Kettle A.B.C. & D-E 7": "A.B.C. & D-E", "One Two Three Four Five Six Seven": "Two Three Four Five Six Seven", "冰箱 東芝 7": "東芝", "東芝X": "", "Kettle ABC": "", None: "", "": ""}
+    assert {r["detected_brand"] for r in match.detect_brand(names, brands.limit(0)).collect()} == {""}
+
+
 def test_dedupe_products(spark):
     p = spark.createDataFrame([(1, "u1", "M"), (2, "u1", "N"), (3, "", "K"), (4, "u2", "K"), (5, "", "k"), (6, "u3", "m")], "pos int, url string, model string")
     assert rows(dedupe.dedupe_products(p), "pos") == [(1,), (3,), (6,)]
