@@ -12,11 +12,20 @@ from shelfmark.functions.text import clean_text
 def read_offer_xml(spark: SparkSession, path: str, row_tag: str) -> DataFrame:
     """Every element named row_tag as an item map<string, string>: lower-cased tag, without prefix, to its text."""
     df = spark.read.format("xml").option("rowTag", row_tag).option("inferSchema", "false").load(path)
-    leaves = [(f.name, F.col(f"`{f.name}`")) for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
+    leaves = [(f.name, c) for f in df.schema.fields if (c := _last_text(F.col(f"`{f.name}`"), f.dataType)) is not None]
     entries = [F.struct(F.lit(n.rpartition(":")[2].lower()).alias("key"), clean_text(c).alias("value")) for n, c in leaves if not n.startswith("_")]
     return df.select(F.map_from_entries(F.filter(F.array(*entries), lambda e: e["value"] != "")).alias("item"))
 
 
+def _last_text(c: Column, kind: T.DataType) -> Column | None:
+    """The text of a child, of a repeated one the last, whatever its attributes; None if it holds elements only."""
+    if isinstance(kind, T.ArrayType):
+        c, kind = F.try_element_at(c, F.lit(-1)), kind.elementType
+    if isinstance(kind, T.StructType):
+        return c["_VALUE"] if "_VALUE" in kind.names else None
+    return c
+
+
 def _text(df: DataFrame, name: str) -> Column | None:
     """A child's text, whatever its case; of a child with attributes its value."""
     for f in df.schema.fields:

@@ -13,6 +13,8 @@ DELIMITERS = (";", ",", "|", "\t")
 BRAND_HEADERS = ("brand", "бренд", "manufacturer", "производитель", "vendor", "марка")
 NAME_HEADERS = ("name", "название", "наименование", "товар", "title", "номенклатура")
 MAX_BYTES = 200 * 1024 * 1024
+#: Cells of a record beyond which a file is an error.
+MAX_COLUMNS = 20_480
 SHEET = ["file", "sheet_index"]
 
 
@@ -43,11 +45,16 @@ def detect_delimiter(lines: DataFrame) -> str:
 def csv_grid(spark: SparkSession, paths: str | list[str], sep: str | None = None, encoding: str = "UTF-8", width: int = 64) -> DataFrame:
     """CSV files as grids. Quoted cells may hold line breaks; row numbers count the records of a file, blank ones included.
 
+    width: the columns read at least; wider records are read whole, their width being taken in a pass before.
     windows-1251 needs spark.sql.legacy.javaCharsets.
     """
     sep = sep or detect_delimiter(spark.read.text(paths).limit(20))
+    read = lambda names, most: spark.read.schema(", ".join(f"{c} string" for c in names)).csv(paths, sep=sep, header=False, multiLine=True, encoding=encoding, ignoreLeadingWhiteSpace=False, quote='"', escape='"', mode="PERMISSIVE", columnNameOfCorruptRecord="_record", maxColumns=most)
+    # a record of more than one cell is whole in _record; quoted delimiters only make the bound wider
+    records = read(["c0", "_record"], MAX_COLUMNS).select(F.when(F.col("c0").isNull() & F.col("_record").isNull(), 0).otherwise(F.length("_record") - F.length(F.replace("_record", F.lit(sep)))).alias("n"))
+    width = max(width, (records.agg(F.max("n")).first()[0] or 0) + 1)
     cells = [f"c{k}" for k in range(width)]
-    raw = spark.read.schema(", ".join(f"{c} string" for c in cells)).csv(paths, sep=sep, header=False, multiLine=True, encoding=encoding, ignoreLeadingWhiteSpace=False, quote='"', escape='"', mode="PERMISSIVE")
+    raw = read(cells, max(MAX_COLUMNS, width))
     # a file is one task with multiLine: its records come in order
     rows = raw.select(F.col("_metadata.file_path").alias("file"), F.array(*cells).alias("cells"), F.monotonically_increasing_id().alias("_n"))
     first = rows.groupBy("file").agg(F.min("_n").alias("_first"))

@@ -33,6 +33,22 @@ def test_xml_feed(spark, tmp_path):
     assert grid.drop_oversize(files, 5)[1].count() == 1
 
 
+def test_wide_csv(spark, tmp_path):
+    cells = [f"h{k}" for k in range(150)]
+    (tmp_path / "a.csv").write_text("x;y\n" + ";".join(cells) + '\n"a;b\n;c";2\n\n', "utf-8")
+    (tmp_path / "b.csv").write_text("p;q\n", "utf-8")
+    got = grid.csv_grid(spark, [str(tmp_path / "a.csv"), str(tmp_path / "b.csv")], sep=";")
+    assert sorted(r["cells"] for r in got.collect()) == sorted([["x", "y"], cells, ["a;b\n;c", "2"], ["p", "q"]])
+    assert grid.locate_header(got, ["h149", "h3"]).first()["at"] == [149, 3]
+
+
+def test_xml_attributes_and_repeats(spark, tmp_path):
+    xml = "<offers><offer><vendorCode>A-1</vendorCode><name>one</name><pic>p1</pic></offer><offer><vendorCode type='x'>B-2</vendorCode><name>two</name><pic>p2</pic><pic n='1'>p3</pic></offer><offer><name>three</name><box><w>1</w></box></offer></offers>"
+    (tmp_path / "f.xml").write_text(xml, "utf-8")
+    got = [r["item"] for r in feeds.read_offer_xml(spark, str(tmp_path / "f.xml"), "offer").collect()]
+    assert got == [{"vendorcode": "A-1", "name": "one", "pic": "p1"}, {"vendorcode": "B-2", "name": "two", "pic": "p3"}, {"name": "three"}]
+
+
 GRID = [
     ("f", 1, "One", 1, ["Прайс"]), ("f", 1, "One", 2, ["Модель", "Цена"]), ("f", 1, "One", 3, ["A-1", "49 490Р"]), ("f", 1, "One", 4, ["", "5"]), ("f", 1, "One", 5, ["C-1", ""]),
     ("f", 2, "Two", 1, ["Название", " ЦЕНА", "модель"]), ("f", 2, "Two", 2, ["x", "59590.0", "B-2"]), ("f", 3, "Three", 1, ["Описание", "Картинка"]),
