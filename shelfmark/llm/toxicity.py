@@ -196,7 +196,9 @@ def learn(docs: DataFrame, labels: DataFrame, train: Column) -> Model:
             yield pd.DataFrame({"mark": [*seen, ""], "n": [*seen.values(), n]})
 
         counted = rows.where(F.col("toxic") == label).mapInPandas(run, "mark string, n long").groupBy("mark").agg(F.sum("n").alias("n"))
-        return {r["mark"]: r["n"] for r in counted.where((F.col("n") >= 4) | (F.col("mark") == "")).collect()}  # bounded by the sample
+        # bounded by the sample, and by the marks asked for where there are some
+        least = 4 if only is None else 1
+        return {r["mark"]: r["n"] for r in counted.where((F.col("n") >= least) | (F.col("mark") == "")).collect()}
 
     toxic = count(None, 1)
     clean = count(frozenset(toxic), 0)

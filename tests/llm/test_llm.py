@@ -33,6 +33,15 @@ def test_grammar_marks():
     assert one("a calm day") == set()
 
 
+def test_rare_marks_of_clean_texts_count(spark, monkeypatch):
+    seen, whole = [], toxicity.lexicon_of
+    monkeypatch.setattr(toxicity, "lexicon_of", lambda counts, *n: seen.extend(counts) or whole(counts, *n))
+    d = docs(spark, ["zorgle"] * 6 + ["zorgle"] * 3 + ["calm"] * 20)
+    labels = spark.createDataFrame([(k, int(k < 6)) for k in range(29)], "doc_id long, toxic int")
+    toxicity.learn(d, labels, F.lit(True))
+    assert {q for m, p, q in seen if m == "zorgle"} == {3} and all(p >= 4 for _, p, _ in seen)
+
+
 def test_toxicity_learns(spark):
     rng = random.Random(5)
     plain = lambda: " ".join(rng.choice("lo mu ta re".split()) + rng.choice("na po".split()) for _ in range(30))
