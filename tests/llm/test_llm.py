@@ -276,11 +276,12 @@ def test_codec_against_library():
     import sentencepiece
 
     sp, c, rng = sentencepiece.SentencePieceProcessor(model_file=MODEL), piece_codec.codec(MODEL), random.Random(1)
-    texts = ["", " ", "  a  b\n\tc\x00 é🙂 <s> <0x41> ▁x ", "a" * 5000, " " * 300]
+    texts = ["", " ", "  a  b\n\tc\x00 é🙂 <s> <0x41> ▁x ", "a" * 5000, " " * 300, "\x00".join("ab🙂"), "🙂" * 700, "x" * 600 + "🙂y", "long text " * 20_000]
     texts += ["".join(rng.choice("  ab etnis\n\tTh▁é🙂<>s0x41ñ　�中国") for _ in range(rng.randint(0, 60))) for _ in range(1500)]
-    for t in texts:
+    for t, (raw, decoded) in zip(texts, c.run(texts), strict=True):
         ids = [1, *sp.encode(t), 2]
-        assert c.encode(t) == ids and c.run(t)[1] == sp.decode(ids) == c.decode(ids)
+        assert np.frombuffer(raw, "<u4").tolist() == ids and decoded == sp.decode(ids) == c.decode(ids)
+    assert c.encode("ñ🙂") == [1, *sp.encode("ñ🙂"), 2]
     for _ in range(200):
         ids = [rng.randrange(3, 32000) if rng.random() < 0.5 else rng.randrange(3, 259) for _ in range(20)]
         assert c.decode(ids) == sp.decode(ids)
