@@ -1,17 +1,18 @@
 """Jaccard join of word n-gram sets by signature trees, and the classes of linked documents.
 
 1. Equal sets are one class; only its smallest doc_id goes on.
-2. Two sets that link share one of the first n - ceil(t n) + 1 of their shingles in any common
-   order, here frequent shingles last: each set is sent to the groups of these shingles.
-3. In a group, a signature tree over the sets: leaves hold up to 64 sets with token bitmaps (groups that are one
-   leaf are done many at once), nodes the OR of the bitmaps below, the range of sizes and of surplus (tokens beyond the bits they set).
-   Two nodes are traversed together, and dropped where no pair below can overlap enough, or
-   where all of both is one component already.
-4. Of a maximum spanning forest of what is left, each set's three likest pairs, less what a bitmap of four bits a token rules out, are
-   verified on the exact sets first; then,
-   with the components known from that, every remaining pair between components. So no link between
-   components is lost, and a group of near copies does not emit all of its pairs.
-
+2. Two sets that link share one of the first few of their shingles in any common
+   order, here frequent shingles last: each set is sent to the groups of these shingles. A group is a shingle and a band
+   of sizes (a power of two and up to the next); a set also goes to the next band if it may link with a set there.
+3. In a group, a signature tree over the sets: leaves hold up to 64 sets with token bitmaps that are as wide as the band asks for
+   (groups that are one leaf are done many at once), nodes the OR of the bitmaps below, the range of sizes and of surplus (tokens beyond the bits they set)
+   and how many shingles follow the group's. Two nodes are traversed together, and dropped where no pair below can overlap enough, or
+   where all of both is one component already. So a pair leaves the group only if bitmaps, sizes and places in the order leave it possible.
+4. Of a maximum spanning forest of what is left, each set's three likest pairs are verified on the exact sets first; then,
+   with the components known from that, every remaining pair between components, in the groups that had a pair and hold
+   several components. So no link between components is lost, and a group of near copies does not emit all of its pairs.
+
+Sets are held as 64-bit hashes of their shingles; two different shingles of one hash would count as one.
 Groups beyond a block of sets are cut into blocks, and every pair of blocks is a task of its own.
 """
 
@@ -28,7 +29,6 @@ from pyspark.sql import functions as F
 
 from shelfmark.llm.common import partitions, staged
 
-BITS = 1024
 LEAF, FAN = 64, 8
 #: Sets of a group that one task takes; larger groups are cut into blocks.
 BLOCK = 4096
@@ -77,17 +77,26 @@ def linked(overlap, a, b, percent: int):
     return 100 * overlap >= percent * (a + b - overlap)
 
 
-def bitmap(shingles: np.ndarray, size: int = BITS) -> bytes:
+def needed(n, m, percent: int):
+    """The overlap at which sets of n and m shingles link."""
+    return -(-percent * (n + m) // (100 + percent))
+
+
+def band_of(n: int) -> int:
+    return n.bit_length() - 1
+
+
+def width(band: int) -> int:
+    """Bits of the bitmaps of a band: two to four for each shingle."""
+    return max(64, 1 << (band + 2))
+
+
+def bitmap(shingles: np.ndarray, size: int) -> bytes:
     bits = np.zeros(size, np.uint8)
     bits[(shingles >> np.uint64(40)) % np.uint64(size)] = 1
     return np.packbits(bits).tobytes()
 
 
-def wide(shingles: np.ndarray) -> bytes:
-    """A bitmap of four bits or more for each shingle, a power of two of them."""
-    return bitmap(shingles, 1 << max(10, (4 * len(shingles) - 1).bit_length()))
-
-
 def fits(x: bytes, n: int, y: bytes, m: int, percent: int) -> bool:
     """Whether two sets of n and m shingles with these bitmaps may link; the longer bitmap is folded to the shorter."""
     p, q = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
@@ -128,31 +137,38 @@ def frequent(docs: DataFrame, n: int, top: int = FREQUENT) -> tuple[np.ndarray,
 
 
 def described(docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """doc_id, n_shingles, digest, bitmap, wide (a bitmap that grows with the set) and prefix (the shingles whose groups the set is sent to)."""
+    """doc_id, n_shingles, digest, band, prefix (the shingles whose groups the set is sent to, in the common order), up (how many of these it is sent to in
+    the next band, too) and the bitmaps for its band and, if it is sent there, for the next."""
     often, times = frequent(docs, n)
 
-    @F.pandas_udf("struct<n_shingles: bigint, digest: binary, bitmap: binary, wide: binary, prefix: array<bigint>>")
+    @F.pandas_udf("struct<n_shingles: bigint, digest: binary, band: int, prefix: array<bigint>, up: int, bitmap: binary, wide: binary>")
     def describe(texts: pd.Series) -> pd.DataFrame:
         hasher, out = Hasher(n), []
         for text in texts:
             s = hasher.shingles(text)
-            rank = np.zeros(len(s), np.int64)
-            if len(often) and len(s):
-                at = np.minimum(np.searchsorted(often, s), len(often) - 1)
-                rank = np.where(often[at] == s, times[at], 0)
-            prefix = s[np.lexsort((s, rank))][: len(s) - least_overlap(len(s), percent) + 1] if len(s) else s
-            out.append((len(s), hashlib.blake2b(s.tobytes(), digest_size=16).digest(), bitmap(s), wide(s), prefix.view(np.int64)))
-        return pd.DataFrame(out, columns=["n_shingles", "digest", "bitmap", "wide", "prefix"])
+            size = len(s)
+            if not size:
+                out.append((0, b"", 0, s.view(np.int64), 0, None, None))
+                continue
+            at = np.minimum(np.searchsorted(often, s), max(len(often) - 1, 0))
+            rank = np.where(often[at] == s, times[at], 0) if len(often) else np.zeros(size, np.int64)
+            prefix = s[np.lexsort((s, rank))][: size - least_overlap(size, percent) + 1]
+            band = band_of(size)
+            above = 1 << (band + 1)  # the least size in the next band
+            up = size - needed(size, above, percent) + 1 if 100 * size >= percent * above else 0
+            wide = bitmap(s, width(band + 1)) if up > 0 else None
+            out.append((size, hashlib.blake2b(s.tobytes(), digest_size=16).digest(), band, prefix.view(np.int64), max(up, 0), bitmap(s, width(band)), wide))
+        return pd.DataFrame(out, columns=["n_shingles", "digest", "band", "prefix", "up", "bitmap", "wide"])
 
     return docs.select("doc_id", describe("text").alias("d")).select("doc_id", "d.*")
 
 
 class Tree:
-    """Over sets with bitmaps (rows of 64-bit words), sizes and components; like sets stand side by side."""
+    """Over sets with bitmaps (rows of 64-bit words), sizes, components and the overlap that their places in the order leave (rest); like sets stand side by side."""
 
-    def __init__(self, words: np.ndarray, sizes: np.ndarray, comps: np.ndarray):
+    def __init__(self, words: np.ndarray, sizes: np.ndarray, comps: np.ndarray, rest: np.ndarray):
         self.order = np.lexsort((*words.T[:2], sizes))
-        self.words, self.sizes, self.comps = words[self.order], sizes[self.order], comps[self.order]
+        self.words, self.sizes, self.comps, self.rest = words[self.order], sizes[self.order], comps[self.order], rest[self.order]
         self.surplus = self.sizes - np.bitwise_count(self.words).sum(1).astype(np.int64)
         spans = [(a, min(a + LEAF, len(sizes))) for a in range(0, len(sizes), LEAF)]
         level = [self._node(a, b, []) for a, b in spans]
@@ -161,10 +177,10 @@ class Tree:
         self.root = level[0]
 
     def _node(self, a: int, b: int, below: list) -> tuple:
-        """(from, to, OR of bitmaps, least size, largest size, largest surplus, only component or None, nodes below)"""
+        """(from, to, OR of bitmaps, least size, largest size, largest surplus, only component or None, nodes below, largest rest)"""
         ors = np.bitwise_or.reduce([n[2] for n in below]) if below else np.bitwise_or.reduce(self.words[a:b])
         only = self.comps[a] if (self.comps[a:b] == self.comps[a]).all() else None
-        return a, b, ors, self.sizes[a:b].min(), self.sizes[a:b].max(), self.surplus[a:b].max(), only, below
+        return a, b, ors, self.sizes[a:b].min(), self.sizes[a:b].max(), self.surplus[a:b].max(), only, below, self.rest[a:b].max()
 
 
 def _hopeless(x: tuple, y: tuple, percent: int) -> bool:
@@ -172,7 +188,7 @@ def _hopeless(x: tuple, y: tuple, percent: int) -> bool:
         return True
     if 100 * x[4] < percent * y[3] or 100 * y[4] < percent * x[3]:
         return True
-    most = min(x[4], y[4], int(np.bitwise_count(x[2] & y[2]).sum()) + min(x[5], y[5]))
+    most = min(x[4], y[4], x[8], y[8], int(np.bitwise_count(x[2] & y[2]).sum()) + min(x[5], y[5]))
     return (100 + percent) * most < percent * (x[3] + y[3])
 
 
@@ -194,7 +210,7 @@ def dual(a: Tree, b: Tree, percent: int) -> Iterator[tuple[np.ndarray, np.ndarra
         (i0, i1), (j0, j1) = x[:2], y[:2]
         common = np.bitwise_count(a.words[i0:i1, None] & b.words[None, j0:j1]).sum(2).astype(np.int64)
         most = common + np.minimum(a.surplus[i0:i1, None], b.surplus[None, j0:j1])
-        most = np.minimum(most, np.minimum(a.sizes[i0:i1, None], b.sizes[None, j0:j1]))
+        most = np.minimum(most, np.minimum(a.rest[i0:i1, None], b.rest[None, j0:j1]))
         total = a.sizes[i0:i1, None] + b.sizes[None, j0:j1]
         ok = ((100 + percent) * most >= percent * total) & (a.comps[i0:i1, None] != b.comps[None, j0:j1])
         if a is b and x is y:
@@ -205,14 +221,15 @@ def dual(a: Tree, b: Tree, percent: int) -> Iterator[tuple[np.ndarray, np.ndarra
 
 
 def candidates(groups: DataFrame, percent: int, forest: bool) -> DataFrame:
-    """Distinct pairs (a, b, like), a < b, from groups (key, left, right, block, id, n, comp, bitmap); a spanning forest of each group, or all."""
+    """Pairs (a, b, like), a < b, that may link, from groups (key, band, left, right, block, id, n, rest, comp, bitmap): a spanning forest of each
+    group, or all. With a forest also a row (key, band) for each group that has a pair. A pair may come from several tasks."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: pd.DataFrame | None = None
         seen: set[tuple[int, int]] = set()  # of this task, so that a pair in many groups goes on once
         for batch in batches:
             frame = batch if held is None else pd.concat([held, batch], ignore_index=True)
-            cells = frame[["key", "left", "right"]].to_numpy()
+            cells = frame[["key", "band", "left", "right"]].to_numpy()
             starts = np.concatenate([[0], np.flatnonzero((cells[1:] != cells[:-1]).any(1)) + 1])
             held = frame.iloc[starts[-1] :]  # may go on in the next batch
             yield from fresh(frame.iloc[: starts[-1]], starts, seen)
@@ -222,45 +239,53 @@ def candidates(groups: DataFrame, percent: int, forest: bool) -> DataFrame:
     def fresh(frame: pd.DataFrame, starts: np.ndarray, seen: set) -> Iterator[pd.DataFrame]:
         if not len(frame):
             return
-        words = np.frombuffer(b"".join(frame["bitmap"]), np.uint64).reshape(len(frame), -1)
-        ids, sizes, comps = (frame[c].to_numpy() for c in ("id", "n", "comp"))
+        maps = frame["bitmap"].to_numpy()
+        ids, sizes, comps, rest, bands = (frame[c].to_numpy() for c in ("id", "n", "comp", "rest", "band"))
         block, left, right = (frame[c].to_numpy() for c in ("block", "left", "right"))
         lengths = np.diff(starts)
         cell = np.repeat(np.arange(len(lengths)), lengths)
-        found = list(_in_leaves(words, sizes, comps, block, left != right, cell, lengths[cell] <= LEAF, percent))
+        small = lengths[cell] <= LEAF
+        words = lambda at: np.frombuffer(b"".join(maps[at]), np.uint64).reshape(len(at), -1)
+        found = []
+        for band in np.unique(bands[small]):
+            at = np.flatnonzero(small & (bands == band))
+            found += [(at[i], at[j], like) for i, j, like in _in_leaves(words(at), sizes[at], comps[at], rest[at], block[at], left[at] != right[at], cell[at], percent)]
         for k in np.flatnonzero(lengths > LEAF):
             at = np.arange(starts[k], starts[k + 1])
             p, q = at[block[at] == left[at[0]]], at[block[at] == right[at[0]]]
             if len(p) and len(q):
-                t = Tree(words[p], sizes[p], comps[p])
-                u = t if left[at[0]] == right[at[0]] else Tree(words[q], sizes[q], comps[q])
+                t = Tree(words(p), sizes[p], comps[p], rest[p])
+                u = t if left[at[0]] == right[at[0]] else Tree(words(q), sizes[q], comps[q], rest[q])
                 found += [(p[i], q[j], like) for i, j, like in dual(t, u, percent)]
         if not found:
             return
         i, j, like = (np.concatenate(x) for x in zip(*found))
         if forest:
+            first = starts[np.unique(cell[i])]
+            yield pd.DataFrame({"key": frame["key"].to_numpy()[first], "band": bands[first], "a": None, "b": None, "like": None})
             keep = _forest(cell[i], ids[i], ids[j], like)
-            i, j = i[keep], j[keep]
-        pairs = dict(zip(zip(np.minimum(ids[i], ids[j]).tolist(), np.maximum(ids[i], ids[j]).tolist()), like[keep].tolist() if forest else like.tolist()))
-        new = [(*t, v) for t, v in pairs.items() if t not in seen]
+            i, j, like = i[keep], j[keep], like[keep]
+        pairs = dict(zip(zip(np.minimum(ids[i], ids[j]).tolist(), np.maximum(ids[i], ids[j]).tolist()), like.tolist()))
+        new = [(None, None, *t, v) for t, v in pairs.items() if t not in seen]
         if len(seen) < 1_000_000:
             seen.update(pairs)
         if new:
-            yield pd.DataFrame(new, columns=["a", "b", "like"])
+            yield pd.DataFrame(new, columns=["key", "band", "a", "b", "like"])
 
-    dealt = groups.repartition(partitions(groups.sparkSession), "key", "left", "right").sortWithinPartitions("key", "left", "right", "id")
-    return dealt.mapInPandas(run, "a long, b long, like double").groupBy("a", "b").agg(F.max("like").alias("like"))
+    cell = "key", "band", "left", "right"
+    dealt = groups.repartition(partitions(groups.sparkSession), *cell).sortWithinPartitions(*cell, "id")
+    return dealt.mapInPandas(run, "key long, band int, a long, b long, like double")
 
 
-def _in_leaves(words, sizes, comps, block, crossed, cell, small, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def _in_leaves(words, sizes, comps, rest, block, crossed, cell, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """The same for all groups that are one leaf, at once: rows are met with the next, the one after it, and so on."""
     surplus = sizes - np.bitwise_count(words).sum(1).astype(np.int64)
     for k in range(1, LEAF):
-        i = np.flatnonzero(small[:-k] & (cell[:-k] == cell[k:]))
+        i = np.flatnonzero(cell[:-k] == cell[k:])
         if not len(i):
             break
         j = i + k
-        most = np.minimum(sizes[i], sizes[j])
+        most = np.minimum(rest[i], rest[j])
         ok = (comps[i] != comps[j]) & ((100 + percent) * most >= percent * (sizes[i] + sizes[j])) & (~crossed[i] | (block[i] != block[j]))
         i, j, most = i[ok], j[ok], most[ok]
         common = np.bitwise_count(words[i] & words[j]).sum(1).astype(np.int64)
@@ -300,12 +325,9 @@ def possible(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     def may(x: pd.Series, n: pd.Series, y: pd.Series, m: pd.Series) -> pd.Series:
         return pd.Series([fits(*v, percent) for v in zip(x, n, y, m)], dtype="bool")
 
-    # sizes rule out most pairs before any bitmap moves
-    of = lambda end, *cols: sets.select(F.col("id").alias(end), *[F.col(c).alias(f"{c}_{end}") for c in cols]).hint("shuffle_hash")
-    sized = pairs.join(of("a", "n"), "a").join(of("b", "n"), "b")
-    near = sized.where((100 * F.col("n_a") >= percent * F.col("n_b")) & (100 * F.col("n_b") >= percent * F.col("n_a")))
-    both = near.join(of("a", "wide"), "a").join(of("b", "wide"), "b")
-    return both.where(may("wide_a", "n_a", "wide_b", "n_b")).select("a", "b")
+    of = lambda end: sets.select(F.col("id").alias(end), F.col("bitmap").alias(f"x_{end}"), F.col("n").alias(f"n_{end}")).hint("shuffle_hash")
+    both = pairs.join(of("a"), "a").join(of("b"), "b")
+    return both.where(may("x_a", "n_a", "x_b", "n_b")).select("a", "b")
 
 
 def verified(pairs: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
@@ -359,41 +381,54 @@ def classes(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
 
     Two documents link when 100 * intersection >= percent * union of their sets of n-word
     sequences. Documents without words have an empty set and are alone, as are rows without a doc_id
-    (component_id null). Rows of one doc_id count as one document. Ties do not matter: a component has no order.
+    (component_id null). Rows of one doc_id count as one document. Ties do not matter: a component has no order. Texts may be of
+    any length; an empty table gives an empty one; other columns of docs, whatever their names, are not looked at.
     """
     table = staged(described(docs.select("doc_id", "text"), n, percent), "ngram-sets")
     usable = table.where("doc_id is not null and n_shingles > 0")
     twins = staged(usable.groupBy("digest").agg(F.min("doc_id").alias("rep")), "ngram-twins")
     # a row goes on if it is the first of its class
-    reps = staged(usable.join(twins.withColumnRenamed("digest", "_d").hint("merge"), (F.col("digest") == F.col("_d")) & (F.col("doc_id") == F.col("rep")), "left_semi").dropDuplicates(["doc_id", "digest"]).select("doc_id", "n_shingles", "bitmap", "wide", "prefix"), "ngram-reps")
-    records = reps.select(F.explode("prefix").alias("key"), F.col("doc_id").alias("id"))
-    # the sizes of a group of two say at once whether it can link: by chance most cannot
-    counted = reps.select(F.explode("prefix").alias("key"), F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"))
-    counted = counted.groupBy("key").agg(F.count(F.lit(1)).alias("g"), F.min("id").alias("a"), F.max("id").alias("b"), F.min("n").alias("low"), F.max("n").alias("high"))
-    shared = staged(counted.where((F.col("g") > 2) | ((F.col("g") == 2) & (100 * F.col("low") >= percent * F.col("high")))).select("key", "g", "a", "b"), "ngram-shared")
-    sets = reps.select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "bitmap")
-    large = reps.select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "wide")
-    # a group of two is a pair already
-    twos = shared.where("g = 2").select("a", "b").distinct()
-    keys = shared.where("g > 2").select("key", "g")
+    reps = usable.join(twins.withColumnRenamed("digest", "_d").hint("merge"), (F.col("digest") == F.col("_d")) & (F.col("doc_id") == F.col("rep")), "left_semi")
+    reps = reps.dropDuplicates(["doc_id", "digest"]).withColumnsRenamed({"doc_id": "id", "n_shingles": "n"})
+    reps = staged(reps.select("id", "n", "band", "prefix", "up", "bitmap", "wide"), "ngram-reps")
+    # each shingle of a prefix, with the overlap that is left from its place on
+    placed = reps.select("id", "n", "band", "up", F.posexplode("prefix").alias("at", "key"))
+    above = (F.col("at") < F.col("up")).cast("int")
+    bands = F.explode(F.sequence("band", F.col("band") + above)).alias("band")
+    records = placed.select("key", "id", "n", (F.col("n") - F.col("at")).alias("rest"), bands)
+    # a group of two is a pair already, and its sizes and places say at once whether it can link: by chance most cannot
+    counted = records.groupBy("key", "band").agg(
+        F.count(F.lit(1)).alias("g"), F.min("id").alias("a"), F.max("id").alias("b"), F.min("n").alias("low"), F.max("n").alias("high"), F.min("rest").alias("rest")
+    )
+    two = (F.col("g") == 2) & ((100 + percent) * F.col("rest") >= percent * (F.col("low") + F.col("high"))) & (100 * F.col("low") >= percent * F.col("high"))
+    shared = staged(counted.where((F.col("g") > 2) | two).select("key", "band", "g", "a", "b"), "ngram-shared")
+    sets = reps.select("id", "n", "bitmap")
+    twos = possible(shared.where("g = 2").select("a", "b").distinct(), sets, percent)
+    keys = shared.where("g > 2").select("key", "band", "g")
     keys = F.broadcast(keys) if keys.count() <= BROADCAST_IDS else keys.hint("shuffle_hash")
-    groups = staged(records.join(keys, "key"), "ngram-groups")
-    blocks = F.ceil(F.col("g") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("id"), blocks).cast("int")
-    cells = groups.select("key", "id", own.alias("block"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
-    cells = cells.select("key", "id", "block", F.least("block", "other").alias("left"), F.greatest("block", "other").alias("right"))
-
-    def with_sets(found: DataFrame | None) -> DataFrame:
-        known = sets.withColumn("comp", F.col("id"))
-        if found is not None:
-            known = sets.join(found.hint("shuffle_hash"), "id", "left").withColumn("comp", F.coalesce("comp", "id"))
-        return cells.join(known.hint("shuffle_hash"), "id").select("key", "left", "right", "block", "id", "n", "comp", "bitmap")
+    groups = staged(records.join(keys, ["key", "band"]).select("key", "band", "id", "n", "rest", "g"), "ngram-groups")
+    maps = reps.select("id", "band", "bitmap").unionAll(reps.where("up > 0").select("id", F.col("band") + 1, "wide"))
+
+    def with_sets(groups: DataFrame, comp: str) -> DataFrame:
+        blocks = F.ceil(F.col("g") / BLOCK).cast("int")
+        own = F.pmod(F.xxhash64("id"), blocks).cast("int")
+        cells = groups.select("*", own.alias("block"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
+        cells = cells.withColumns({"left": F.least("block", "other"), "right": F.greatest("block", "other"), "comp": F.col(comp)})
+        return cells.join(maps.hint("shuffle_hash"), ["id", "band"]).select("key", "band", "left", "right", "block", "id", "n", "rest", "comp", "bitmap")
 
     texts = docs.select("doc_id", "text")
-    first = nearest(candidates(with_sets(None), percent, True)).unionAll(twos).distinct()
-    sure = verified(possible(first, large, percent), texts, n, percent)
+    found = staged(candidates(with_sets(groups, "id"), percent, True), "ngram-forests")
+    likest = found.where("a is not null").groupBy("a", "b").agg(F.max("like").alias("like"))
+    sure = verified(nearest(likest).unionAll(twos).distinct(), texts, n, percent)
     known = staged(components(sure), "ngram-known")
-    more = verified(possible(candidates(with_sets(known), percent, False).select("a", "b"), large, percent), texts, n, percent)
+    # groups that had a pair, and still hold several components
+    active = found.where("key is not null").select("key", "band").distinct()
+    named_groups = staged(
+        groups.join(active.hint("shuffle_hash"), ["key", "band"], "left_semi").join(known.hint("shuffle_hash"), "id", "left").withColumn("comp", F.coalesce("comp", "id")), "ngram-active"
+    )
+    mixed = named_groups.groupBy("key", "band").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("key", "band")
+    rest = candidates(with_sets(named_groups.join(mixed.hint("shuffle_hash"), ["key", "band"], "left_semi"), "comp"), percent, False)
+    more = verified(rest.select("a", "b").distinct(), texts, n, percent)
     final = staged(components(sure.unionAll(more)), "ngram-components").withColumnRenamed("id", "rep")
     named = twins.join(final.hint("shuffle_hash"), "rep", "left").select("digest", F.coalesce("comp", "rep").alias("component_id"))
     out = table.select("doc_id", "n_shingles", "digest").withColumn("digest", F.when(F.col("n_shingles") > 0, F.col("digest")))

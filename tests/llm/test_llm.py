@@ -135,8 +135,8 @@ def brute_classes(texts, n, percent):
     root = list(range(len(texts)))
     for a in range(len(texts)):
         for b in range(a):
-            o = len(sets[a] & sets[b])
-            if sets[a] and sets[b] and 100 * o >= percent * len(sets[a] | sets[b]):
+            o = len(sets[a] & sets[b]) if sets[a] and sets[b] else 0
+            if o and 100 * o >= percent * (len(sets[a]) + len(sets[b]) - o):
                 old, new = max(root[a], root[b]), min(root[a], root[b])
                 root = [new if r == old else r for r in root]
     return {k: (len(sets[k]), root[k]) for k in range(len(texts))}
@@ -157,6 +157,22 @@ def test_ngram_classes(spark, n, percent, monkeypatch):
     assert got == brute_classes(texts, n, percent)
 
 
+def test_ngram_classes_with_a_shared_passage(spark, monkeypatch):
+    """One passage in 2 000 sets, many of them otherwise alike, and long texts across the borders of bands."""
+    monkeypatch.setattr(ngram_join, "FREQUENT", 5)
+    rng = random.Random(2)
+    passage = [f"p{k}" for k in range(12)]
+    texts = []
+    for k in range(2000):
+        own = [f"o{rng.randrange(4000)}" for _ in range(rng.choice([3, 8, 40]))] if k % 3 else [f"c{k % 40}-{x}" for x in range(30)]
+        texts.append(" ".join(passage + own + ([f"e{k}"] if k % 2 else [])))
+    long = [f"l{rng.randrange(900)}" for _ in range(2200)]
+    texts += [" ".join(long[:m]) for m in (1800, 1900, 2050, 2051, 2060, 2200)] + [" ".join(long[:1024] + [f"z{k}"] * k) for k in range(0, 200, 20)]
+    texts += ["", None, "p0 p1", "p0 p1"]
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.classes(docs(spark, texts), 4, 85).collect()}
+    assert got == brute_classes(texts, 4, 85)
+
+
 def test_ngram_edges(spark):
     assert ngram_join.classes(docs(spark, []), 4, 85).count() == 0
     d = spark.createDataFrame([(None, "a b c d e", "x"), (3, "a b c d e", "y"), (3, "a b c d e", "z")], "doc_id long, text string, digest string")
@@ -168,8 +184,9 @@ def test_tree_finds_all_pairs():
     rng = np.random.default_rng(1)
     sets = [np.unique(rng.integers(0, 1 << 63, 60).astype(np.uint64)) for _ in range(30)]
     sets += [np.unique(np.concatenate([s[: int(len(s) * 0.95)], rng.integers(0, 1 << 63, 2).astype(np.uint64)])) for s in sets for _ in range(5)]
-    words = np.frombuffer(b"".join(map(ngram_join.bitmap, sets)), np.uint64).reshape(len(sets), -1)
-    t = ngram_join.Tree(words, np.array(list(map(len, sets))), np.arange(len(sets)))
+    words = np.frombuffer(b"".join(ngram_join.bitmap(s, 256) for s in sets), np.uint64).reshape(len(sets), -1)
+    sizes = np.array(list(map(len, sets)))
+    t = ngram_join.Tree(words, sizes, np.arange(len(sets)), sizes)
     found = {tuple(sorted(p)) for i, j, _ in ngram_join.dual(t, t, 85) for p in zip(i.tolist(), j.tolist())}
     true = {(a, b) for b in range(len(sets)) for a in range(b) if ngram_join.linked(len(np.intersect1d(sets[a], sets[b])), len(sets[a]), len(sets[b]), 85)}
     assert true and true <= found
