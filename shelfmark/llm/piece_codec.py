@@ -30,8 +30,8 @@ SPACE = "▁"
 PAIR_BITS = 21
 #: Chunks longer than this are encoded one by one.
 MAX_COLUMNS = 512
-#: Characters of text that are gathered at once.
-GATHERED = 2 << 20
+#: Characters of text that are gathered at once, and of distinct chunks that are encoded at once.
+GATHERED, ENCODED = 2 << 20, 1 << 17
 RESULT = "struct<ids: binary, n_tokens: bigint, decoded: string>"
 
 
@@ -131,10 +131,10 @@ class Codec:
         odd = (lengths > MAX_COLUMNS) | np.logical_or.reduceat(unknown, starts) if len(chunks) else np.zeros(0, bool)
         if odd.any():
             return self._mixed(chunks, odd)
-        found = np.fromiter(chain.from_iterable(self.automaton.iter(joined)), np.int64).reshape(-1, 2)
+        found = np.fromiter(chain.from_iterable(self.automaton.iter(joined)), np.int32).reshape(-1, 2)
         alone = np.flatnonzero(self.single[points] >= 0)
         ends = np.concatenate([alone, found[:, 0]]) + 1
-        tokens = np.concatenate([self.single[points[alone]], found[:, 1].astype(np.int32)])
+        tokens = np.concatenate([self.single[points[alone]], found[:, 1]])
         column = (ends - np.repeat(starts, lengths + 1)[ends - 1]).astype(np.uint16)
         order = np.argsort(column, kind="stable")
         ends, tokens, column = ends[order], tokens[order], column[order]
@@ -239,7 +239,10 @@ class Codec:
     def _gathered(self, texts: list[str]) -> Iterator[tuple[bytes, str]]:
         place = defaultdict(count().__next__)  # of each distinct chunk
         chunks = [np.fromiter(map(place.__getitem__, self.chunk.findall(SPACE + t.replace(" ", SPACE)) if t else ()), np.int64) for t in texts]
-        flat, sizes = self.encode_chunks(list(place))
+        distinct = list(place)
+        cuts = np.flatnonzero(np.diff(np.cumsum(list(map(len, distinct))) // ENCODED)) + 1
+        coded = [self.encode_chunks(distinct[a:b]) for a, b in zip([0, *cuts], [*cuts, len(distinct)])]
+        flat, sizes = (np.concatenate(x) for x in zip(*coded))
         starts = np.cumsum(sizes) - sizes
         begin, end = self.begin.to_bytes(4, "little"), self.end.to_bytes(4, "little")
         for own in chunks:
