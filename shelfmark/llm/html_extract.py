@@ -14,7 +14,7 @@ import html
 import math
 import random
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -35,11 +35,15 @@ BLOCKS = frozenset(
     "address article aside blockquote body center details dialog dd div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul br".split()
 )
 #: A start tag of the key ends an open element of the values, up to an element of the scope.
-IMPLIED = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
+IMPLIED = {"button": {"button"}, "select": {"select"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
+#: Lists and buttons whose end tag is missing end where such an element starts.
+UNENDED = {"select": BLOCKS - {"option"}, "datalist": BLOCKS - {"option"}, "option": BLOCKS, "button": BLOCKS - {"div", "br", "hr", "option", "ul", "li"}}
 SCOPE = frozenset("html body article section div main aside nav header footer form table td th ul ol dl blockquote".split())
 
+# Linear in the page: every part is possessive. Quotes hold '>' in values only, and one that is never closed holds nothing; a tag that
+# the page ends in is no tag, and takes the rest of the page with it.
 _TAG = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)",
+    r"<!--(?:-?>|.*?(?:--!?>|\Z))|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')?+)*+)(?:>|\Z)|<[!?/][^>]*+(?:>|\Z)",
     re.S,
 )
 _NAMES = re.compile(r"\b(class|id|role|data-y)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
@@ -63,6 +67,7 @@ def parse(source: str) -> Page:
     page = Page([-1], ["#root"], [""], [""], [])
     stack, at = [0], 0
     dropped = 0  # open elements whose text never counts
+    opened: Counter[str] = Counter()
 
     def text(a: int, b: int) -> None:
         if b > a and page.tags[stack[-1]] == "head" and not source[a:b].isspace():
@@ -74,13 +79,14 @@ def parse(source: str) -> Page:
         nonlocal dropped
         while len(stack) > to:
             tag = page.tags[stack.pop()]
+            opened[tag] -= 1
             dropped -= tag in DROPPED
             if tag in BLOCKS:
                 page.pieces.append((-1, ""))
 
     def open_at(wanted) -> int:
         """Place in the stack of the nearest open element among wanted, within the scope; 0 if there is none."""
-        for k in range(len(stack) - 1, 0, -1):
+        for k in range(len(stack) - 1 if any(opened[w] for w in wanted) else 0, 0, -1):
             tag = page.tags[stack[k]]
             if tag in wanted:
                 return k
@@ -92,18 +98,21 @@ def parse(source: str) -> Page:
     while m := _TAG.search(source, position):
         text(at, m.start())
         at = position = m.end()
-        end, tag, rest = (m[1], m[2], m[3]) if m[2] else (m[4], m[5], m[6])
-        if not tag:
+        end, tag, rest = m[1], m[2], m[3]
+        if not tag or not m[0].endswith(">"):
             continue
         tag = tag.lower()
         if end:
-            for k in range(len(stack) - 1, 0, -1):
+            for k in range(len(stack) - 1 if opened[tag] else 0, 0, -1):
                 if page.tags[stack[k]] == tag:
                     close(k)
                     break
             continue
         if tag not in IN_HEAD and page.tags[stack[-1]] == "head":
             close(len(stack) - 1)
+        if dropped and tag in BLOCKS:
+            while (k := len(stack) - 1) and tag in UNENDED.get(page.tags[stack[k]], ()):
+                close(k)
         if tag in BLOCKS:
             if tag != "br" and (k := open_at({"p"})):
                 close(k)
@@ -118,9 +127,10 @@ def parse(source: str) -> Page:
         page.names.append(" ".join(named.get(k, "") for k in ("class", "id", "role")).lower())
         page.labels.append(named.get("data-y", ""))
         stack.append(len(page.tags) - 1)
+        opened[tag] += 1
         dropped += tag in DROPPED
         if tag in RAW:
-            stop = re.compile(rf"</{tag}", re.I).search(source, at)
+            stop = re.compile(rf"</{tag}(?=[\s/>]|\Z)", re.I).search(source, at)
             at = position = stop.start() if stop else len(source)
     text(at, len(source))
     close(1)
@@ -358,7 +368,10 @@ def default_model() -> Model:
 
 
 def extract(source: Column, model: Model | None = None) -> Column:
-    """The main text of whole html; null and pages without any give ''."""
+    """The main text of whole html. Null, empty and pages without any give ''. Pages may be very long: the time grows in
+    proportion. A page depends on itself alone: repeated rows get equal texts, an empty table gives none, and other columns are not
+    looked at. A node that is as likely content as not is left out.
+    """
     model = model or default_model()
 
     @F.pandas_udf("string")

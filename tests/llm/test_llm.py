@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -82,6 +83,31 @@ def test_html_open_head():
     assert html_extract.main_text("<head><template><p>No</p></template></head><body>" + body, m) == want
 
 
+def test_html_unended():
+    """Controls without end tags, unclosed quotes, tags that the page ends in, and comments that close at once."""
+    m = html_extract.default_model()
+    body = "<article><h1>A title</h1><p>First line. Second line, with a longer text that goes on for a while.</p></article>"
+    want = "A title First line. Second line, with a longer text that goes on for a while."
+    for x in ("<button>Go", "<div><button>Go</div>", "<div><select><option>a<option>b</div>", "<select><option>a<option>b", "<!-->", "<!--->", "<!-- a > b -->", '<img alt="x > y">', "<img alt=\"it's\">"):
+        assert html_extract.main_text("<body>" + x + body, m) == want
+    assert html_extract.main_text("<body>" + body + "<p class='never ended", m) == want
+    assert html_extract.main_text(f"<body><a title=\"unclosed>{body}", m) == want
+    assert html_extract.main_text("<body><article><p>One long line, with text enough &amp; some &#233; and &unknown; more.</p></article>", m) == "One long line, with text enough & some é and &unknown; more."
+
+
+@pytest.mark.parametrize("part", ["<p", "<p ", '<p a="', "<p '", '<p a=">" ', "<!--", "</b>", "<b><i></x>", "<![CDATA[", "&amp;<", "<script>", "<ul><li><b>x", "<select><div>"])
+def test_html_time_is_linear(part):
+    m = html_extract.default_model()
+
+    def seconds(n):
+        began = time.process_time()
+        html_extract.main_text(part * (n // len(part)), m)
+        return time.process_time() - began
+
+    seconds(1000)
+    assert seconds(1_000_000) < 30 + 60 * seconds(50_000)
+
+
 def test_html_kinds_left_to_the_model():
     m = html_extract.default_model()
     for tag in ("math", "object", "canvas"):
