@@ -91,7 +91,7 @@ def test_html_unended():
     for x in ("<button>Go", "<div><button>Go</div>", "<div><select><option>a<option>b</div>", "<select><option>a<option>b", "<!-->", "<!--->", "<!-- a > b -->", '<img alt="x > y">', "<img alt=\"it's\">"):
         assert html_extract.main_text("<body>" + x + body, m) == want
     assert html_extract.main_text("<body>" + body + "<p class='never ended", m) == want
-    assert html_extract.main_text(f"<body><a title=\"unclosed>{body}", m) == want
+    assert html_extract.main_text(f"<body><img title=\"unclosed>{body}", m) == want
     assert html_extract.main_text("<body><article><p>One long line, with text enough &amp; some &#233; and &unknown; more.</p></article>", m) == "One long line, with text enough & some é and &unknown; more."
 
 
