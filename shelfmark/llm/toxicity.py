@@ -1,13 +1,14 @@
 """Toxicity by a weighted finite-state pattern grammar.
 
-Words become symbols: insult, threat, target, negation, reported speech, other. Three
-small transducers mark an insult or threat that is negated, reported or aimed at somebody;
-their composition is one deterministic machine that reads a clause word by word. What scores
-is the matched clause with its marks, not the word alone.
+Words become symbols: insult, threat, target, negation, reported speech, other. Small
+transducers mark an insult or threat that is negated, reported or aimed at somebody. Their
+composition is a pair of deterministic machines: one reads a clause word by word and marks by what
+stood before, the other reads what the first wrote from the end and marks by what comes after ("I will kill you", "..., she said").
+What scores is the matched clause with its marks, not the word alone.
 
 The lexicon of insults is learned from labelled texts (words, and word beginnings of four
 to seven letters, that stand in toxic texts far more often than in others) beside a few fixed
-words; so are the weights of the marked matches, which are drawn towards prior weights.
+words (a word of another fixed class keeps that class); so are the weights of the marked matches, which are drawn towards prior weights.
 """
 
 from __future__ import annotations
@@ -24,7 +25,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Labelled rows that the lexicon and the weights are fitted on, at most about (chosen by hash of doc_id).
+#: Labelled rows that the lexicon and the weights are fitted on, at most about (chosen by hash of doc_id), and entries of the lexicon. A word or
+#: beginning needs four toxic texts of that sample to be looked at.
 MAX_LABELLED = 20_000
 MAX_LEXICON = 20_000
 PREFIXES = (4, 5, 6, 7)
@@ -81,8 +83,9 @@ def compose(a: Transducer, b: Transducer) -> Transducer:
     return Transducer(f"{a.start},{b.start}", arcs)
 
 
-#: n: negated within three words, r: reported in this clause, t: aimed at somebody within four words.
-GRAMMAR = compose(compose(window("N", "n", 3), window("R", "r", None)), window("T", "t", 4))
+#: n: negated within the three words before, r: reported in this clause, t: aimed at somebody within four words. Read forwards, and then backwards.
+FORWARDS = compose(compose(window("N", "n", 3), window("R", "r", None)), window("T", "t", 4))
+BACKWARDS = compose(window("R", "r", None), window("T", "t", 4))
 MATCHES = [c + "".join(m) for c in "IH" for m in product(("", "n"), ("", "r"), ("", "t"))]
 #: Prior weight of a match, in log odds.
 PRIOR = {m: (6.0 if m[0] == "I" else 5.0) * (0.4 if "n" in m else 1) * (0.6 if "r" in m else 1) * (1.2 if "t" in m else 1) for m in MATCHES}
@@ -95,6 +98,19 @@ class Model:
     bias: float
 
 
+def marked(symbols: list[str]) -> list[str]:
+    """The symbols of a clause, insults and threats with their marks in the order of MATCHES."""
+    state, said = FORWARDS.start, []
+    for symbol in symbols:
+        state, out = FORWARDS.step(state, symbol)
+        said.append(out)
+    state = BACKWARDS.start
+    for k in range(len(said) - 1, -1, -1):
+        state, out = BACKWARDS.step(state, said[k])
+        said[k] = out[0] + "".join(m for m in "nrt" if m in out[1:])
+    return said
+
+
 class Reader:
     """Classes of words, with a memory of those seen."""
 
@@ -107,7 +123,8 @@ class Reader:
             if len(self.known) > 100_000:
                 self.known.clear()
             weight = max([self.lexicon.get(word, 0.0), *(self.lexicon.get(word[:n] + "*", 0.0) for n in PREFIXES if len(word) >= n)])
-            found = self.known[word] = ("I", weight) if weight else (self.fixed.get(word, "O"), 1.0)
+            kind = self.fixed.get(word, "O")
+            found = self.known[word] = ("I", weight) if weight and kind == "O" else (kind, 1.0)
         return found
 
     def features(self, text: str) -> np.ndarray:
@@ -116,18 +133,20 @@ class Reader:
         tokens = TOKEN.findall(text.lower())
         if not any(self.classify(w)[0] in "IH" for w in set(tokens)):
             return out
-        state, clause = GRAMMAR.start, {}
+        read: list[tuple[str, float]] = []
         for word in [*tokens, "."]:
-            if word in ENDS:
+            if word not in ENDS:
+                read.append(self.classify(word))
+                continue
+            if any(symbol in "IH" for symbol, _ in read):
+                clause: dict[int, float] = {}
+                for said, (symbol, weight) in zip(marked([symbol for symbol, _ in read]), read):
+                    if symbol in "IH":
+                        k = MATCHES.index(said)
+                        clause[k] = max(clause.get(k, 0.0), weight)
                 for k, w in clause.items():
                     out[k] += w
-                state, clause = GRAMMAR.start, {}
-                continue
-            symbol, weight = self.classify(word)
-            state, said = GRAMMAR.step(state, symbol)
-            if symbol in "IH":
-                k = MATCHES.index(said)
-                clause[k] = max(clause.get(k, 0.0), weight)
+            read = []
         return np.log1p(out)
 
 
@@ -176,7 +195,11 @@ def fit_weights(x: np.ndarray, y: np.ndarray) -> tuple[tuple[float, ...], float]
 
 
 def learn(docs: DataFrame, labels: DataFrame, train: Column) -> Model:
-    """The model from labelled rows (doc_id, toxic) for which train holds. No labels: the prior."""
+    """The model from labelled rows (doc_id, toxic) for which train holds. No such labels, or none toxic: the prior.
+
+    Rows without a doc_id or label teach nothing; of several labels of one doc_id the largest counts. Documents that repeat a
+    doc_id count once each. Of marks that tell equally much the last by name goes first.
+    """
     spark = docs.sparkSession
     usable = labels.where(train & F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("toxic"))
     n = usable.count()
@@ -218,7 +241,11 @@ def learn(docs: DataFrame, labels: DataFrame, train: Column) -> Model:
 
 
 def toxicity(text: Column, model: Model) -> Column:
-    """The score of a whole text, 0 to 1; null counts as empty, which scores the bias alone."""
+    """The score of a whole text, 0 to 1; null counts as empty, which scores the bias alone.
+
+    Texts may be of any length. A score depends on the text alone: repeated rows score the same, an empty table gives an empty one,
+    and other columns are not looked at. A score of 0.5 counts as toxic where a side has to be taken.
+    """
 
     @F.pandas_udf("double")
     def run(texts: pd.Series) -> pd.Series:

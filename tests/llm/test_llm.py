@@ -25,13 +25,45 @@ def docs(spark, texts, sources=None):
 
 
 def test_grammar_marks():
-    reader = toxicity.Reader({"idiot": 1.0})
+    reader = toxicity.Reader({"idiot": 1.0, "kill": 1.0, "you": 0.9, "sai*": 0.5})
     one = lambda text: {toxicity.MATCHES[k] for k in np.flatnonzero(reader.features(text))}
     assert one("you idiot") == {"It"}
     assert one("not an idiot. idiot") == {"In", "I"}
     assert one("they said he is an idiot") == {"Irt"}
-    assert one("kill them") == {"H"}
-    assert one("a calm day") == set()
+    assert one("He is an idiot, she said") == {"Irt"}
+    assert one("kill them") == one("I will kill you") == {"Ht"}
+    assert one("kill one two three four you") == {"H"}
+    assert one("a calm day, she said to you") == set()
+
+
+def brute_features(text, lexicon):
+    """Plain rules over the words of each clause."""
+    fixed = {w: c for c, ws in (("R", toxicity.REPORTS), ("N", toxicity.NEGATIONS), ("T", toxicity.TARGETS), ("H", toxicity.THREATS)) for w in ws}
+    out = dict.fromkeys(toxicity.MATCHES, 0.0)
+    for clause in re.split(r"[.!?;:\n]", text.lower()):
+        words, best = re.findall(r"[^\W\d_]+(?:['’][^\W\d_]+)?", clause), {}
+        kinds = []
+        for w in words:
+            weight = max([lexicon.get(w, 0), *(lexicon.get(w[:n] + "*", 0) for n in (4, 5, 6, 7) if len(w) >= n)])
+            kinds.append((fixed[w], 1.0) if w in fixed else ("I", weight) if weight else ("O", 1.0))
+        for i, (c, weight) in enumerate(kinds):
+            if c in "IH":
+                near = lambda kind, a, b: any(k == kind for k, _ in kinds[max(0, a) : b])
+                m = c + "n" * near("N", i - 3, i) + "r" * near("R", 0, len(kinds)) + "t" * (near("T", i - 4, i) or near("T", i + 1, i + 5))
+                best[m] = max(best.get(m, 0), weight)
+        for m, weight in best.items():
+            out[m] += weight
+    return np.log1p([out[m] for m in toxicity.MATCHES])
+
+
+def test_grammar_against_plain_rules():
+    lexicon = {"idiot": 1.0, "zorg*": 0.4, "kill": 0.9, "zorgle": 0.7}
+    reader, rng = toxicity.Reader(lexicon), random.Random(6)
+    for _ in range(3000):
+        text = " ".join(rng.choice("you idiot zorgling zorgle kill hurt not never said writes him. calm day, a the ! isn't : zorg x1".split()) for _ in range(rng.randint(0, 25)))
+        assert np.allclose(reader.features(text), brute_features(text, lexicon))
+        model = toxicity.Model(lexicon, tuple(np.linspace(1, 3, len(toxicity.MATCHES))), -2.0)
+        assert toxicity.score(model, reader, text) == pytest.approx(1 / (1 + np.exp(2.0 - brute_features(text, lexicon) @ np.array(model.weights))))
 
 
 def test_rare_marks_of_clean_texts_count(spark, monkeypatch):
