@@ -10,19 +10,25 @@ from pyspark.sql import functions as F
 from shelfmark.functions.keys import compare_key, fold_lookalikes, trim_edges
 from shelfmark.functions.text import cell_text, clean_text, let, prepare_model, strip_phrases, technical_clean, text_of
 
-# Units that are no models
+# Units that are no models, and those of them that the test of single words knows
 UNITS = "ВТ|W|BT|В|V|B|Л|L|МЛ|ML|КГ|KG|Г|G|СМ|CM|ММ|MM"
-_AMOUNT = rf"\d+(?:[.,]\d+)?(?:{UNITS})"
-UNIT_ONLY = rf"^{_AMOUNT}(?:/\d+(?:[.,]\d+)?(?:{UNITS}))*$"
+WORD_UNITS = "ВТ|BT|В|V|B|Л|МЛ|ML|КГ|KG|Г|G|СМ|CM|ММ|MM"
+
+
+def _amounts(units: str) -> str:
+    return rf"^\d+(?:[.,]\d+)?(?:{units})(?:/\d+(?:[.,]\d+)?(?:{units}))*$"
+
+
+UNIT_ONLY, WORD_UNIT_ONLY = _amounts(UNITS), _amounts(WORD_UNITS)
 LETTERS = "A-Za-zА-Яа-яЁё"
 TOKEN = rf"[{LETTERS}0-9]+(?:[./_+\-][{LETTERS}0-9]+)*"
 MOST = 8
 
 
 def is_model_token(c: Column) -> Column:
-    """Not an amount with a unit, and with a Latin letter, or a digit beside Cyrillic letters."""
+    """Not an amount with a unit (W and L are none here), and with a Latin letter, or a digit beside Cyrillic letters."""
     latin, digit, cyrillic = c.rlike("[A-Za-z]"), c.rlike(r"\d"), c.rlike("[А-Яа-яЁё]")
-    return (c != "") & ~F.upper(c).rlike(UNIT_ONLY) & (latin | (digit & cyrillic))
+    return (c != "") & ~F.upper(c).rlike(WORD_UNIT_ONLY) & (latin | (digit & cyrillic))
 
 
 def _short_lookalike(c: Column) -> Column:
@@ -59,7 +65,9 @@ def display(c: Column) -> Column:
     def words(text: Column) -> Column:
         return F.transform(F.split(text, " "), lambda w: F.when(w.rlike(r"\d") | (text.rlike(r"\d") & w.rlike(f"^[{LETTERS}]{{1,3}}$")), F.upper(fold_lookalikes(w))).otherwise(w))
 
-    return let(trim_edges(technical_clean(c)), lambda text: F.array_join(words(text), " "))
+    # parts of a clean text are clean, unless they hold a tag or a reference
+    clean = F.when(c.rlike("[<&]"), technical_clean(c)).otherwise(clean_text(c))
+    return let(trim_edges(clean), lambda text: F.array_join(words(text), " "))
 
 
 def tail_after_brand(name: Column, brand: Column) -> Column:

@@ -139,8 +139,16 @@ def feed_source(url: Column) -> Column:
 
 
 def glob(pattern: str) -> str:
-    """A regular expression for a shell pattern with * and ?"""
-    return "(?s)^" + "".join({"*": ".*", "?": "."}.get(ch, re.escape(ch)) for ch in pattern) + "$"
+    """A regular expression for a shell pattern with *, ? and sets: [abc], [a-c], [!abc]"""
+    parts = re.split(r"(\[!?\]?[^\]]*\]|.)", pattern, flags=re.S)
+
+    def one(p: str) -> str:
+        if len(p) < 3:
+            return {"*": ".*", "?": "."}.get(p, re.escape(p))
+        inner = re.sub(r"[\\\[\]^&~|]", r"\\\g<0>", p[1:-1].removeprefix("!"))
+        return f"[{'^' if p[1] == '!' else ''}{inner}]"
+
+    return "(?s)^" + "".join(map(one, parts)) + "$"
 
 
 def _any(tests: list[Column]) -> Column:
@@ -156,7 +164,7 @@ def url_excluded(url: Column, patterns: list[str]) -> Column:
         ended = p.rstrip("/") + "/"
         if not p:
             continue
-        if "*" in p or "?" in p:
+        if "*" in p or "?" in p:  # sets alone make no glob
             tests.append(full.rlike(glob(p)) | path.rlike(glob(p)))
         elif p.startswith(("http://", "https://")):
             tests.append(full.startswith(ended))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from shelfmark.functions.text import clean_text, text_of
 from shelfmark.functions.values import DIMENSIONS, NUMBER, attr_key, attr_model, cheap_score, mapping_score, norm_value, sequence_ratio, split_header
-from shelfmark.operators.dedupe import first_by
+from shelfmark.operators.dedupe import first_by, top_k_per
 from shelfmark.operators.match import small
 
 # Fixed thresholds
@@ -138,11 +138,28 @@ def batch_summary(values: DataFrame) -> DataFrame:
 
 
 def product_status(values: DataFrame) -> DataFrame:
-    """product_id, status (review while a value of the template is missing, in conflict, suggested or unknown), open_values."""
-    is_open = F.col("is_in_template") & F.col("status").isin("missing", "conflict", "suggested", "unknown")
+    """product_id, status (review while a value of the template is open), open_values. Open: missing, in conflict, suggested, unknown, ambiguous, or without a final value."""
+    is_open = F.col("is_in_template") & (F.col("status").isin("missing", "suggested", "conflict", "unknown", "ambiguous") | (text_of(F.col("final_value")) == ""))
     return values.groupBy("product_id").agg(F.when(F.bool_or(is_open), "review").otherwise("ready").alias("status"), F.count_if(is_open).alias("open_values"))
 
 
+def batch_totals(values: DataFrame) -> DataFrame:
+    """products, ready, needs_review; of the template's values those filled (a final value other than a dash) and missing (none); conflicts and suggestions of all values."""
+    final, own = text_of(F.col("final_value")), F.col("is_in_template")
+    per = product_status(values).agg(F.count(F.lit(1)).alias("products"), F.count_if(F.col("status") == "ready").alias("ready"), F.count_if(F.col("status") != "ready").alias("needs_review"))
+    counts = values.agg(
+        F.count_if(own & (final != "") & (final != "-")).alias("filled"), F.count_if(own & (final == "")).alias("missing"),
+        F.count_if(F.col("status") == "conflict").alias("conflicts"), F.count_if(F.col("status") == "suggested").alias("suggestions"),
+    )
+    return counts.select(*[per.select(c).scalar().alias(c) for c in per.columns], "*")
+
+
+def alternatives(attrs: DataFrame, fields: DataFrame, fuzzy: bool = True, k: int = 4) -> DataFrame:
+    """name, rank (from 1), field_id, score (0 to 100): the k best fields of every distinct source name."""
+    best = top_k_per(score_fields(attrs, fields, fuzzy), ["name"], "score", k, "field_id")
+    return best.select("name", "rank", "field_id", F.bround(F.col("score") * 100).cast("int").alias("score"))
+
+
 def similar_fill(values: DataFrame, targets: DataFrame, fields: DataFrame, peers: int = 100) -> DataFrame:
     """product_id, field_id, value, confidence: what most of the first peers (by product_id) have as their final value.
 
@@ -213,10 +230,10 @@ def accept_suggested(values: DataFrame, dash_missing: bool = False) -> DataFrame
 
 
 def export_attributes(values: DataFrame) -> DataFrame:
-    """product_id, stack: lines 'group|name|value', the template's fields in their order, then extras. Refuses open values."""
-    unresolved = values.where(F.col("is_in_template") & F.col("status").isin("missing", "conflict", "suggested", "unknown"))
-    if not unresolved.isEmpty():
-        raise ValueError("values are unresolved")
-    line = F.concat_ws("|", "group_name", "name", F.coalesce("final_value", "current_value", F.lit("")))
+    """product_id, stack: lines 'group|name|final value', the template's fields in their order, then extras. Refuses values of the template that are in conflict or have no final value."""
+    unresolved = values.where(F.col("is_in_template") & ((text_of(F.col("final_value")) == "") | (F.col("status") == "conflict"))).count()
+    if unresolved:
+        raise ValueError(f"{unresolved} values are unresolved")
+    line = F.concat_ws("|", "group_name", "name", text_of(F.col("final_value")))
     entry = F.struct((~F.col("is_in_template")).alias("extra"), "sort_order", "id", line.alias("line"))
     return values.groupBy("product_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(entry)), lambda e: e["line"]), "\n").alias("stack"))

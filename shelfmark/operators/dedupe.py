@@ -6,7 +6,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfmark.functions.keys import compare_key
+from shelfmark.functions.urls import host_of
 from shelfmark.functions.text import search_text, text_of
+from shelfmark.operators.match import small
+
+#: Row numbers that are counted together when rows are numbered.
+STEP = 10_000
 
 
 def first_by(df: DataFrame, keys: list[Column], order: list[Column]) -> DataFrame:
@@ -23,8 +28,16 @@ def dedupe_offers(offers: DataFrame) -> DataFrame:
 
 
 def number_offers(offers: DataFrame, source: str = "source") -> DataFrame:
-    """row_number anew from 2 within each source, the header being row 1."""
-    return offers.withColumn("row_number", F.row_number().over(Window.partitionBy(source).orderBy("row_number")) + 1)
+    """row_number anew from 1 within each source, in the order of the old one, as offers of an XML feed are numbered after dedupe. Rows of a grid keep
+    their number. Numbers are taken within steps of the old number, so no source is one task; row numbers of a source are distinct."""
+    step = F.floor(F.col("row_number") / STEP).alias("_step")
+    counts = offers.groupBy(source, step).agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy(source).orderBy("_step").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select(F.col(source).alias("_source"), F.col("_step").alias("_at"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    own = offers.withColumn("_step", step)
+    joined = own.join(small(starts, 100_000), own[source].eqNullSafe(starts["_source"]) & (F.col("_step") == F.col("_at")))
+    number = F.row_number().over(Window.partitionBy(source, "_step").orderBy("row_number")) + F.col("_start")
+    return joined.withColumn("row_number", number.cast("int")).select(offers.columns)
 
 
 def dedupe_products(products: DataFrame) -> DataFrame:
@@ -90,10 +103,17 @@ def longest(df: DataFrame, keys: list[str], value: str) -> DataFrame:
 
 
 def longest_prefix(urls: DataFrame, rules: DataFrame, url: str = "url") -> DataFrame:
-    """url and the rule (column prefix) that is its longest prefix; null if none is.
+    """url and the rule (column prefix) that is its longest prefix; null if none is. With a column host in the rules (null: none), a rule of the url's
+    host where no prefix fits (of several the first by prefix), its host in the column host.
 
     A url is met with rules of the lengths that occur, on equal text: a hash join instead of comparing all with all.
     """
+    if "host" in rules.columns:
+        found = longest_prefix(urls, rules.where("prefix <> ''").select("prefix"), url)
+        hosts = rules.where("host <> ''").groupBy(F.lower("host").alias("_host")).agg(F.min("prefix").alias("_prefix"))
+        joined = found.withColumn("_h", host_of(F.col(url))).join(hosts.hint("merge"), F.col("_h") == F.col("_host"), "left")
+        fallback = F.col("prefix").isNull() & F.col("_host").isNotNull()
+        return joined.withColumns({"prefix": F.coalesce("prefix", "_prefix"), "host": F.when(fallback, F.col("_host"))}).drop("_h", "_host", "_prefix")
     lengths = [r[0] for r in rules.select(F.length("prefix")).distinct().collect()]  # a row for each length
     probes = urls.select(url).distinct().select(url, F.explode(F.array(*[F.lit(n) for n in lengths]).cast("array<int>")).alias("_n")).where(F.length(url) >= F.col("_n"))
     hit = probes.withColumn("prefix", F.left(F.col(url), F.col("_n"))).join(rules.select("prefix").distinct().hint("merge"), "prefix")

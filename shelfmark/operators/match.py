@@ -9,8 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from shelfmark.functions.candidates import model_candidates
 from shelfmark.functions.keys import compare_keys, product_keys
-from shelfmark.functions.text import clean_text, model_key
+from shelfmark.functions.text import clean_text, let, model_key
 
 #: Most feeds that are broadcast; beyond it they are joined as any table.
 MAX_FEEDS = 10_000
@@ -32,6 +33,18 @@ def feed_index(items: DataFrame, values: Column) -> DataFrame:
     return keys.groupBy("source", F.col("k.key").alias("key")).agg(first.alias("f")).select("source", "key", "f.item", "f.reason")
 
 
+# Fields that name an item, most telling first
+CODE_FIELDS = ("vendorcode", "vendor_code", "model", "sku", "article", "articul")
+
+
+def item_values(item: Column, brand: Column | None = None) -> Column:
+    """The texts that an item of an own feed (map of lower-case tags to texts) is known by: its code fields, and without any of them the candidates of its name or title."""
+    field = lambda k: clean_text(F.try_element_at(item, F.lit(k)))
+    codes = F.filter(F.array(*[field(k) for k in CODE_FIELDS]), lambda v: v != "")
+    name = F.coalesce(F.nullif(field("name"), F.lit("")), field("title"))
+    return let(codes, lambda c: F.when(F.size(c) > 0, c).when(name == "", F.array().cast("array<string>")).otherwise(model_candidates(name, brand if brand is not None else F.lit(""))))
+
+
 def feed_codes(items: DataFrame) -> DataFrame:
     """source, key: the vendor code, and the model, or else the name, the title, or the code, of every item (columns vendorcode, model, name, title)."""
     filled = lambda c: F.nullif(clean_text(F.col(c)), F.lit(""))
@@ -107,10 +120,18 @@ def new_products(products: DataFrame, details: DataFrame, feeds: DataFrame, feed
     return keyed.join(missing.withColumnRenamed("row_id", "url").hint("merge"), "url")
 
 
+def brand_pattern(brand: Column) -> Column:
+    """A regular expression for a brand: its words, joined by an ampersand where it has one, else by blanks."""
+    parts = F.filter(F.split(clean_text(brand), r"\s*&\s*|\s+"), lambda p: p != "")
+    words = F.transform(parts, lambda p: F.concat(F.lit(r"\Q"), F.replace(p, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E")))
+    return F.call_function("array_join", words, F.when(F.contains(brand, F.lit("&")), r"\s*&\s*").otherwise(r"\s+"))
+
+
 def detect_brand(rows: DataFrame, brands: DataFrame, name: str = "name", explicit: str | None = None) -> DataFrame:
     """rows with detected_brand: the stated one, else the longest known brand that stands in the name as whole words, else ''.
 
-    Names are cut into runs of as many words as brands have and met with them on an equal key; the literal text decides.
+    Names are cut into runs of as many words as brands have and met with them on an equal key; the text decides: blanks of a brand
+    are any blanks, and around an ampersand there may be some or none.
     Brands without a letter or digit of these words are met by runs of characters, of the lengths that such brands have.
     """
     words = lambda c: F.regexp_extract_all(F.upper(c), F.lit("([A-ZА-ЯЁ0-9]+)"), 1)
@@ -128,8 +149,7 @@ def detect_brand(rows: DataFrame, brands: DataFrame, name: str = "name", explici
         t = F.upper(clean_text(F.col("_name")))
         grams = F.concat(grams, cut(F.length(t), run[False], lambda i, n: F.substring(t, i, n)))
     probes = ids.select("_id", "_name", F.explode(F.array_distinct(grams)).alias("_key"))
-    hit = probes.join(known.hint("merge"), "_key").where(F.contains(F.upper(clean_text(F.col("_name"))), F.upper("brand")))
-    hit = hit.where((F.col("_n") > 0) | F.regexp_like(F.upper(clean_text(F.col("_name"))), F.concat(F.lit(r"(?<![A-ZА-ЯЁ0-9])\Q"), "_key", F.lit(r"\E(?![A-ZА-ЯЁ0-9])"))))
+    hit = probes.join(known.hint("merge"), "_key").where(F.regexp_like("_name", F.concat(F.lit(r"(?iuU)(?<![A-Za-zА-Яа-яЁё0-9])"), brand_pattern(F.col("brand")), F.lit(r"(?![A-Za-zА-Яа-яЁё0-9])"))))
     # of brands of one length the first by name
     best = hit.groupBy("_name").agg(F.min_by("brand", F.struct(-F.length("brand"), "brand")).alias("_brand"))
     out = rows.join(best.hint("merge"), F.col(name) == F.col("_name"), "left")

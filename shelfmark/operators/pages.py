@@ -114,8 +114,12 @@ def with_listing_price(details: DataFrame, listing: DataFrame) -> DataFrame:
 
 def extract_name(html: Column, rules: PageRules = PageRules()) -> Column:
     """By pattern, social title, first heading."""
-    attr = r"""(?is)<meta[^>]*(?:property\s*=\s*["']og:title["']|name\s*=\s*["']twitter:title["'])[^>]*content\s*=\s*["']([^"']*)["']"""
-    tries = [_value(html, rules.name), _value(html, attr), _value(html, r"(?is)<h1[^>]*>(.*?)</h1>")]
+    # the attributes may come in any order
+    social = r"""(?:property|name)\s*=\s*["'](?:og|twitter):title["']"""
+    content = r"""content\s*=\s*(?:"([^"]*)"|'([^']*)')"""
+    tag = F.regexp_extract(text_of(html), rf"(?is)(<meta(?=[^>]*{social})(?=[^>]*{content})[^>]*>)", 1)
+    meta = let(tag, lambda t: strip_tags(unescape(F.concat(F.regexp_extract(t, f"(?is){content}", 1), F.regexp_extract(t, f"(?is){content}", 2)))))
+    tries = [_value(html, rules.name), meta, _value(html, r"(?is)<h1[^>]*>(.*?)</h1>")]
     return F.coalesce(*[F.nullif(t, F.lit("")) for t in tries], F.lit(""))
 
 

@@ -50,8 +50,8 @@ listed AS (SELECT DISTINCT l_returnflag AS source, source_model AS item FROM lin
 feed_keys AS (SELECT DISTINCT source, k AS key FROM (SELECT source, item AS k FROM listed UNION ALL SELECT source, regexp_replace(item, '[-/]', '', 'g') FROM listed))"""
 
 
-def offers(spark, d):
-    p = table(spark, d, "part")
+def offers(spark, d, parts=None):
+    p = parts if parts is not None else table(spark, d, "part")
     model = F.concat(F.lit("MX-"), (F.col("p_partkey") % 700).cast("string"), F.lit("/"), F.col("p_size").cast("string"))
     return p.select(
         F.col("p_partkey").alias("row_id"), (F.col("p_partkey") + 1).alias("row_number"), model.alias("source_model"), F.concat_ws(" ", "p_name", "p_brand", model).alias("name"),
@@ -88,8 +88,8 @@ changes AS (SELECT event_id AS revision, user_id AS item_id, CASE event_type WHE
   event_type AS k, CAST(CAST(round(value * 100) AS BIGINT) AS VARCHAR) AS v FROM events)"""
 
 
-def change_view(spark, d):
-    e = table(spark, d, "events")
+def change_view(spark, d, events=None):
+    e = events if events is not None else table(spark, d, "events")
     kind = F.when(F.col("event_type") == "error", "remove").when(F.col("event_type") == "signup", "upsert").otherwise("state")
     payload = F.create_map(F.col("event_type"), F.round(F.col("value") * 100).cast("long").cast("string"))
     return e.select(F.col("event_id").alias("revision"), F.col("user_id").alias("item_id"), kind.alias("kind"), F.when(kind == "remove", F.create_map().cast("map<string,string>")).otherwise(payload).alias("payload"))
@@ -498,7 +498,8 @@ def file_import(spark, d):
 def deduped_offers(spark, d):
     """D1, D5"""
     o = dedupe.first_by(offers(spark, d), [keys.compare_key(F.col("source_model")), F.lower("url"), F.col("supplier")], [F.col("row_number")])
-    return dedupe.number_offers(o.withColumn("was", F.col("row_number")), "supplier").select("supplier", "was", "row_number")
+    # a sheet with a header: its rows begin with the second
+    return dedupe.number_offers(o.withColumn("was", F.col("row_number")), "supplier").select("supplier", "was", (F.col("row_number") + 1).alias("row_number"))
 
 
 @query("WITH" + OFFERS + ", r AS (SELECT row_id AS pos, CASE WHEN row_id % 4 = 0 THEN '' ELSE url END AS url, source_model AS model FROM offers), bare AS (SELECT model, min(pos) AS first FROM r WHERE url = '' GROUP BY model), ok AS (SELECT r.* FROM r LEFT JOIN bare b USING (model) WHERE b.first IS NULL OR r.pos <= b.first) SELECT min(pos) AS pos FROM ok WHERE url <> '' GROUP BY url UNION ALL SELECT first FROM bare")

@@ -1,4 +1,4 @@
-"""The jobs: operators put together. Each is lazy and gives tables; writing them is up to the caller."""
+"""The jobs: operators put together. They give tables, and writing them is up to the caller; W1 and W3 store the offers with their candidates in the shared folder."""
 
 from __future__ import annotations
 
@@ -9,10 +9,11 @@ from pyspark.sql import functions as F
 
 from shelfmark.functions.candidates import model_candidates
 from shelfmark.functions.keys import fold_lookalikes, key_texts, product_keys
-from shelfmark.functions.text import clean_text, prepare_model, text_of
+from shelfmark.functions.text import clean_text, let, prepare_model, text_of
 from shelfmark.functions.values import parse_stack
 from shelfmark.operators import attributes, dedupe, match, pages, report
 from shelfmark.sources import grid as grids
+from shelfmark.storage import staged
 
 
 @dataclass
@@ -39,7 +40,13 @@ def with_candidates(offers: DataFrame, rules: str = "", brands: DataFrame | None
     brand = F.col("detected_brand") if brands is not None else F.coalesce(F.nullif(clean_text(F.col("brand")), F.lit("")), F.lit(""))
     of_model = model_candidates(prepare_model(F.col("source_model"), rules, True), brand)
     of_name = model_candidates(prepare_model(F.col("name"), rules, True), brand)
-    return offers.withColumn("candidates", of_name if from_name else F.concat(of_model, F.when(F.size(of_model) == 0, of_name).otherwise(F.array().cast("array<string>"))))
+    return offers.withColumn("candidates", of_name if from_name else let(of_model, lambda found: F.when(F.size(found) > 0, found).otherwise(of_name)))
+
+
+def prepared(offers: DataFrame, rules: str, exclusions: list[str]) -> DataFrame:
+    """offers with candidates, keys and kept, stored: the costly columns are computed once, however many joins read them."""
+    kept = not_excluded(F.col("source_model"), F.col("name"), F.col("brand"), exclusions)
+    return staged(with_candidates(offers.withColumn("kept", kept), rules).withColumn("keys", _keys(F.col("candidates"))), "prepared-offers")
 
 
 def _keys(candidates: Column) -> Column:
@@ -51,8 +58,7 @@ def compare_feeds(offers: DataFrame, feeds: DataFrame, feed_keys: DataFrame, exc
 
     rows: offers with candidates, selected_model and missing; totals by supplier and over all.
     """
-    kept = not_excluded(F.col("source_model"), F.col("name"), F.col("brand"), list(exclusions))
-    rows = with_candidates(offers, rules).withColumn("keys", _keys(F.col("candidates"))).withColumn("kept", kept)
+    rows = prepared(offers, rules, list(exclusions))
     asked = rows.where(F.col("kept") & (F.size("candidates") > 0))
     missing = match.missing_feeds(asked, feeds, feed_keys)
     joined = rows.join(missing.hint("merge"), "row_id", "left")
@@ -67,8 +73,7 @@ def import_file(rows: DataFrame, feeds: DataFrame, feed_keys: DataFrame, exclusi
 
     selected_model is the candidate that matched best somewhere, else the first one.
     """
-    kept = not_excluded(F.col("source_model"), F.col("name"), F.col("brand"), list(exclusions))
-    own = with_candidates(rows, rules).withColumn("keys", _keys(F.col("candidates"))).withColumn("kept", kept)
+    own = prepared(rows, rules, list(exclusions))
     asked = own.where(F.col("kept") & (F.size("candidates") > 0))
     best = match.best_match(asked, feed_keys, feeds).select("row_id", F.col("candidate").alias("_best"), "reason")
     joined = own.join(match.missing_feeds(asked, feeds, feed_keys).hint("merge"), "row_id", "left").join(best.hint("merge"), "row_id", "left")

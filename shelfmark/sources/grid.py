@@ -11,7 +11,7 @@ from shelfmark.functions.text import clean_text, norm_header, price_digits, text
 # Fixed values
 DELIMITERS = (";", ",", "|", "\t")
 BRAND_HEADERS = ("brand", "бренд", "manufacturer", "производитель", "vendor", "марка")
-NAME_HEADERS = ("name", "название", "наименование", "товар", "title", "номенклатура")
+NAME_HEADERS = ("наименование товара", "название товара", "наименование", "название", "product name", "product_name", "item name", "item_name", "name")
 MAX_BYTES = 200 * 1024 * 1024
 #: Cells of a record beyond which a file is an error.
 MAX_COLUMNS = 20_480
@@ -19,10 +19,13 @@ SHEET = ["file", "sheet_index"]
 
 
 def detect_format(files: DataFrame) -> DataFrame:
-    """path, format (xlsx, xls, xml, csv) by the first bytes of binaryFile rows, a byte order mark aside."""
-    head = F.hex(F.substring("content", 1, 16))
-    bare = F.regexp_replace(F.regexp_replace(head, "^EFBBBF", ""), "^(20|09|0A|0D)+", "")
-    kind = F.when(head.startswith("504B"), "xlsx").when(head.startswith("D0CF11E0"), "xls").when(bare.startswith("3C"), "xml").otherwise("csv")
+    """path, format (xlsx, xls, xml, csv) of binaryFile rows: a zip file that names a workbook is xlsx, else what follows the byte order
+    mark (UTF-8, UTF-16) and blanks in the first 4096 bytes decides."""
+    head = F.hex(F.substring("content", 1, 4096))
+    wide, narrow = "^(FFFE)((20|09|0A|0B|0C|0D)00)*3C00", "^FEFF(00(20|09|0A|0B|0C|0D))*003C"
+    plain = "^(EFBBBF)?(20|09|0A|0B|0C|0D)*3C"
+    workbook = head.startswith("504B0304") & F.contains("content", F.lit("xl/workbook.xml").cast("binary"))
+    kind = F.when(workbook, "xlsx").when(head.startswith("D0CF11E0"), "xls").when(head.rlike(f"{wide}|{narrow}|{plain}"), "xml").otherwise("csv")
     return files.select("path", kind.alias("format"))
 
 

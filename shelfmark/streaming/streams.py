@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,6 +9,7 @@ from pyspark.sql import functions as F
 
 from shelfmark.operators.changes import apply_delta, collapse
 from shelfmark.operators.match import missing_feeds
+from shelfmark.storage import new_path
 
 
 def file_stream(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -24,14 +23,38 @@ def file_stream(spark: SparkSession, folder: str, name: str) -> DataFrame:
 def settled(stream: DataFrame, mode: str) -> DataFrame:
     """What a stream gives for all that is there now: run to its end, each batch stored in the shared folder under its number."""
     spark = stream.sparkSession
-    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="shelfmark-")
-    path = f"{shared.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    path = new_path(spark, "stream")
     whole = mode == "complete"
     write = lambda batch, n: batch.write.mode("overwrite").parquet(f"{path}/rows/{'all' if whole else f'batch={n}'}")
     stream.writeStream.outputMode(mode).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).foreachBatch(write).start().awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{path}/rows/*")
 
 
+def run_batches(stream: DataFrame, writer: Callable[..., Callable[[DataFrame, int], None]], schema: str, append: bool = False) -> DataFrame:
+    """The table that a writer (of read and write) keeps over all that a stream has now. A batch's table is stored under its number, so that one that is
+    run again replaces itself; append: a batch adds rows instead of giving the whole table."""
+    spark = stream.sparkSession
+    path = new_path(spark, "table")
+    done: dict[int, DataFrame] = {}
+    empty = spark.createDataFrame([], schema)
+
+    def read(before: int | None = None) -> DataFrame:
+        parts = [t for n, t in sorted(done.items()) if before is None or n < before]
+        if not parts or not append:
+            return parts[-1] if parts else empty
+        return spark.read.schema(empty.schema).parquet(*[f"{path}/{n}" for n in sorted(done) if before is None or n < before])
+
+    def batch(rows: DataFrame, n: int) -> None:
+        def write(table: DataFrame, number: int) -> None:
+            table.select(empty.columns).write.mode("overwrite").parquet(f"{path}/{number}")
+            done[number] = spark.read.schema(empty.schema).parquet(f"{path}/{number}")
+
+        writer(lambda: read(n), write)(rows, n)
+
+    stream.writeStream.option("checkpointLocation", f"{path}/state").trigger(availableNow=True).foreachBatch(batch).start().awaitTermination()
+    return read()
+
+
 def stream_log_counts(stream: DataFrame) -> DataFrame:
     """Running counts by level; write it in update or complete mode."""
     return stream.groupBy("level").agg(F.count(F.lit(1)).alias("n"))

@@ -77,10 +77,21 @@ def test_promo(spark):
 
 def test_sinks(spark, tmp_path):
     df = spark.createDataFrame([("u", "m", "1")], "url string, model string, price string")
-    sinks.write_products(df, str(tmp_path / "p"))
-    assert next((tmp_path / "p").glob("part-*")).read_text("utf-8").splitlines() == ["﻿url;model;price", "u;m;1"]
-    sinks.write_prices(df, str(tmp_path / "q"))
-    assert spark.read.option("sep", ";").option("header", True).csv(str(tmp_path / "q")).columns == ["_MODEL_", "_PRICE_"]
+    whole = lambda name: b"".join(p.read_bytes() for p in sorted((tmp_path / name).glob("part-*")))
+    many = spark.createDataFrame([(f"u{k}", 'm;"x', " 1 ") for k in range(9)], df.schema).repartition(3)
+    for name, rows in (("p", df), ("none", df.limit(0)), ("many", many)):
+        for one in (False, True):
+            sinks.write_products(rows, str(tmp_path / name), one)
+            lines = whole(name).decode("utf-8").split("\r\n")
+            assert lines[0] == "\ufeffURL товара;_MODEL_;_PRICE_" and lines[-1] == ""
+            assert sorted(lines[1:-1]) == ([f'u{k};"m;""x"; 1 ' for k in range(9)] if rows is many else ["u;m;1"] if rows is df else [])
+    sinks.write_prices(df.withColumn("special", F.lit(None).cast("string")), str(tmp_path / "q"))
+    assert whole("q").decode("utf-8") == "\ufeff_MODEL_;_PRICE_;_SPECIAL_\nm;1;\n"
+    sinks.write_attributes(df.select(F.lit("М-1").alias("model"), F.lit("а|б|冰\nв|г|д").alias("stack")), str(tmp_path / "a"))
+    assert whole("a") == '_MODEL_;_ATTRIBUTES_\r\nМ-1;"а|б|?\nв|г|д"\r\n'.encode("cp1251")
+    news = df.select("url", "model", "price", *[F.lit(c).alias(c) for c in ("date_found", "group", "brand", "name", "availability")], F.array(F.lit("A"), F.lit("B")).alias("missing_on"))
+    sinks.write_news(news, str(tmp_path / "n"))
+    assert whole("n").decode("utf-8").split("\r\n")[1] == "date_found;group;brand;name;m;1;availability;A, B;u"
     sinks.write_sheets(df.withColumn("sheet", F.lit("A")), str(tmp_path / "s"))
     assert spark.read.option("sep", ";").option("header", True).csv(str(tmp_path / "s")).count() == 1
 
