@@ -3,7 +3,7 @@
 1. Equal sets are one class; only its smallest doc_id goes on.
 2. Two sets that link share one of the first few of their shingles in any common
    order, here frequent shingles last: each set is sent to the groups of these shingles. A group is a shingle and a band
-   of sizes (a power of two and up to the next); a set also goes to the next band if it may link with a set there.
+   of sizes; a set also goes to the next band if it may link with a set there.
 3. In a group, a signature tree over the sets: leaves hold up to 64 sets with token bitmaps that are as wide as the band asks for
    (groups that are one leaf are done many at once), nodes the OR of the bitmaps below, the range of sizes and of surplus (tokens beyond the bits they set)
    and how many shingles follow the group's. Two nodes are traversed together, and dropped where no pair below can overlap enough, or
@@ -19,7 +19,9 @@ Groups beyond a block of sets are cut into blocks, and every pair of blocks is a
 from __future__ import annotations
 
 import hashlib
+from bisect import bisect_right
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -82,13 +84,18 @@ def needed(n, m, percent: int):
     return -(-percent * (n + m) // (100 + percent))
 
 
-def band_of(n: int) -> int:
-    return n.bit_length() - 1
+@lru_cache(maxsize=8)
+def bands(percent: int) -> list[int]:
+    """The least size of each band: half as large again, about, and so far apart that sets link within a band or with the next."""
+    out = [1]
+    while out[-1] < 1 << 40:
+        out.append(max(out[-1] + 1, -(-out[-1] * 1414 // 1000), -(-out[-1] * 100 // percent)))
+    return out
 
 
-def width(band: int) -> int:
-    """Bits of the bitmaps of a band: two to four for each shingle."""
-    return max(64, 1 << (band + 2))
+def width(band: int, percent: int) -> int:
+    """Bits of the bitmaps of a band: one to three for each shingle."""
+    return max(64, 1 << (bands(percent)[band + 1] - 1).bit_length())
 
 
 def bitmap(shingles: np.ndarray, size: int) -> bytes:
@@ -153,11 +160,11 @@ def described(docs: DataFrame, n: int, percent: int) -> DataFrame:
             at = np.minimum(np.searchsorted(often, s), max(len(often) - 1, 0))
             rank = np.where(often[at] == s, times[at], 0) if len(often) else np.zeros(size, np.int64)
             prefix = s[np.lexsort((s, rank))][: size - least_overlap(size, percent) + 1]
-            band = band_of(size)
-            above = 1 << (band + 1)  # the least size in the next band
+            band = bisect_right(bands(percent), size) - 1
+            above = bands(percent)[band + 1]
             up = size - needed(size, above, percent) + 1 if 100 * size >= percent * above else 0
-            wide = bitmap(s, width(band + 1)) if up > 0 else None
-            out.append((size, hashlib.blake2b(s.tobytes(), digest_size=16).digest(), band, prefix.view(np.int64), max(up, 0), bitmap(s, width(band)), wide))
+            wide = bitmap(s, width(band + 1, percent)) if up > 0 else None
+            out.append((size, hashlib.blake2b(s.tobytes(), digest_size=16).digest(), band, prefix.view(np.int64), max(up, 0), bitmap(s, width(band, percent)), wide))
         return pd.DataFrame(out, columns=["n_shingles", "digest", "band", "prefix", "up", "bitmap", "wide"])
 
     return docs.select("doc_id", describe("text").alias("d")).select("doc_id", "d.*")
@@ -387,9 +394,13 @@ def classes(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
     table = staged(described(docs.select("doc_id", "text"), n, percent), "ngram-sets")
     usable = table.where("doc_id is not null and n_shingles > 0")
     twins = staged(usable.groupBy("digest").agg(F.min("doc_id").alias("rep")), "ngram-twins")
-    # a row goes on if it is the first of its class
-    reps = usable.join(twins.withColumnRenamed("digest", "_d").hint("merge"), (F.col("digest") == F.col("_d")) & (F.col("doc_id") == F.col("rep")), "left_semi")
-    reps = reps.dropDuplicates(["doc_id", "digest"]).withColumnsRenamed({"doc_id": "id", "n_shingles": "n"})
+    # a row goes on if it is the first of its class; the others are few, as a rule, and then the wide rows stay where they are
+    others = usable.select("digest", "doc_id").join(twins.hint("merge"), "digest").where("doc_id <> rep").select("digest", "doc_id").distinct()
+    others = staged(others, "ngram-others")
+    reps = usable.join(F.broadcast(others) if others.count() <= BROADCAST_IDS else others.hint("merge"), ["digest", "doc_id"], "left_anti")
+    if not usable.groupBy("digest", "doc_id").count().where("count > 1").isEmpty():
+        reps = reps.dropDuplicates(["doc_id", "digest"])
+    reps = reps.withColumnsRenamed({"doc_id": "id", "n_shingles": "n"})
     reps = staged(reps.select("id", "n", "band", "prefix", "up", "bitmap", "wide"), "ngram-reps")
     # each shingle of a prefix, with the overlap that is left from its place on
     placed = reps.select("id", "n", "band", "up", F.posexplode("prefix").alias("at", "key"))

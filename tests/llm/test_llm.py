@@ -224,6 +224,7 @@ def test_ngram_classes_with_a_shared_passage(spark, monkeypatch):
     for k in range(2000):
         own = [f"o{rng.randrange(4000)}" for _ in range(rng.choice([3, 8, 40]))] if k % 3 else [f"c{k % 40}-{x}" for x in range(30)]
         texts.append(" ".join(passage + own + ([f"e{k}"] if k % 2 else [])))
+    assert all(b * 100 >= a * 100 and (b - 1) * 100 // 85 < c for a, b, c in zip(*(ngram_join.bands(85)[k:] for k in range(3)), strict=False))
     long = [f"l{rng.randrange(900)}" for _ in range(2200)]
     texts += [" ".join(long[:m]) for m in (1800, 1900, 2050, 2051, 2060, 2200)] + [" ".join(long[:1024] + [f"z{k}"] * k) for k in range(0, 200, 20)]
     texts += ["", None, "p0 p1", "p0 p1"]
