@@ -86,8 +86,15 @@ def parse_stack(c: Column) -> Column:
 
 @F.pandas_udf(T.DoubleType())
 def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    """How alike two texts are as sequences, 0 to 1; call it on distinct pairs."""
-    return pd.Series([SequenceMatcher(None, x or "", y or "").ratio() for x, y in zip(a, b)])
+    """How alike two texts are as sequences, 0 to 1; a null side gives 0 at once. Call it on distinct pairs that ratio_bound leaves."""
+    return pd.Series([0.0 if x is None or y is None else SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b)])
+
+
+def ratio_bound(a: Column, b: Column) -> Column:
+    """What sequence_ratio is at most: only characters that both texts have can match."""
+    shared = lambda x, y: F.length(x) - F.length(F.call_function("translate", x, y, F.lit("")))
+    total = F.length(a) + F.length(b)
+    return F.when(total == 0, 1.0).otherwise(2.0 * F.least(shared(a, b), shared(b, a)) / total)
 
 
 def cheap_score(a: Column, b: Column) -> Column:
@@ -104,5 +111,7 @@ def mapping_score(a: Column, b: Column) -> Column:
     filled = (F.size(x) > 0) & (F.size(y) > 0)
     coverage = F.when(filled, both / F.least(F.size(x), F.size(y))).otherwise(0.0)
     union = F.when(filled, both / F.size(F.array_union(x, y))).otherwise(0.0)
-    mixed = F.lit(0.48) * sequence_ratio(attr_key(a), attr_key(b)) + F.lit(0.37) * coverage + F.lit(0.15) * union
+    # where equal or contained words decide, no sequence is compared
+    open_ = cheap_score(a, b).isNull()
+    mixed = F.lit(0.48) * sequence_ratio(F.when(open_, attr_key(a)), F.when(open_, attr_key(b))) + F.lit(0.37) * coverage + F.lit(0.15) * union
     return F.coalesce(cheap_score(a, b), F.least(F.lit(0.99), mixed))

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfmark.functions.text import clean_text, text_of
-from shelfmark.functions.values import DIMENSIONS, NUMBER, attr_key, attr_model, cheap_score, mapping_score, norm_value, sequence_ratio, split_header
+from shelfmark.functions.values import DIMENSIONS, NUMBER, attr_key, attr_model, cheap_score, mapping_score, norm_value, ratio_bound, sequence_ratio, split_header
 from shelfmark.operators.dedupe import first_by, top_k_per
 from shelfmark.operators.match import small
 
@@ -21,6 +23,16 @@ def open_values(values: DataFrame) -> DataFrame:
     return values.where((text_of(F.col("current_value")) == "") & F.col("is_in_template"))
 
 
+def against(rows: DataFrame, reference: DataFrame, entry: Column, key: str) -> DataFrame:
+    """Every row with every entry of a reference table (column e): the fields of a template, the templates. The table is laid beside the rows as a
+    value of at most MAX_DIMENSION entries; a larger one in several such values, by hash of key."""
+    blocks = -(-reference.count() // MAX_DIMENSION) or 1
+    block = F.pmod(F.xxhash64(key), F.lit(2 * blocks))  # half full on average
+    parts = [reference] if blocks == 1 else [reference.where(block == b) for b in range(2 * blocks)]
+    met = [rows.select("*", F.explode(part.agg(F.array_sort(F.collect_list(entry))).scalar()).alias("e")) for part in parts]
+    return reduce(DataFrame.unionAll, met)
+
+
 def match_fields(stack: DataFrame, fields: DataFrame) -> DataFrame:
     """product_id, field_id, group_name, name, value, in_template: stack rows (product_id, pos, group_name, name, value) met with fields by name,
     and by group too where several fields have the name. The first row takes a field; others are extras; fields without a row come with a blank value."""
@@ -31,7 +43,7 @@ def match_fields(stack: DataFrame, fields: DataFrame) -> DataFrame:
     taken = first_by(hit.select("product_id", "pos", "field_id", "_group", "_name", "value"), [F.col("product_id"), F.col("field_id")], [F.col("pos")])
     used = taken.select("product_id", "pos")
     extras = stack.join(used.hint("merge"), ["product_id", "pos"], "left_anti").select("product_id", F.lit(None).cast("int").alias("field_id"), "group_name", "name", "value", F.lit(False).alias("in_template"))
-    per_product = stack.select("product_id").distinct().select("product_id", F.explode(fields.agg(F.collect_list(F.struct("field_id", "group_name", "name"))).scalar()).alias("f")).select("product_id", "f.*")
+    per_product = against(stack.select("product_id").distinct(), fields, F.struct("field_id", "group_name", "name"), "field_id").select("product_id", "e.*")
     filled = per_product.join(taken.select("product_id", "field_id", "value").hint("merge"), ["product_id", "field_id"], "left")
     return filled.select("product_id", "field_id", "group_name", "name", F.coalesce("value", F.lit("")).alias("value"), F.lit(True).alias("in_template")).unionByName(extras)
 
@@ -39,8 +51,7 @@ def match_fields(stack: DataFrame, fields: DataFrame) -> DataFrame:
 def score_fields(attrs: DataFrame, fields: DataFrame, fuzzy: bool = True) -> DataFrame:
     """name, field_id, score for every distinct source name and field; fuzzy off: only equal names and contained words score."""
     names = attrs.select("name").distinct()
-    listed = fields.agg(F.array_sort(F.collect_list(F.struct("field_id", F.col("name").alias("_field"))))).scalar()
-    pairs = names.select("name", F.explode(listed).alias("f")).select("name", "f.*")
+    pairs = against(names, fields, F.struct("field_id", F.col("name").alias("_field")), "field_id").select("name", "e.*")
     score = mapping_score(F.col("name"), F.col("_field")) if fuzzy else F.coalesce(cheap_score(F.col("name"), F.col("_field")), F.lit(0.0))
     return pairs.select("name", "field_id", score.alias("score"))
 
@@ -86,7 +97,7 @@ def map_values(values: DataFrame, fields: DataFrame, allowed: DataFrame, synonym
     joined = joined.withColumn("_value", known).withColumn("_score", score)
     if fuzzy:
         rest = joined.where("_score is null and part is not null").select("field_id", "_k").distinct().join(words.withColumnRenamed("_k", "_w").hint("merge"), "field_id")
-        near = rest.withColumn("_ratio", sequence_ratio(F.col("_k"), F.col("_w"))).where(F.col("_ratio") >= VALUE)
+        near = rest.where(ratio_bound(F.col("_k"), F.col("_w")) >= VALUE).withColumn("_ratio", sequence_ratio(F.col("_k"), F.col("_w"))).where(F.col("_ratio") >= VALUE)
         near = near.groupBy("field_id", "_k").agg(F.max(F.struct("_ratio", "_exact")).alias("b")).select("field_id", "_k", F.col("b._exact").alias("_near"), F.bround(F.col("b._ratio") * 100).cast("int").alias("_near_score"))
         joined = joined.join(near.hint("merge"), ["field_id", "_k"], "left").withColumn("_value", F.coalesce("_value", "_near")).withColumn("_score", F.coalesce("_score", "_near_score"))
     grouped = joined.groupBy("field_id", "value").agg(F.bool_and(F.col("_score").isNotNull()).alias("ok"), F.min("_score").alias("s"), F.collect_set("_value").alias("parts"))
@@ -101,8 +112,8 @@ def match_template(pages: DataFrame, templates: DataFrame, fuzzy: bool = True) -
     exact = cats.join(names.groupBy(F.col("_t").alias("_k")).agg(F.min("template_id").alias("_exact")), "_k", "left")
     out = exact.withColumn("template_id", F.col("_exact")).withColumn("score", F.when(F.col("_exact").isNotNull(), 1.0))
     if fuzzy:
-        listed = names.agg(F.array_sort(F.collect_list(F.struct("template_id", "_t")))).scalar()
-        pairs = exact.where("_exact is null").select("_k", F.explode(listed).alias("t")).select("_k", "t.*").withColumn("r", sequence_ratio(F.col("_k"), F.col("_t"))).where(F.col("r") >= TEMPLATE)
+        pairs = against(exact.where("_exact is null").select("_k").distinct(), names, F.struct("template_id", "_t"), "template_id").select("_k", "e.*")
+        pairs = pairs.where(ratio_bound(F.col("_k"), F.col("_t")) >= TEMPLATE).withColumn("r", sequence_ratio(F.col("_k"), F.col("_t"))).where(F.col("r") >= TEMPLATE)
         near = pairs.groupBy("_k").agg(F.max_by("template_id", F.struct("r", -F.col("template_id"))).alias("_near"), F.max("r").alias("_r"))
         out = out.join(near.hint("merge"), "_k", "left").withColumn("template_id", F.coalesce("template_id", "_near")).withColumn("score", F.coalesce("score", "_r"))
     return out.select("category", "template_id", "score")

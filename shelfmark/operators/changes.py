@@ -45,7 +45,7 @@ def collapse(changes: DataFrame, cursor: int) -> DataFrame:
     # of every key the latest value: a partial aggregate, no list of an item's history
     last = joined.groupBy("item_id", "k").agg(F.max_by(F.struct("v"), "revision")["v"].alias("v"), F.max("revision").alias("r"))
     state = last.groupBy("item_id").agg(F.map_from_entries(F.collect_list(F.when(F.col("k").isNotNull(), F.struct("k", "v")))).alias("state"), F.max("r").alias("r"))
-    out = base.join(state, "item_id", "full_outer")
+    out = base.join(state.hint("merge"), "item_id", "full_outer")
     kind = F.when(F.col("base").isNull() | (F.col("state").isNotNull() & (F.col("base.kind") == "remove")), "state").otherwise(F.col("base.kind"))
     over = F.map_filter(F.coalesce("base.payload", _empty()), lambda k, v: ~F.array_contains(F.map_keys(F.coalesce("state", _empty())), k))
     payload = F.when(F.col("base.kind") == "upsert", F.map_concat(over, F.coalesce("state", _empty()))).otherwise(F.coalesce("state", "base.payload", _empty()))

@@ -18,8 +18,8 @@ MAX_FEEDS = 10_000
 
 
 def small(df: DataFrame, rows: int = MAX_FEEDS) -> DataFrame:
-    """Broadcast if it has at most so many rows."""
-    return F.broadcast(df) if len(df.limit(rows + 1).select(F.lit(1)).collect()) <= rows else df
+    """Broadcast if it has at most so many rows, else to be joined by shuffle."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df.hint("shuffle_hash")
 
 
 def feed_index(items: DataFrame, values: Column) -> DataFrame:

@@ -266,7 +266,7 @@ def structured_data(spark, d):
     pairs = pages.extract_pairs(made).select("url", F.lower("name").alias("attr"), "value")
     found = pages.extract_jsonld(made).select("url", "name", "model", "brand")
     back = pages.page_fallbacks(made).select("url", "category")
-    return found.join(pairs, "url").join(back, "url").withColumnRenamed("url", "id")
+    return found.join(pairs.hint("merge"), "url").join(back.hint("merge"), "url").withColumnRenamed("url", "id")
 
 
 @query("WITH" + PARTS + r""", links AS (SELECT DISTINCT scheme || '://' || host || h AS link, h FROM (SELECT scheme, host, unnest(regexp_extract_all(html, '<a href="(/[^"]*)"', 1)) AS h FROM parts WHERE host LIKE '%.example.com'))
@@ -368,7 +368,7 @@ def feed_index(spark, d):
     """J1"""
     # texts of two items may fall together without their separators: those are left out on both sides
     all_ = feed_items(spark, d).select("source", "item", F.explode(F.array("item", F.regexp_replace("item", "[-/]", ""))).alias("key")).groupBy("source", "key").agg(F.count_distinct("item").alias("n"))
-    return feed_keys(spark, d).select("source", "key", "item").join(all_.where("n = 1").select("source", "key"), ["source", "key"], "left_semi")
+    return feed_keys(spark, d).select("source", "key", "item").join(all_.where("n = 1").select("source", "key").hint("merge"), ["source", "key"], "left_semi")
 
 
 KEYED = """,
@@ -825,7 +825,7 @@ def filled_values(spark, d):
 def mapping_report(spark, d):
     """G18"""
     p = table(spark, d, "part").select(F.explode(F.array(F.lit("Brand"), F.lit("Size"), F.lit("zzz"))).alias("name"), F.lit("site").alias("source"))
-    return attributes.mapping_report(p.join(attributes.map_attributes(p, field_view(spark), fuzzy=False), "name"))
+    return attributes.mapping_report(p.join(attributes.map_attributes(p, field_view(spark), fuzzy=False).hint("merge"), "name"))
 
 
 VALUES = """vals AS (SELECT p_partkey AS product_id, CASE p_size % 4 WHEN 0 THEN 'filled' WHEN 1 THEN 'missing' WHEN 2 THEN 'suggested' ELSE 'extra' END AS status, p_partkey % 6 <> 0 AS t FROM part UNION ALL SELECT p_partkey, 'filled', true FROM part)"""

@@ -7,9 +7,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfmark.functions import candidates as cand
-from shelfmark.functions import keys, text
+from shelfmark.functions import keys, text, values
 from shelfmark.operators import attributes, changes, dedupe, match
-from shelfmark.plans.bindings import CHANGES, MISSING, OFFERS, change_view, feed_keys, feeds, flat, offers, query, table
+from shelfmark.plans.bindings import CHANGES, MISSING, OFFERS, change_view, feed_keys, feeds, field_view, flat, offers, query, table
 from shelfmark.sources import feeds as feed_sources
 from shelfmark.sources import grid as grids
 from shelfmark.sources import sinks
@@ -298,6 +298,70 @@ def batch_totals(spark, d):
     return attributes.batch_totals(p)
 
 
+#: Names of source attributes and fields whose likeness decides, and what difflib gives for them: (name, rank, field, score in hundredths).
+FUZZY_FIELDS = [(1, "Скорость отжима барабана"), (2, "Скорость вращения"), (3, "Цвет корпуса")]
+FUZZY_NAMES = ["скорость отжима барабна", "скорость", "цвет корпса", "глубина", "корпуса цвет и скорость"]
+SCORES = """
+scores AS (SELECT * FROM (VALUES
+  ('скорость отжима барабна', 1, 1, 79),
+  ('скорость отжима барабна', 2, 2, 51),
+  ('скорость отжима барабна', 3, 3, 14),
+  ('скорость', 1, 1, 96),
+  ('скорость', 2, 2, 96),
+  ('скорость', 3, 3, 19),
+  ('цвет корпса', 1, 3, 69),
+  ('цвет корпса', 2, 2, 17),
+  ('цвет корпса', 3, 1, 14),
+  ('глубина', 1, 3, 10),
+  ('глубина', 2, 1, 9),
+  ('глубина', 3, 2, 4),
+  ('корпуса цвет и скорость', 1, 3, 96),
+  ('корпуса цвет и скорость', 2, 2, 41),
+  ('корпуса цвет и скорость', 3, 1, 32)
+) AS t(name, rank, field_id, score)),
+named AS (SELECT p_partkey, list_extract(['скорость отжима барабна', 'скорость', 'цвет корпса', 'глубина', 'корпуса цвет и скорость'], CAST(p_partkey % 5 + 1 AS INTEGER)) AS name FROM part)"""
+
+
+def _fuzzy(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    names = F.array(*map(F.lit, FUZZY_NAMES))
+    attrs = table(spark, d, "part").select("p_partkey", F.element_at(names, (F.col("p_partkey") % 5 + 1).cast("int")).alias("name"))
+    return attrs, spark.createDataFrame(FUZZY_FIELDS, "field_id int, name string")
+
+
+@query("WITH" + SCORES + """ SELECT p_partkey, name, CASE WHEN score >= 74 THEN field_id END AS field_id, score AS confidence, CASE WHEN score >= 74 THEN 'mapped' ELSE 'unknown' END AS status FROM named JOIN scores USING (name) WHERE rank = 1""")
+def fuzzy_fields(spark, d):
+    """Names that are only like a field's"""
+    attrs, fields = _fuzzy(spark, d)
+    return attrs.join(attributes.map_attributes(attrs, fields).hint("merge"), "name").select("p_partkey", "name", "field_id", "confidence", "status")
+
+
+@query("WITH" + SCORES + " SELECT p_partkey, name, rank, field_id, score FROM named JOIN scores USING (name)")
+def field_alternatives(spark, d):
+    """The best fields of every name"""
+    attrs, fields = _fuzzy(spark, d)
+    return attrs.join(attributes.alternatives(attrs, fields).hint("merge"), "name").select("p_partkey", "name", "rank", "field_id", "score")
+
+
+@query("""SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN NULL ELSE p_brand END AS mapped, CASE WHEN p_partkey % 3 = 0 THEN 0 WHEN p_partkey % 3 = 1 THEN 100 WHEN length(p_brand) = 7 THEN 93 ELSE 94 END AS confidence FROM part""")
+def fuzzy_values(spark, d):
+    """Values that are only like one of a dictionary"""
+    p = table(spark, d, "part")
+    said = F.when(F.col("p_partkey") % 3 == 0, "Brand of nobody").when(F.col("p_partkey") % 3 == 1, F.upper("p_brand")).otherwise(F.replace("p_brand", F.lit("n"), F.lit("nn")))
+    rows = p.select("p_partkey", F.lit(1).alias("field_id"), said.alias("value"))
+    allowed = p.select(F.lit(1).alias("field_id"), F.col("p_brand").alias("value")).distinct().withColumn("normalized_value", values.attr_key(F.col("value")))
+    nothing = spark.createDataFrame([], "field_id int, value string, normalized_synonym string")
+    mapped = attributes.map_values(rows, field_view(spark), allowed, nothing)
+    return rows.join(mapped.hint("merge"), ["field_id", "value"]).select("p_partkey", "mapped", "confidence")
+
+
+@query("""SELECT p_type AS category, CAST(CASE p_type WHEN 'ECONOMY' THEN 1 WHEN 'STANDARD' THEN 2 WHEN 'MEDIUM' THEN 3 END AS INTEGER) AS template_id, CASE p_type WHEN 'ECONOMY' THEN 86 WHEN 'STANDARD' THEN 88 WHEN 'MEDIUM' THEN 100 END AS score FROM part GROUP BY p_type""")
+def fuzzy_templates(spark, d):
+    """Categories that are only like a template's name"""
+    t = spark.createDataFrame([(1, "Economi"), (2, "Standart"), (3, "medium"), (4, "Prom0tion")], "template_id int, name string")
+    found = attributes.match_template(table(spark, d, "part").select(F.col("p_type").alias("category")), t)
+    return found.select("category", "template_id", F.bround(F.col("score") * 100).cast("int").alias("score"))
+
+
 # --- streams
 
 

@@ -92,6 +92,6 @@ def new_writer(read: Callable[[], DataFrame], write: Callable[[DataFrame, int],
 
     def run(batch: DataFrame, batch_id: int) -> None:
         fresh = batch.dropDuplicates(["model_key"]).join(read().select("model_key"), "model_key", "left_anti")
-        write(fresh.join(missing_feeds(fresh, feeds, feed_keys, no_keys="none"), "row_id"), batch_id)
+        write(fresh.join(missing_feeds(fresh, feeds, feed_keys, no_keys="none").hint("merge"), "row_id"), batch_id)
 
     return run

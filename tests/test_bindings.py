@@ -3,9 +3,10 @@
 import os
 
 import duckdb
+import pandas as pd
 import pytest
 
-from shelfmark.plans import bindings
+from shelfmark.plans import bindings, files
 
 DIR = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -14,7 +15,7 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 def same(got, want):
     cols = sorted(got.columns)
     assert cols == sorted(want.columns)
-    text = lambda v: "" if v is None or v != v else f"{float(v):.9g}" if isinstance(v, (int, float)) and not isinstance(v, bool) else str(v)
+    text = lambda v: "" if pd.isna(v) else f"{float(v):.9g}" if isinstance(v, (int, float)) and not isinstance(v, bool) else str(v)
     key = lambda df: sorted(tuple(text(v) for v in r) for r in df[cols].astype(object).itertuples(index=False))
     assert key(got) == key(want)
 
@@ -28,5 +29,11 @@ def test_query(spark, name):
     same(bindings.QUERIES[name](spark, DIR).toPandas(), con.execute(bindings.ORACLE[name]).df())
 
 
+@pytest.mark.skipif(not os.path.isdir(DIR), reason="no tables here")
+@pytest.mark.parametrize("name", [n for n, f in bindings.QUERIES.items() if f.__module__ == files.__name__])
+def test_file_query(spark, name):
+    test_query(spark, name)
+
+
 def test_every_oracle_has_a_query():
     assert set(bindings.ORACLE) <= set(bindings.QUERIES)
