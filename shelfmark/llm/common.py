@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from shelfmark.storage import shared_dir, staged
+
+__all__ = ["LOWER", "UPPER", "WORD", "ascii_lower", "partitions", "shared_dir", "small_batches", "staged", "table"]
+
 #: Words as the contracts define them: runs of anything but blank, tab, LF, VT, FF and CR.
 WORD = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -18,6 +19,7 @@ BATCH_ROWS = 500
 
 
 def small_batches(spark: SparkSession) -> None:
+    """Sets the rows of an Arrow batch for this session. It stays set: results are lazy and need it when they are read."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
 
 
@@ -31,27 +33,5 @@ def ascii_lower(c: Column) -> Column:
     return F.translate(c, UPPER, LOWER)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as spark.checkpoint.dir names it; a local one where it is unset."""
-    return spark.sparkContext.getConf().get("spark.checkpoint.dir") or _own_dir()
-
-
-def _own_dir() -> str:
-    global _OWN
-    if _OWN is None:
-        _OWN = tempfile.mkdtemp(prefix="shelfmark-")
-    return _OWN
-
-
-_OWN: str | None = None
-
-
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """Writes df as Parquet into the shared folder and reads it again: lineage is cut, sizes are known, and a lost executor costs no recomputation of what came before."""
-    path = f"{shared_dir(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
