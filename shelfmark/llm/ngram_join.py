@@ -4,6 +4,7 @@
 2. Two sets that link share one of the first few of their shingles in any common
    order, here frequent shingles last: each set is sent to the groups of these shingles. A group is a shingle and a band
    of sizes; a set also goes to the next band if it may link with a set there.
+   Sizes and places in the order rule out many groups of chance before anything but numbers moves.
 3. In a group, a signature tree over the sets: leaves hold up to 64 sets with token bitmaps that are as wide as the band asks for
    (groups that are one leaf are done many at once), nodes the OR of the bitmaps below, the range of sizes and of surplus (tokens beyond the bits they set)
    and how many shingles follow the group's. Two nodes are traversed together, and dropped where no pair below can overlap enough, or
@@ -34,6 +35,8 @@ from shelfmark.llm.common import partitions, staged
 LEAF, FAN = 64, 8
 #: Sets of a group that one task takes; larger groups are cut into blocks.
 BLOCK = 4096
+#: Pairs of numbers that a task looks at together.
+MATRIX = 1 << 21
 #: Most frequent shingles, put last in the common order. Any order gives right results.
 FREQUENT = 20_000
 #: Most doc ids, or keys, that are broadcast to pick rows; beyond it they are joined by shuffle.
@@ -94,8 +97,8 @@ def bands(percent: int) -> list[int]:
 
 
 def width(band: int, percent: int) -> int:
-    """Bits of the bitmaps of a band: one to three for each shingle."""
-    return max(64, 1 << (bands(percent)[band + 1] - 1).bit_length())
+    """Bits of the bitmaps of a band: two to four for each shingle, about."""
+    return max(64, 1 << (3 * bands(percent)[band + 1] // 2 - 1).bit_length())
 
 
 def bitmap(shingles: np.ndarray, size: int) -> bytes:
@@ -227,25 +230,67 @@ def dual(a: Tree, b: Tree, percent: int) -> Iterator[tuple[np.ndarray, np.ndarra
             yield a.order[i + i0], b.order[j + j0], common[i, j] / (total[i, j] - common[i, j])
 
 
+def whole_groups(batches: Iterator[pd.DataFrame], by: list[str]) -> Iterator[tuple[pd.DataFrame, np.ndarray]]:
+    """Rows of complete groups from batches that are sorted by group, and where each group starts and the last one ends."""
+    held: pd.DataFrame | None = None
+    for batch in batches:
+        frame = batch if held is None else pd.concat([held, batch], ignore_index=True)
+        if not len(frame):
+            continue
+        cells = frame[by].to_numpy()
+        starts = np.concatenate([[0], np.flatnonzero((cells[1:] != cells[:-1]).any(1)) + 1])
+        held = frame.iloc[starts[-1] :]  # may go on in the next batch
+        if starts[-1]:
+            yield frame.iloc[: starts[-1]], starts
+    if held is not None and len(held):
+        yield held, np.array([0, len(held)])
+
+
+def viable(groups: DataFrame, percent: int) -> DataFrame:
+    """Rows of groups (key, band, id, n, rest, g and perhaps comp) without those that sizes and places alone keep from linking with any other of their
+    group (of another component). A large group is looked at where most of it is one component. Nothing but numbers moves."""
+    known = "comp" in groups.columns
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame, starts in whole_groups(batches, ["key", "band"]):
+            lengths = np.diff(starts)
+            cell = np.repeat(np.arange(len(lengths)), lengths)
+            n, rest, comp = (frame[c].to_numpy() for c in ("n", "rest", "comp" if known else "id"))
+            keep = lengths[cell] > LEAF
+            small = ~keep
+            for k in range(1, LEAF):
+                i = np.flatnonzero(small[:-k] & (cell[:-k] == cell[k:]))
+                if not len(i):
+                    break
+                i = i[((100 + percent) * np.minimum(rest[i], rest[i + k]) >= percent * (n[i] + n[i + k])) & (comp[i] != comp[i + k])]
+                keep[i] = keep[i + k] = True
+            for k in np.flatnonzero(lengths > LEAF):
+                own = slice(starts[k], starts[k + 1])
+                names, times = np.unique(comp[own], return_counts=True)
+                others = np.flatnonzero(comp[own] != names[times.argmax()]) + starts[k]
+                if len(others) * lengths[k] <= MATRIX:
+                    ok = ((100 + percent) * np.minimum(rest[others, None], rest[None, own]) >= percent * (n[others, None] + n[None, own])) & (comp[others, None] != comp[None, own])
+                    keep[own] = ok.any(0)
+                    keep[others] |= ok.any(1)
+            if keep.any():
+                yield frame[keep]
+
+    dealt = groups.repartition(partitions(groups.sparkSession), "key", "band").sortWithinPartitions("key", "band")
+    return dealt.mapInPandas(run, groups.schema)
+
+
 def candidates(groups: DataFrame, percent: int, forest: bool) -> DataFrame:
     """Pairs (a, b, like), a < b, that may link, from groups (key, band, left, right, block, id, n, rest, comp, bitmap): a spanning forest of each
     group, or all. With a forest also a row (key, band) for each group that has a pair. A pair may come from several tasks."""
 
+    cell = ["key", "band", "left", "right"]
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: pd.DataFrame | None = None
         seen: set[tuple[int, int]] = set()  # of this task, so that a pair in many groups goes on once
-        for batch in batches:
-            frame = batch if held is None else pd.concat([held, batch], ignore_index=True)
-            cells = frame[["key", "band", "left", "right"]].to_numpy()
-            starts = np.concatenate([[0], np.flatnonzero((cells[1:] != cells[:-1]).any(1)) + 1])
-            held = frame.iloc[starts[-1] :]  # may go on in the next batch
-            yield from fresh(frame.iloc[: starts[-1]], starts, seen)
-        if held is not None and len(held):
-            yield from fresh(held, np.array([0, len(held)]), seen)
+        for frame, starts in whole_groups(batches, cell):
+            yield from fresh(frame, starts, seen)
 
     def fresh(frame: pd.DataFrame, starts: np.ndarray, seen: set) -> Iterator[pd.DataFrame]:
-        if not len(frame):
-            return
         maps = frame["bitmap"].to_numpy()
         ids, sizes, comps, rest, bands = (frame[c].to_numpy() for c in ("id", "n", "comp", "rest", "band"))
         block, left, right = (frame[c].to_numpy() for c in ("block", "left", "right"))
@@ -279,7 +324,6 @@ def candidates(groups: DataFrame, percent: int, forest: bool) -> DataFrame:
         if new:
             yield pd.DataFrame(new, columns=["key", "band", "a", "b", "like"])
 
-    cell = "key", "band", "left", "right"
     dealt = groups.repartition(partitions(groups.sparkSession), *cell).sortWithinPartitions(*cell, "id")
     return dealt.mapInPandas(run, "key long, band int, a long, b long, like double")
 
@@ -408,16 +452,18 @@ def classes(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
     bands = F.explode(F.sequence("band", F.col("band") + above)).alias("band")
     records = placed.select("key", "id", "n", (F.col("n") - F.col("at")).alias("rest"), bands)
     # a group of two is a pair already, and its sizes and places say at once whether it can link: by chance most cannot
-    counted = records.groupBy("key", "band").agg(
-        F.count(F.lit(1)).alias("g"), F.min("id").alias("a"), F.max("id").alias("b"), F.min("n").alias("low"), F.max("n").alias("high"), F.min("rest").alias("rest")
-    )
+    both = F.shiftleft("n", 32).bitwiseOR(F.col("rest"))  # one number to move instead of two
+    counted = records.groupBy("key", "band").agg(F.count(F.lit(1)).alias("g"), F.min("id").alias("a"), F.max("id").alias("b"), F.min(both).alias("_low"), F.max(both).alias("_high"))
+    size, left = (lambda c: F.shiftright(c, 32)), (lambda c: F.col(c).bitwiseAND((1 << 32) - 1))
+    counted = counted.select("key", "band", "g", "a", "b", size("_low").alias("low"), size("_high").alias("high"), F.least(left("_low"), left("_high")).alias("rest"))
     two = (F.col("g") == 2) & ((100 + percent) * F.col("rest") >= percent * (F.col("low") + F.col("high"))) & (100 * F.col("low") >= percent * F.col("high"))
     shared = staged(counted.where((F.col("g") > 2) | two).select("key", "band", "g", "a", "b"), "ngram-shared")
     sets = reps.select("id", "n", "bitmap")
     twos = possible(shared.where("g = 2").select("a", "b").distinct(), sets, percent)
     keys = shared.where("g > 2").select("key", "band", "g")
     keys = F.broadcast(keys) if keys.count() <= BROADCAST_IDS else keys.hint("shuffle_hash")
-    groups = staged(records.join(keys, ["key", "band"]).select("key", "band", "id", "n", "rest", "g"), "ngram-groups")
+    groups = records.join(keys, ["key", "band"]).select("key", "band", "id", "n", "rest", "g")
+    groups = staged(viable(groups, percent), "ngram-groups")
     maps = reps.select("id", "band", "bitmap").unionAll(reps.where("up > 0").select("id", F.col("band") + 1, "wide"))
 
     def with_sets(groups: DataFrame, comp: str) -> DataFrame:
@@ -437,8 +483,7 @@ def classes(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
     named_groups = staged(
         groups.join(active.hint("shuffle_hash"), ["key", "band"], "left_semi").join(known.hint("shuffle_hash"), "id", "left").withColumn("comp", F.coalesce("comp", "id")), "ngram-active"
     )
-    mixed = named_groups.groupBy("key", "band").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("key", "band")
-    rest = candidates(with_sets(named_groups.join(mixed.hint("shuffle_hash"), ["key", "band"], "left_semi"), "comp"), percent, False)
+    rest = candidates(with_sets(staged(viable(named_groups, percent), "ngram-mixed"), "comp"), percent, False)
     more = verified(rest.select("a", "b").distinct(), texts, n, percent)
     final = staged(components(sure.unionAll(more)), "ngram-components").withColumnRenamed("id", "rep")
     named = twins.join(final.hint("shuffle_hash"), "rep", "left").select("digest", F.coalesce("comp", "rep").alias("component_id"))

@@ -1,7 +1,8 @@
 """Personal data: fixed patterns, and spans added by weak supervision.
 
-Labelers (shape, gazetteer, context, quoting, variety of characters) vote for, against or
-not at all on every candidate. The counts of all vote patterns of all documents, a small
+Candidates beyond the patterns are secrets, account numbers, IBANs, names of people and street addresses. Labelers (shape, gazetteer: lists of
+given names, street words, country codes of IBANs, calling codes, issuers of cards and keys, domains; context: the words before; quoting;
+variety of characters) vote for, against or not at all on every candidate. The counts of all vote patterns of all documents, a small
 table, go into expectation-maximisation, which estimates how reliable each labeler is and
 how likely each pattern is personal data; on these soft labels a logistic span classifier is
 trained, also from pattern counts. It decides on candidates beyond the fixed patterns.
@@ -18,7 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-KINDS = ("email", "ip", "card", "phone", "secret", "account")
+KINDS = ("email", "ip", "card", "phone", "secret", "account", "iban", "name", "address")
 BASE = KINDS[:4]
 SPANS = "array<struct<kind: string, start: bigint, end: bigint, base: boolean>>"
 
@@ -29,6 +30,44 @@ _NOT_LOCAL = re.compile(r"[^A-Za-z0-9._%+-]")
 _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
+# gazetteers
+GIVEN_NAMES = frozenset(
+    """Alexander Alice Amelia Ana Andrea Andrew Angela Anna Anne Antonio Barbara Benjamin Carlos Carmen Caroline Catherine Charles Charlotte Christian Christine
+    Claudia Clara Daniel David Diego Dieter Dorothy Eduardo Edward Elena Elizabeth Emily Emma Eric Ernst Eva Felix Fernando Francisco Frank Friedrich Georg George
+    Gabriel Hannah Hans Heinrich Helen Helga Henri Henry Ines Isabel Jacques James Jane Javier Jean Jennifer Jessica Joachim Johann John Jorge Joseph José Juan
+    Julia Julien Jürgen Karen Karl Katharina Klaus Laura Lena Linda Louis Louise Lucas Lucía Luis Manuel Marc Margaret Maria Marie Mario Mark Martin Martha Mary
+    Matthew Max Michael Michel Miguel Monika Nancy Nicolas Nicole Olivia Pablo Patricia Paul Pedro Peter Philipp Philippe Pierre Rachel Rafael Ralf Richard Robert Rosa Ruth
+    Samuel Sandra Sara Sarah Sebastian Sofia Sophie Stefan Stephen Susan Susanne Sylvie Teresa Thomas Ursula Uwe Victor Walter Werner William Wolfgang Yves""".split()
+)
+STREET_WORDS = "Street St Road Rd Avenue Ave Lane Ln Boulevard Blvd Drive Court Square Terrace".split()
+STREET_ENDS = "straße strasse weg platz gasse allee ufer damm".split()
+STREET_STARTS = "rue avenue boulevard place chemin impasse allée quai calle avenida plaza paseo camino".split()
+IBAN_LENGTHS = {
+    "AD": 24, "AT": 20, "BE": 16, "BG": 22, "CH": 21, "CY": 28, "CZ": 24, "DE": 22, "DK": 18, "EE": 20, "ES": 24, "FI": 18, "FR": 27, "GB": 22, "GR": 27, "HR": 21, "HU": 28,
+    "IE": 22, "IS": 26, "IT": 27, "LI": 21, "LT": 20, "LU": 20, "LV": 21, "MC": 27, "MT": 31, "NL": 18, "NO": 15, "PL": 28, "PT": 25, "RO": 24, "SE": 24, "SI": 19, "SK": 24,
+}
+KEY_STARTS = ("sk", "pk", "ghp", "gho", "AKIA", "ASIA", "AIza", "xoxb", "xoxp", "eyJ", "glpat", "SG")
+CALLING_CODES = ("1", "7", "20", "27", "30", "31", "32", "33", "34", "36", "39", "40", "41", "43", "44", "45", "46", "47", "48", "49", "52", "54", "55", "56", "57", "61", "81", "82", "86", "90", "91")
+CARD_ISSUERS = ("34", "37", "4", "51", "52", "53", "54", "55", "2221", "6011", "65", "35", "30", "36", "38")
+DOMAINS = frozenset("com org net edu gov info io de fr es it uk eu ch at nl pl ru br mx ar ca au jp test example".split())
+
+_IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
+_NAME = re.compile(r"(?<!\w)(?:" + "|".join(sorted(GIVEN_NAMES)) + r") (?:[A-ZÄÖÜÉ]\. )?[A-ZÄÖÜÉ][a-zà-ÿ]+(?:-[A-ZÄÖÜÉ][a-zà-ÿ]+)?(?!\w)")
+_ADDRESS = re.compile(
+    rf"(?<!\w)[0-9]{{1,5}}[a-z]? (?:[A-Z][a-z]+ ){{1,3}}(?:{'|'.join(STREET_WORDS)})(?!\w)"
+    rf"|(?<!\w)[A-ZÄÖÜ][a-zäöüß]*(?:{'|'.join(STREET_ENDS)}) [0-9]{{1,4}}[a-z]?(?!\w)"
+    rf"|(?<!\w)[0-9]{{1,4}},? (?:{'|'.join(STREET_STARTS)}) [A-Za-zà-ÿ' -]{{3,40}}?[a-zà-ÿ](?=[,.;\n]|$)"
+    rf"|(?<!\w)(?:{'|'.join(w.capitalize() for w in STREET_STARTS)}) [A-Z][a-zà-ÿ]+(?: [A-Za-zà-ÿ]+){{0,3}},? [0-9]{{1,4}}(?!\w)"
+)
+#: What a text has to hold for a name to be looked for.
+NAMED = r"\b(?:" + "|".join(sorted(GIVEN_NAMES)) + r") \p{Lu}"
+_CUES = {
+    "email": re.compile(r"(mail|contact|write|correo|courriel|kontakt)[^\n]{0,12}$", re.I),
+    "ip": re.compile(r"(ip|host|server|address|from|client|login)[^\n]{0,12}$", re.I),
+    "phone": re.compile(r"(tel|phone|call|fax|mobil|móvil|handy)[^\n]{0,12}$", re.I),
+    "name": re.compile(r"(name|nombre|nom|mr\.?|mrs\.?|ms\.?|dr\.?|herr|frau|señora?|monsieur|madame|signed|author|by|contact)[:\s]{1,3}$", re.I),
+    "address": re.compile(r"(address|adresse|dirección|lives|wohnt|street|at|ship to|anschrift)[^\n]{0,12}$", re.I),
+}
 _RUN = re.compile(r"(?<![A-Za-z0-9])[A-Za-z0-9]{16,}")
 _HEX = re.compile(r"[0-9a-fA-F]+")
 _SECRET_WORDS = re.compile(r"(token|secret|key|passw|auth|bearer|credential)[^\n]{0,12}$", re.I)
@@ -46,6 +85,27 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
+def iban(value: str) -> bool:
+    """Whether the check digits of an account number hold: the number, its first four characters last, is 1 modulo 97."""
+    bare = value.replace(" ", "")
+    return int("".join(str(int(c, 36)) for c in bare[4:] + bare[:4])) % 97 == 1
+
+
+def listed(kind: str, value: str) -> int:
+    """The vote of the gazetteers: 1 where a list knows the value, 2 where it ought to and does not, 0 where there is no such list."""
+    if kind == "iban":
+        return 1 if IBAN_LENGTHS.get(value[:2]) == len(value.replace(" ", "")) else 2
+    if kind in ("name", "address"):
+        return 1
+    if kind == "email":
+        return 1 if value.rsplit(".", 1)[-1].lower() in DOMAINS else 0
+    if kind == "phone":
+        return 1 if value[1:].startswith(CALLING_CODES) else 2
+    if kind in ("card", "account"):
+        return 1 if value.startswith(CARD_ISSUERS) else 2
+    return 1 if kind == "secret" and value.startswith(KEY_STARTS) else 0
+
+
 def emails(text: str) -> Iterator[tuple[int, int]]:
     """Leftmost matches: a run of local characters up to an '@', then a dotted domain."""
     done, at = 0, text.find("@")
@@ -95,9 +155,16 @@ def candidates(text: str) -> list[Candidate]:
     """Base spans, and runs of letters and digits or long numbers that may be more."""
     base = base_spans(text)
     out = [_voted(text, kind, a, b, True) for a, kind, b in base]
+    taken: set[int] = set()
+    for kind, pattern in (("iban", _IBAN), ("address", _ADDRESS), ("name", _NAME)):
+        for m in pattern.finditer(text):
+            out.append(_voted(text, kind, m.start(), m.end(), False))
+            taken.add(m.start())
     cards = {(a, b) for a, kind, b in base if kind == "card"}
     for m in _RUN.finditer(text):
         run = m[0]
+        if m.start() in taken:
+            continue
         if run.isdigit():
             if len(run) <= 19 and m.span() not in cards:
                 out.append(_voted(text, "account", m.start(), m.end(), False))
@@ -112,15 +179,17 @@ def _voted(text: str, kind: str, start: int, end: int, base: bool) -> Candidate:
     hexes = bool(_HEX.fullmatch(value))
     quoted = before[-1:] in "\"'`" and before != "" and after == before[-1:]
     assigned = bool(re.search(r"[=:]\s*[\"'`]?$", before))
-    words = _SECRET_WORDS if kind == "secret" else _NUMBER_WORDS
+    words = _SECRET_WORDS if kind == "secret" else _CUES.get(kind, _NUMBER_WORDS)
     if kind == "secret":
         shape = 1 if hexes and len(value) in (32, 40, 48, 56, 64) else 2 if value[:1].isupper() and digits <= 2 else 0
     elif kind == "account":
         shape = 1 if luhn(value) else 2
+    elif kind == "iban":
+        shape = 1 if iban(value) else 2
     else:
         shape = 1
-    gazetteer = 2 if _HARMLESS.search(before) else 1 if words.search(before) else 0
-    context = 1 if assigned or kind in ("email", "phone", "ip") else 0 if kind == "card" else 2
+    gazetteer = listed(kind, value)
+    context = 2 if _HARMLESS.search(before) else 1 if assigned or words.search(before) else 0 if base or kind in ("iban", "address") else 2
     quoting = 1 if quoted else 0 if base else 2
     distinct = len(set(value.lower()))
     variety = 1 if distinct >= 9 else 2 if distinct <= 4 else 0
@@ -188,11 +257,19 @@ def fit(patterns: list[tuple[str, tuple[int, ...], int, int]], rounds: int = 60)
 
 def _worth(text: Column) -> Column:
     """The text if it can hold a span, else null: others need not go to Python."""
-    return F.when(text.rlike("[0-9@]"), text)
+    return F.when(holds(text), text)
+
+
+def holds(text: Column) -> Column:
+    return text.rlike("[0-9@]") | text.rlike(NAMED)
 
 
 def learn(docs: DataFrame) -> Model | None:
-    """The model from the candidates of all texts; what comes to the driver is a row for each pattern of votes and features."""
+    """The model from the candidates of all texts; what comes to the driver is a row for each pattern of votes and features.
+
+    Null and empty texts have none; repeated rows count each time; without any candidate, as for an empty table, there is no model (None), and
+    only the fixed patterns are spans. Other columns are not looked at.
+    """
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: dict[tuple, int] = {}
@@ -225,7 +302,11 @@ def find(text: str, model: Model | None, memo: dict) -> list[dict]:
 
 
 def spans(text: Column, model: Model | None) -> Column:
-    """All spans of a text (null or empty: none) by start, then kind; offsets count code points, the end is exclusive."""
+    """All spans of a text (null or empty: none) by start, then kind, then end; offsets count code points, the end is exclusive.
+
+    Spans of different kinds may overlap. A candidate whose chance is exactly one half is a span. Texts may be of any length; a
+    row depends on its own text and the model alone.
+    """
 
     @F.pandas_udf(SPANS)
     def run(texts: pd.Series) -> pd.Series:
@@ -243,7 +324,7 @@ def redact(text: Column, model: Model | None) -> Column:
         memo: dict = {}
         return pd.Series([_redacted(t, find(t, model, memo)) if t else t for t in texts])
 
-    return F.when(text.rlike("[0-9@]"), run(_worth(text))).otherwise(text)
+    return F.when(holds(text), run(_worth(text))).otherwise(text)
 
 
 def _redacted(text: str, found: list[dict]) -> str:
