@@ -51,14 +51,15 @@ CALLING_CODES = ("1", "7", "20", "27", "30", "31", "32", "33", "34", "36", "39",
 CARD_ISSUERS = ("34", "37", "4", "51", "52", "53", "54", "55", "2221", "6011", "65", "35", "30", "36", "38")
 DOMAINS = frozenset("com org net edu gov info io de fr es it uk eu ch at nl pl ru br mx ar ca au jp test example".split())
 
-_IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
-_NAME = re.compile(r"(?<!\w)(?:" + "|".join(sorted(GIVEN_NAMES)) + r") (?:[A-ZÄÖÜÉ]\. )?[A-ZÄÖÜÉ][a-zà-ÿ]+(?:-[A-ZÄÖÜÉ][a-zà-ÿ]+)?(?!\w)")
-_ADDRESS = re.compile(
-    rf"(?<!\w)[0-9]{{1,5}}[a-z]? (?:[A-Z][a-z]+ ){{1,3}}(?:{'|'.join(STREET_WORDS)})(?!\w)"
-    rf"|(?<!\w)[A-ZÄÖÜ][a-zäöüß]*(?:{'|'.join(STREET_ENDS)}) [0-9]{{1,4}}[a-z]?(?!\w)"
-    rf"|(?<!\w)[0-9]{{1,4}},? (?:{'|'.join(STREET_STARTS)}) [A-Za-zà-ÿ' -]{{3,40}}?[a-zà-ÿ](?=[,.;\n]|$)"
-    rf"|(?<!\w)(?:{'|'.join(w.capitalize() for w in STREET_STARTS)}) [A-Z][a-zà-ÿ]+(?: [A-Za-zà-ÿ]+){{0,3}},? [0-9]{{1,4}}(?!\w)"
-)
+# each begins with a set of characters, so that a text without them is passed over fast; that a word begins there is tested afterwards
+_IBAN = re.compile(r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
+_CAPITALS = re.compile(r"[A-ZÄÖÜÉ][a-zà-ÿ]+(?=( (?:[A-ZÄÖÜÉ]\. )?[A-ZÄÖÜÉ][a-zà-ÿ]+(?:-[A-ZÄÖÜÉ][a-zà-ÿ]+)?)(?!\w))")
+_ADDRESSES = [
+    re.compile(rf"[0-9]{{1,5}}[a-z]? (?:[A-Z][a-z]+ ){{1,3}}(?:{'|'.join(STREET_WORDS)})(?!\w)"),
+    re.compile(rf"[A-ZÄÖÜ][a-zäöüß]*(?:{'|'.join(STREET_ENDS)}) [0-9]{{1,4}}[a-z]?(?!\w)"),
+    re.compile(rf"[0-9]{{1,4}},? (?:{'|'.join(STREET_STARTS)}) [A-Za-zà-ÿ' -]{{3,40}}?[a-zà-ÿ](?=[,.;\n]|$)"),
+    re.compile(rf"[{''.join(sorted({w[0].upper() for w in STREET_STARTS}))}](?:{'|'.join(w[1:] for w in STREET_STARTS)}) [A-Z][a-zà-ÿ]+(?: [A-Za-zà-ÿ]+){{0,3}},? [0-9]{{1,4}}(?!\w)"),
+]
 #: What a text has to hold for a name to be looked for.
 NAMED = r"\b(?:" + "|".join(sorted(GIVEN_NAMES)) + r") \p{Lu}"
 _CUES = {
@@ -137,6 +138,17 @@ def base_spans(text: str) -> list[tuple[int, str, int]]:
     return found
 
 
+def more_spans(text: str) -> Iterator[tuple[str, int, int]]:
+    """(kind, start, end) of what may be an IBAN, a street address or a name; addresses of one text do not overlap each other."""
+    begins = lambda m: not m.start() or not (text[m.start() - 1].isalnum() or text[m.start() - 1] == "_")
+    yield from (("iban", *m.span()) for m in _IBAN.finditer(text) if begins(m))
+    end = 0
+    for a, b in sorted(m.span() for pattern in _ADDRESSES for m in pattern.finditer(text) if begins(m)):
+        if a >= end:
+            yield "address", a, (end := b)
+    yield from (("name", m.start(), m.end(1)) for m in _CAPITALS.finditer(text) if m[0] in GIVEN_NAMES and begins(m))
+
+
 @dataclass(frozen=True)
 class Candidate:
     kind: str
@@ -156,10 +168,9 @@ def candidates(text: str) -> list[Candidate]:
     base = base_spans(text)
     out = [_voted(text, kind, a, b, True) for a, kind, b in base]
     taken: set[int] = set()
-    for kind, pattern in (("iban", _IBAN), ("address", _ADDRESS), ("name", _NAME)):
-        for m in pattern.finditer(text):
-            out.append(_voted(text, kind, m.start(), m.end(), False))
-            taken.add(m.start())
+    for kind, a, b in more_spans(text):
+        out.append(_voted(text, kind, a, b, False))
+        taken.add(a)
     cards = {(a, b) for a, kind, b in base if kind == "card"}
     for m in _RUN.finditer(text):
         run = m[0]

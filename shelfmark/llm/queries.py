@@ -13,6 +13,8 @@ from shelfmark.llm.common import WORD, table
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row of documents: doc_id, held_out, score, predicted. Null and empty texts score the bias alone; repeated rows score the same; a row whose
+    doc_id is null is not held out; without toxic labels the prior weights score; no documents, no rows. Other columns are not looked at."""
     docs = table(spark, sf_dir, "documents")
     model = toxicity.learn(docs, table(spark, sf_dir, "labels"), ~toxicity.held_out(F.col("doc_id")))
     scored = docs.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), toxicity.toxicity(F.col("text"), model).alias("score"))
@@ -20,19 +22,27 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row of pages: page_id, url, text, n_chars. Null or empty html, and pages without main text: '' and 0. Repeated rows come again; an empty table
+    gives none; pages may be very long, as the time grows in proportion; other columns are not looked at."""
     pages = table(spark, sf_dir, "pages")
     return pages.select("page_id", "url", html_extract.extract(F.col("html")).alias("text")).withColumn("n_chars", F.length("text").cast("long"))
 
 
 def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row of documents: doc_id, n_shingles, component_id. Texts without words: 0 shingles, alone; null doc_ids: alone, component null; rows of one doc_id
+    are one document. Links have no order, so there are no ties. An empty table gives none; other columns are not looked at."""
     return ngram_join.classes(table(spark, sf_dir, "documents"), n=4, percent=85)
 
 
 def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row of documents with its fingerprint, its edited text's and the likenesses. Null texts are empty; rows of one doc_id follow each other by text,
+    null doc_ids come first; a single row is its own successor; an empty table gives none; other columns are not looked at."""
     return fingerprint.fingerprints(table(spark, sf_dir, "documents"))
 
 
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row of documents: counts of the base kinds, the digest of the base spans, and all spans. Null and empty texts have none ('' digested). Spans go by start,
+    kind, end. Repeated rows get the same; without candidates there is no model and base spans stand alone; other columns are not looked at."""
     docs = table(spark, sf_dir, "documents")
     found = docs.select("doc_id", pii.spans(F.col("text"), pii.learn(docs)).alias("s"))
     joined = lambda spans: F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")
@@ -43,12 +53,16 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row of documents: doc_id, n_tokens and digests of ids and decoded text. Null and empty texts: begin and end alone. Texts of any length and any
+    characters; repeated rows get the same; an empty table gives none; other columns are not looked at."""
     docs = table(spark, sf_dir, "documents")
     coded = docs.select("doc_id", piece_codec.encode_decode(F.col("text"), public_tokenizers.path("piece_bpe_32k.model")).alias("r"))
     return coded.select("doc_id", "r.n_tokens", F.sha2("r.ids", 256).alias("ids_sha256"), F.sha2(F.col("r.decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row of documents: its size, crc32, shard and slot by the law of bytes. Null texts count 1 byte; equal texts share a shard unless they are too many for
+    one; repeated rows have slots of their own; an empty table gives none; other columns are not looked at."""
     docs = table(spark, sf_dir, "documents")
     text = F.coalesce("text", F.lit(""))
     rows = docs.select(
@@ -63,6 +77,8 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row of documents: size, source_size, target, taken and positions. Null texts have no words; null sources are a source, the last; the order within
+    a source is by md5 of the doc_id, then doc_id. Repeated rows are taken each; an empty table gives none; other columns are not looked at."""
     docs = table(spark, sf_dir, "documents")
     words = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("long")
     assigned = mixing.assign(docs.select("doc_id", "source", words.alias("size")))
@@ -119,6 +135,8 @@ FROM timed
 
 
 def op9_exact_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each vector whose id is divisible by 50 the ten nearest codes: query_id, rank, neighbor_id, distance. Ties go to the smaller id; null ids or vectors have no
+    code; repeated rows count once; fewer vectors give fewer rows, an empty table none; other columns are not looked at."""
     vectors = table(spark, sf_dir, "embeddings")
     return binary_search.top_k(vectors, vectors.where(F.col("vec_id") % 50 == 0), k=10)
 
@@ -138,6 +156,8 @@ SELECT * FROM ranked WHERE rank <= 10
 
 
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row of pages: page_id, host, path, rule, verdict. Null urls and urls without '://': both '', no rule, allow. Of rules that fit the longest decides;
+    repeated rows come again; an empty table gives none; other columns are not looked at."""
     listed = spark.createDataFrame([(d,) for d in url_filter.LISTED], "key string")
     return url_filter.judge(table(spark, sf_dir, "pages"), listed).select("page_id", "host", "path", "rule", "verdict")
 
