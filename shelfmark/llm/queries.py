@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 import public_tokenizers
 
-from shelfmark.llm import binary_search, fingerprint, html_extract, mixing, ngram_join, pii, piece_codec, sharding, toxicity, url_filter
+from shelfmark.llm import binary_search, fingerprint, html_extract, mixing, ngram_join, pii, piece_codec, sharding, spelling, toxicity, url_filter
 from shelfmark.llm.common import WORD, table
 
 
@@ -187,6 +187,13 @@ SELECT page_id, host, path, rule, CASE
 FROM ruled
 """
 
+
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every word of documents of seven code points or more that occurs twice: word, form, root, n, n_near, form_n. Null and empty texts have no words; a null doc_id is
+    hashed as an empty one; of equally frequent near words the smallest is the form; repeated rows count again; an empty table gives none; other columns are not looked at."""
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_html_extraction": op2_html_extraction,
@@ -198,6 +205,7 @@ QUERIES = {
     "op8_mixing": op8_mixing,
     "op9_exact_search": op9_exact_search,
     "op10_url_filter": op10_url_filter,
+    "op12_spelling": op12_spelling,
     "pipeline": corpus_pipeline.run,
 }
 
