@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 import public_tokenizers
 
-from shelfmark.llm import binary_search, fingerprint, html_extract, mixing, ngram_join, pii, piece_codec, sharding, spelling, toxicity, url_filter
+from shelfmark.llm import alignment, binary_search, fingerprint, html_extract, mixing, ngram_join, pii, piece_codec, sharding, spelling, toxicity, url_filter
 from shelfmark.llm.common import WORD, table
 
 
@@ -194,6 +194,13 @@ def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(table(spark, sf_dir, "documents"))
 
 
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row of documents: tokens of two tokenizers, their groups and links, and how common the links are. Null and empty texts, and texts that the tokens do not give
+    back: zeros and ''. Ties are all best; repeated rows are a document each; an empty table gives none; other columns are not looked at."""
+    paths = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+    return alignment.alignment(table(spark, sf_dir, "documents"), *paths)
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_html_extraction": op2_html_extraction,
@@ -206,6 +213,7 @@ QUERIES = {
     "op9_exact_search": op9_exact_search,
     "op10_url_filter": op10_url_filter,
     "op12_spelling": op12_spelling,
+    "op13_alignment": op13_alignment,
     "pipeline": corpus_pipeline.run,
 }
 
