@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 import public_tokenizers
 
-from shelfmark.llm import alignment, binary_search, fingerprint, html_extract, mixing, ngram_join, pii, piece_codec, sharding, spelling, toxicity, url_filter
+from shelfmark.llm import alignment, binary_search, fingerprint, html_extract, mixing, ngram_join, pii, piece_codec, sharding, spelling, toxicity, url_filter, vector_dedup
 from shelfmark.llm.common import WORD, table
 
 
@@ -188,6 +188,12 @@ FROM ruled
 """
 
 
+def op11_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row of embeddings: vec_id, n_links, component_id, kept. Null, zero and non-finite vectors and null labels link with nothing; rows without a vec_id are linked but
+    are no component's id; repeated rows are rows of their own, linked with each other; an empty table gives none; other columns are not looked at."""
+    return vector_dedup.near_copies(table(spark, sf_dir, "embeddings"), 0.93)
+
+
 def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every word of documents of seven code points or more that occurs twice: word, form, root, n, n_near, form_n. Null and empty texts have no words; a null doc_id is
     hashed as an empty one; of equally frequent near words the smallest is the form; repeated rows count again; an empty table gives none; other columns are not looked at."""
@@ -212,6 +218,7 @@ QUERIES = {
     "op8_mixing": op8_mixing,
     "op9_exact_search": op9_exact_search,
     "op10_url_filter": op10_url_filter,
+    "op11_vector_dedup": op11_vector_dedup,
     "op12_spelling": op12_spelling,
     "op13_alignment": op13_alignment,
     "pipeline": corpus_pipeline.run,
