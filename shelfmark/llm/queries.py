@@ -194,12 +194,69 @@ def op11_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_dedup.near_copies(table(spark, sf_dir, "embeddings"), 0.93)
 
 
+OP11_SQL = r"""
+WITH RECURSIVE given AS (
+  SELECT row_number() OVER () AS k, vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings
+), usable AS (
+  SELECT k, vec_id, label, v, sqrt(list_sum(list_transform(v, lambda x: x * x))) AS norm FROM given
+  WHERE label IS NOT NULL AND v IS NOT NULL AND len(list_filter(v, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(v, lambda x: x <> 0)) > 0
+), links AS (
+  SELECT a.k AS a, b.k AS b FROM usable a JOIN usable b ON a.label = b.label AND len(a.v) = len(b.v) AND a.k <> b.k
+  WHERE list_dot_product(a.v, b.v) / (a.norm * b.norm) >= 0.93
+), reach AS (
+  SELECT k, k AS o FROM given UNION SELECT r.k, l.b FROM reach r JOIN links l ON r.o = l.a
+), least AS (
+  SELECT r.k, min(g.vec_id) AS component_id FROM reach r JOIN given g ON r.o = g.k GROUP BY r.k
+), counts AS (
+  SELECT a AS k, count(*) AS n FROM links GROUP BY a
+)
+SELECT g.vec_id, CAST(coalesce(c.n, 0) AS BIGINT) AS n_links, CAST(m.component_id AS BIGINT) AS component_id, coalesce(g.vec_id = m.component_id, FALSE) AS kept
+FROM given g JOIN least m ON g.k = m.k LEFT JOIN counts c ON g.k = c.k
+"""
+
+
 def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every word of documents of seven code points or more that occurs twice: word, form, root, n, n_near, form_n. Null and empty texts have no words; a null doc_id is
     hashed as an empty one; of equally frequent near words the smallest is the form; repeated rows count again; an empty table gives none; other columns are not looked at."""
     return spelling.variants(table(spark, sf_dir, "documents"))
 
 
+OP12_SQL = r"""
+WITH RECURSIVE crc AS (
+  SELECT list(c ORDER BY i) AS t FROM (
+    SELECT i, list_reduce(list_prepend(CAST(i AS BIGINT), range(8)), lambda c, s: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c FROM range(256) x(i))
+), runs AS (
+  SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z\x{C0}-\x{FF}]{7,}')) AS r FROM documents
+), lowered AS (
+  SELECT doc_id, translate(r, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS r, count(*) AS n FROM runs GROUP BY ALL
+), hashed AS (
+  SELECT r, n, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(range(1, strlen(s) + 1), lambda i: CAST(('0x' || substr(hex(encode(s)), CAST(2 * i - 1 AS BIGINT), 2)) AS BIGINT))),
+      lambda c, b: xor(c >> 8, t[CAST(xor(c & 255, b) AS BIGINT) + 1])), 4294967295) AS h
+  FROM (SELECT r, n, coalesce(CAST(doc_id AS VARCHAR), '') || ':' || r AS s FROM lowered), crc
+), damaged AS (
+  SELECT CASE WHEN h % 31 = 0 THEN substr(r, 1, h % length(r)) || substr(r, h % length(r) + 2) ELSE r END AS word, n FROM hashed
+), words AS (
+  SELECT word, CAST(sum(n) AS BIGINT) AS n FROM damaged WHERE length(word) >= 7 GROUP BY word HAVING sum(n) >= 2
+), skipped AS (
+  SELECT word, n, i, substr(word, 1, i) AS p, substr(word, i + 2) AS s FROM (SELECT word, n, unnest(range(length(word))) AS i FROM words)
+), near AS (
+  SELECT a.word, b.word AS other, b.n FROM skipped a JOIN skipped b ON a.i = b.i AND a.p = b.p AND a.s = b.s AND a.word <> b.word
+  UNION SELECT a.word, w.word, w.n FROM skipped a JOIN words w ON a.p || a.s = w.word
+  UNION SELECT w.word, a.word, a.n FROM skipped a JOIN words w ON a.p || a.s = w.word
+), best AS (
+  SELECT word, count(*) AS n_near, arg_min(struct_pack(other := other, n := n), struct_pack(a := -n, b := encode(other))) AS top FROM near GROUP BY word
+), formed AS (
+  SELECT w.word, w.n, coalesce(b.n_near, 0) AS n_near, CASE WHEN b.top.n >= 10 * w.n THEN b.top.other END AS form, CASE WHEN b.top.n >= 10 * w.n THEN b.top.n END AS form_n
+  FROM words w LEFT JOIN best b ON w.word = b.word
+), ways AS (
+  SELECT word, word AS here, 0 AS d FROM formed UNION ALL SELECT y.word, f.form, y.d + 1 FROM ways y JOIN formed f ON y.here = f.word WHERE f.form IS NOT NULL
+), ends AS (
+  SELECT word, arg_max(here, d) AS root FROM ways GROUP BY word
+)
+SELECT f.word, f.form, e.root, f.n, CAST(f.n_near AS BIGINT) AS n_near, f.form_n FROM formed f JOIN ends e ON f.word = e.word
+"""
+
+
 def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every row of documents: tokens of two tokenizers, their groups and links, and how common the links are. Null and empty texts, and texts that the tokens do not give
     back: zeros and ''. Ties are all best; repeated rows are a document each; an empty table gives none; other columns are not looked at."""
@@ -228,5 +285,7 @@ ORACLE_SQL = {
     "op8_mixing": OP8_SQL,
     "op9_exact_search": OP9_SQL,
     "op10_url_filter": OP10_SQL,
+    "op11_vector_dedup": OP11_SQL,
+    "op12_spelling": OP12_SQL,
     **({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {}),
 }

@@ -37,10 +37,10 @@ def tables(spark, tmp_path_factory):
     pages = [(1, "HTTPS://WWW.Example.org/en/1", page, *more), (2, None, None, *more), (3, "no host", "", *more), (1, "HTTPS://WWW.Example.org/en/1", page, *more), (4, "https://a.com/de/?q", page * 200, *more)]
     write(spark, path, "pages", pages, f"page_id long, url string, html string, {extra}")
     v = [float((k * 37) % 11 - 5) for k in range(40)]
-    vectors = [(0, v), (0, v), (50, v), (7, [-x for x in v]), (None, v), (9, None)]
-    write(spark, path, "embeddings", vectors, "vec_id long, embedding array<float>")
+    vectors = [(0, v, 1), (0, v, 1), (50, v, 1), (7, [-x for x in v], 1), (None, v, 1), (9, None, 1)]
+    write(spark, path, "embeddings", vectors, "vec_id long, embedding array<float>, label int")
     empty = str(tmp_path_factory.mktemp("empty"))
-    for name, s in (("documents", schema), ("labels", "doc_id long, quality int, toxic int"), ("pages", f"page_id long, url string, html string, {extra}"), ("embeddings", "vec_id long, embedding array<float>")):
+    for name, s in (("documents", schema), ("labels", "doc_id long, quality int, toxic int"), ("pages", f"page_id long, url string, html string, {extra}"), ("embeddings", "vec_id long, embedding array<float>, label int")):
         write(spark, empty, name, [], s)
     return path, empty
 
