@@ -60,8 +60,8 @@ _ADDRESSES = [
     re.compile(rf"[0-9]{{1,4}},? (?:{'|'.join(STREET_STARTS)}) [A-Za-zà-ÿ' -]{{3,40}}?[a-zà-ÿ](?=[,.;\n]|$)"),
     re.compile(rf"[{''.join(sorted({w[0].upper() for w in STREET_STARTS}))}](?:{'|'.join(w[1:] for w in STREET_STARTS)}) [A-Z][a-zà-ÿ]+(?: [A-Za-zà-ÿ]+){{0,3}},? [0-9]{{1,4}}(?!\w)"),
 ]
-#: What a text has to hold for a name to be looked for.
-NAMED = r"\b(?:" + "|".join(sorted(GIVEN_NAMES)) + r") \p{Lu}"
+#: What a text has to hold for a name to be looked for: two words with capitals in a row. The list of names is asked afterwards.
+NAMED = r"[A-ZÄÖÜÉ][a-zà-ÿ]++ [A-ZÄÖÜÉ]"
 _CUES = {
     "email": re.compile(r"(mail|contact|write|correo|courriel|kontakt)[^\n]{0,12}$", re.I),
     "ip": re.compile(r"(ip|host|server|address|from|client|login)[^\n]{0,12}$", re.I),
@@ -141,7 +141,8 @@ def base_spans(text: str) -> list[tuple[int, str, int]]:
 def more_spans(text: str) -> Iterator[tuple[str, int, int]]:
     """(kind, start, end) of what may be an IBAN, a street address or a name; addresses of one text do not overlap each other."""
     begins = lambda m: not m.start() or not (text[m.start() - 1].isalnum() or text[m.start() - 1] == "_")
-    yield from (("iban", *m.span()) for m in _IBAN.finditer(text) if begins(m))
+    # what has not the length and the check digits of an IBAN may be a secret still
+    yield from (("iban", *m.span()) for m in _IBAN.finditer(text) if begins(m) and listed("iban", m[0]) == 1 and iban(m[0]))
     end = 0
     for a, b in sorted(m.span() for pattern in _ADDRESSES for m in pattern.finditer(text) if begins(m)):
         if a >= end:
