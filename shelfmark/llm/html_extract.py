@@ -34,6 +34,8 @@ IN_HEAD = frozenset("base basefont bgsound head html link meta noframes noscript
 BLOCKS = frozenset(
     "address article aside blockquote body center details dialog dd div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul br".split()
 )
+#: Elements that hold a whole page.
+OUTER = frozenset("#root html body".split())
 #: A start tag of the key ends an open element of the values, up to an element of the scope.
 IMPLIED = {"button": {"button"}, "select": {"select"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 #: Lists and buttons whose end tag is missing end where such an element starts.
@@ -54,7 +56,7 @@ _ENDS = re.compile(r"[.!?,;:]")
 
 @dataclass
 class Page:
-    """Elements in page order; the parent of each stands before it. Node 0 is the root."""
+    """Elements in page order; the parent of each stands before it. Node 0 is the root. Elements whose text never counts are no nodes: an icon in an article says nothing about it."""
 
     parents: list[int]
     tags: list[str]
@@ -65,12 +67,12 @@ class Page:
 
 def parse(source: str) -> Page:
     page = Page([-1], ["#root"], [""], [""], [])
-    stack, at = [0], 0
+    stack, tags, at = [0], ["#root"], 0  # open nodes and their tags; an element that is no node stands for the one around it
     dropped = 0  # open elements whose text never counts
     opened: Counter[str] = Counter()
 
     def text(a: int, b: int) -> None:
-        if b > a and page.tags[stack[-1]] == "head" and not source[a:b].isspace():
+        if b > a and tags[-1] == "head" and not source[a:b].isspace():
             close(len(stack) - 1)
         if b > a and not dropped:
             page.pieces.append((stack[-1], html.unescape(source[a:b])))
@@ -78,7 +80,8 @@ def parse(source: str) -> Page:
     def close(to: int) -> None:
         nonlocal dropped
         while len(stack) > to:
-            tag = page.tags[stack.pop()]
+            stack.pop()
+            tag = tags.pop()
             opened[tag] -= 1
             dropped -= tag in DROPPED
             if tag in BLOCKS:
@@ -87,7 +90,7 @@ def parse(source: str) -> Page:
     def open_at(wanted) -> int:
         """Place in the stack of the nearest open element among wanted, within the scope; 0 if there is none."""
         for k in range(len(stack) - 1 if any(opened[w] for w in wanted) else 0, 0, -1):
-            tag = page.tags[stack[k]]
+            tag = tags[k]
             if tag in wanted:
                 return k
             if tag in SCOPE:
@@ -104,14 +107,14 @@ def parse(source: str) -> Page:
         tag = tag.lower()
         if end:
             for k in range(len(stack) - 1 if opened[tag] else 0, 0, -1):
-                if page.tags[stack[k]] == tag:
+                if tags[k] == tag:
                     close(k)
                     break
             continue
-        if tag not in IN_HEAD and page.tags[stack[-1]] == "head":
+        if tag not in IN_HEAD and tags[-1] == "head":
             close(len(stack) - 1)
         if dropped and tag in BLOCKS:
-            while (k := len(stack) - 1) and tag in UNENDED.get(page.tags[stack[k]], ()):
+            while (k := len(stack) - 1) and tag in UNENDED.get(tags[k], ()):
                 close(k)
         if tag in BLOCKS:
             if tag != "br" and (k := open_at({"p"})):
@@ -121,14 +124,18 @@ def parse(source: str) -> Page:
             close(k)
         if tag in VOID or (rest.endswith("/") and tag not in BLOCKS and tag not in RAW):
             continue
-        named = {a.lower(): b or c or d for a, b, c, d in _NAMES.findall(rest)} if "=" in rest else {}
-        page.parents.append(stack[-1])
-        page.tags.append(tag)
-        page.names.append(" ".join(named.get(k, "") for k in ("class", "id", "role")).lower())
-        page.labels.append(named.get("data-y", ""))
-        stack.append(len(page.tags) - 1)
-        opened[tag] += 1
         dropped += tag in DROPPED
+        if dropped:
+            stack.append(stack[-1])
+        else:
+            named = {a.lower(): b or c or d for a, b, c, d in _NAMES.findall(rest)} if "=" in rest else {}
+            page.parents.append(stack[-1])
+            page.tags.append(tag)
+            page.names.append(" ".join(named.get(k, "") for k in ("class", "id", "role")).lower())
+            page.labels.append(named.get("data-y", ""))
+            stack.append(len(page.tags) - 1)
+        tags.append(tag)
+        opened[tag] += 1
         if tag in RAW:
             stop = re.compile(rf"</{tag}(?=[\s/>]|\Z)", re.I).search(source, at)
             at = position = stop.start() if stop else len(source)
@@ -159,7 +166,9 @@ def evidence(page: Page) -> list[list[str]]:
     out = []
     for k in range(n):
         t = total[k]
-        seen = ["tag=" + page.tags[k], f"own={_bucket(own[k])}", f"all={_bucket(t)}", f"links={_share(links[k], t)}", f"ends={min(4, marks[k] * 100 // t) if t else 'none'}"]
+        # text of its own makes another element of what is a mere frame otherwise
+        bare = "+text" if page.tags[k] in OUTER and _bucket(own[k]) >= 3 else ""
+        seen = ["tag=" + page.tags[k] + bare, f"own={_bucket(own[k])}", f"all={_bucket(t)}", f"links={_share(links[k], t)}", f"ends={min(4, marks[k] * 100 // t) if t else 'none'}"]
         seen += ["name=" + w for w in dict.fromkeys(_WORD.findall(page.names[k]))]
         out.append(seen)
     return out
@@ -322,7 +331,18 @@ def _article(rng: random.Random) -> str:
     return "".join(out)
 
 
+def _bare(rng: random.Random) -> str:
+    """A page whose article has no element of its own: text and line breaks in the body, or in no element at all."""
+    text = rng.choice(["<br>", "<br><br>", "\n", "<hr>"]).join(_words(rng, 4, 120) for _ in range(rng.randint(1, 8)))
+    if rng.random() < 0.3:
+        return text
+    sides = [_side(rng, k) if rng.random() < 0.25 else "" for k in ("header", "nav", "footer")]
+    return f'<html data-y="2"><head data-y="0"><title data-y="0">{_words(rng, 1, 6)}</title></head><body data-y="1">{sides[0]}{sides[1]}{text}{sides[2]}</body></html>'
+
+
 def labelled_page(rng: random.Random) -> str:
+    if rng.random() < 0.08:
+        return _bare(rng)
     tag, name = _named(rng, "article article article main div div div section", "content article post entry story main article-body post-content entry-content text body-text page-content", 0.7)
     inner = _article(rng)
     if rng.random() < 0.15:
@@ -343,10 +363,13 @@ def train(pages: list[str]) -> Model:
     """Counts over pages whose elements carry their label's number in data-y."""
     seen: dict[str, list[float]] = defaultdict(lambda: [0.5, 0.5, 0.5])
     child = [[[0.5] * 3 for _ in LABELS] for _ in range(2)]
-    nodes, root = [1.0] * 3, [0.1, 0.1, 1.0]
+    nodes, root = [1.0] * 3, [0.5] * 3
     for source in pages:
         page = parse(source)
         labels = [int(y or 2) for y in page.labels]
+        if any(k == 0 and not t.isspace() for k, t in page.pieces):  # text in no element
+            labels[0] = 1
+        root[labels[0]] += 1
         for k, e in enumerate(evidence(page)):
             nodes[labels[k]] += 1
             for s in e:
