@@ -510,3 +510,37 @@ def test_pipeline_order_over_files(spark, tmp_path):
     got = corpus_pipeline.encode(spark, spark.read.parquet(str(tmp_path / "mixed")), "").collect()
     assert [r["doc_id"] for r in sorted(got, key=lambda r: r["position"])] == want
     assert sorted(r["position"] for r in got) == list(range(len(want))) and len(set(want)) < len(want)
+
+
+def test_iban_hides_no_secret():
+    model = pii.fit([("secret", (0, 0, 1, 1, 1), 38, 50), ("secret", (0, 0, 2, 2, 0), 0, 50), ("iban", (1, 1, 0, 2, 1), 8, 20)])
+    found = lambda text: [(s["kind"], text[s["start"] : s["end"]]) for s in pii.find(text, model, {})]
+    for run in ("AB12CDEF3456GHIJ7890ZZ", "Ab12CDEF3456GHIJ7890ZZ", "DE88370400440532013000"):
+        assert found(f'api key = "{run}"') == [("secret", run)]
+    assert [c.kind for c in pii.candidates("see AB12CDEF3456GHIJ7890 here")] == ["secret"]
+    assert found("IBAN DE89 3704 0044 0532 0130 00 and DE89370400440532013000.") == [("iban", "DE89 3704 0044 0532 0130 00"), ("iban", "DE89370400440532013000")]
+
+
+def test_texts_passed_over_hold_no_name(spark):
+    texts = ["Anna Meyer came", "no names", "Jürgen Öz", "José É", "mail a@b.c", "JOHN SMITH", "x Mary Ann-Lee y", "Mary\nAnn"]
+    held = [r[0] for r in docs(spark, texts).orderBy("doc_id").select(pii.holds(F.col("text"))).collect()]
+    assert all(h or not pii.candidates(t) for h, t in zip(held, texts)) and not held[1]
+
+
+def test_em_learns_from_plain_counts():
+    """Reliabilities against plain conditional counts, where the truth is plain: labelers agree on everything but one of them."""
+    agreed = [("secret", (1, 1, 1, 1, 1), 38, 900), ("secret", (2, 2, 2, 2, 1), 0, 900), ("secret", (1, 1, 1, 1, 2), 38, 100), ("secret", (2, 2, 2, 2, 2), 0, 100)]
+    model = pii.fit(agreed)
+    assert np.allclose(model.reliability[:, 4], [[0, 0.9, 0.1]] * 2, atol=0.02) and model.reliability[1, 0, 1] > 0.97 and model.reliability[0, 0, 2] > 0.97
+    assert abs(model.prior[pii.KINDS.index("secret")] - 0.5) < 0.02
+    assert model.chance(*agreed[0][:3]) > 0.9 > 0.1 > model.chance(*agreed[1][:3])
+
+
+def test_html_without_silent_elements():
+    prose, m = "It was a bright cold day in the town, and the clocks were striking. " * 5, html_extract.default_model()
+    for x in ("<svg><path d=x></path></svg>", "<select><option>a</option></select>", "<template><p>x</p></template>", "<button>Share</button>", "<script>x</script>"):
+        assert html_extract.main_text(f"<article><p>{prose}</p>{x}</article>", m) == prose.strip()
+        got = html_extract.main_text(f"<article><p>{prose}</p><p>Choose {x} {prose}</p><p>{prose}</p></article>", m)
+        assert got.count("striking") == 15
+    assert html_extract.main_text(f"<body>{prose}<br>{prose}<br><br>{prose}</body>", m) == (prose * 3).strip()
+    assert html_extract.main_text(prose, m) == prose.strip()
