@@ -9,7 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from shelfmark.functions.text import clean_text, text_of
+from shelfmark.functions.text import clean_text, let, text_of
 
 # Fixed values
 STOP_WORDS = ("максимальная", "максимальный", "макс", "мин", "об", "минуту", "ед", "значение", "характеристика", "параметр", "тип")
@@ -87,7 +87,7 @@ def parse_stack(c: Column) -> Column:
 @F.pandas_udf(T.DoubleType())
 def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """How alike two texts are as sequences, 0 to 1; a null side gives 0 at once. Call it on distinct pairs that ratio_bound leaves."""
-    return pd.Series([0.0 if x is None or y is None else SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b)])
+    return pd.Series([0.0 if x is None or y is None else ratio_of(x, y) for x, y in zip(a, b)])
 
 
 def ratio_bound(a: Column, b: Column) -> Column:
@@ -97,21 +97,28 @@ def ratio_bound(a: Column, b: Column) -> Column:
     return F.when(total == 0, 1.0).otherwise(2.0 * F.least(shared(a, b), shared(b, a)) / total)
 
 
-def cheap_score(a: Column, b: Column) -> Column:
-    """1 for equal keys, 0.96 where one name's words are among the other's, else null: the sequence has to decide."""
-    x, y = name_tokens(a), name_tokens(b)
-    inside = (F.size(x) > 0) & (F.size(y) > 0) & ((F.size(F.array_except(x, y)) == 0) | (F.size(F.array_except(y, x)) == 0))
-    return F.when(attr_key(a) == attr_key(b), 1.0).when(inside, 0.96)
+def ratio_of(a: str, b: str) -> float:
+    """How alike two texts are as sequences, 0 to 1."""
+    return SequenceMatcher(None, a, b).ratio()
 
 
-def mapping_score(a: Column, b: Column) -> Column:
-    """How well a source attribute's name fits a field's, 0 to 1."""
-    x, y = name_tokens(a), name_tokens(b)
-    both = F.size(F.array_intersect(x, y))
+def name_score_parts(x: Column, y: Column, p: Column, q: Column) -> Column:
+    """What name tokens x and y and attribute keys p and q say of a mapping score without comparing sequences, as struct<known, low, high>: low is the score if it is known, else what
+    words in common give; high is what it is at most. Equal keys have 1, names whose words are among the other's 0.96."""
+    return let(F.size(F.array_intersect(x, y)), lambda both: _score_parts(both, x, y, p, q))
+
+
+def _score_parts(both: Column, x: Column, y: Column, p: Column, q: Column) -> Column:
     filled = (F.size(x) > 0) & (F.size(y) > 0)
-    coverage = F.when(filled, both / F.least(F.size(x), F.size(y))).otherwise(0.0)
-    union = F.when(filled, both / F.size(F.array_union(x, y))).otherwise(0.0)
-    # where equal or contained words decide, no sequence is compared
-    open_ = cheap_score(a, b).isNull()
-    mixed = F.lit(0.48) * sequence_ratio(F.when(open_, attr_key(a)), F.when(open_, attr_key(b))) + F.lit(0.37) * coverage + F.lit(0.15) * union
-    return F.coalesce(cheap_score(a, b), F.least(F.lit(0.99), mixed))
+    inside = filled & ((both == F.size(x)) | (both == F.size(y)))
+    words = F.when(filled, 0.37 * (both / F.least(F.size(x), F.size(y))) + 0.15 * (both / (F.size(x) + F.size(y) - both))).otherwise(0.0)
+    sure = F.when(p == q, 1.0).when(inside, 0.96)
+    most = F.least(F.lit(0.99), 0.48 * ratio_bound(p, q) + words + 1e-9)
+    return F.struct(sure.isNotNull().alias("known"), F.coalesce(sure, words).alias("low"), F.coalesce(sure, most).alias("high"))
+
+
+def mapping_score(a: Column, b: Column) -> Column:
+    """How well a source attribute's name fits a field's, 0 to 1. For the best of many fields ask operators.fuzzy.best_entries."""
+    p = let(name_tokens(a), lambda x: let(name_tokens(b), lambda y: name_score_parts(x, y, attr_key(a), attr_key(b))))
+    ratio = sequence_ratio(F.when(attr_key(a) != attr_key(b), attr_key(a)), attr_key(b))
+    return F.when(p["known"], p["low"]).otherwise(F.least(F.lit(0.99), 0.48 * ratio + p["low"]))

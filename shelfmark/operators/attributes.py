@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfmark.functions.text import clean_text, text_of
-from shelfmark.functions.values import DIMENSIONS, NUMBER, attr_key, attr_model, cheap_score, mapping_score, norm_value, ratio_bound, sequence_ratio, split_header
+from shelfmark.functions.values import DIMENSIONS, NUMBER, attr_key, attr_model, name_tokens, norm_value, split_header
+from shelfmark.operators import fuzzy as fuzzy_ops
 from shelfmark.operators.dedupe import first_by, top_k_per
 from shelfmark.operators.match import small
 
@@ -23,14 +24,18 @@ def open_values(values: DataFrame) -> DataFrame:
     return values.where((text_of(F.col("current_value")) == "") & F.col("is_in_template"))
 
 
-def against(rows: DataFrame, reference: DataFrame, entry: Column, key: str) -> DataFrame:
-    """Every row with every entry of a reference table (column e): the fields of a template, the templates. The table is laid beside the rows as a
-    value of at most MAX_DIMENSION entries; a larger one in several such values, by hash of key."""
+def beside(reference: DataFrame, entry: Column, key: str) -> list[Column]:
+    """A reference table as scalar values, arrays of at most MAX_DIMENSION entries: one, or several by hash of key."""
     blocks = -(-reference.count() // MAX_DIMENSION) or 1
     block = F.pmod(F.xxhash64(key), F.lit(2 * blocks))  # half full on average
     parts = [reference] if blocks == 1 else [reference.where(block == b) for b in range(2 * blocks)]
-    met = [rows.select("*", F.explode(part.agg(F.array_sort(F.collect_list(entry))).scalar()).alias("e")) for part in parts]
-    return reduce(DataFrame.unionAll, met)
+    return [part.agg(F.array_sort(F.collect_list(entry))).scalar() for part in parts]
+
+
+def against(rows: DataFrame, reference: DataFrame, entry: Column, key: str) -> DataFrame:
+    """Every row with every entry of a reference table (column e): the fields of a template, the templates. The table is laid beside the rows as a
+    value of at most MAX_DIMENSION entries; a larger one in several such values, by hash of key."""
+    return reduce(DataFrame.unionAll, [rows.select("*", F.explode(value).alias("e")) for value in beside(reference, entry, key)])
 
 
 def match_fields(stack: DataFrame, fields: DataFrame) -> DataFrame:
@@ -48,12 +53,18 @@ def match_fields(stack: DataFrame, fields: DataFrame) -> DataFrame:
     return filled.select("product_id", "field_id", "group_name", "name", F.coalesce("value", F.lit("")).alias("value"), F.lit(True).alias("in_template")).unionByName(extras)
 
 
-def score_fields(attrs: DataFrame, fields: DataFrame, fuzzy: bool = True) -> DataFrame:
-    """name, field_id, score for every distinct source name and field; fuzzy off: only equal names and contained words score."""
-    names = attrs.select("name").distinct()
-    pairs = against(names, fields, F.struct("field_id", F.col("name").alias("_field")), "field_id").select("name", "e.*")
-    score = mapping_score(F.col("name"), F.col("_field")) if fuzzy else F.coalesce(cheap_score(F.col("name"), F.col("_field")), F.lit(0.0))
-    return pairs.select("name", "field_id", score.alias("score"))
+def best_fields(attrs: DataFrame, fields: DataFrame, k: int, fuzzy: bool = True) -> DataFrame:
+    """name, rank (from 1), field_id, score of the k best fields of every distinct source name; ties by field_id. fuzzy off: only equal names and contained words score.
+
+    The fields are those of one template, laid beside the names as a value of at most MAX_DIMENSION; a larger reference table in several such values.
+    """
+    names = attrs.select("name").where("name is not null").distinct()
+    entries = fields.select(F.col("field_id").alias("id"), attr_key(F.col("name")).alias("key"), name_tokens(F.col("name")).alias("tokens"))
+    found = [fuzzy_ops.best_entries(names, value, k, fuzzy) for value in beside(entries, F.struct("id", "key", "tokens"), "id")]
+    rows = reduce(DataFrame.unionAll, [f.select("name", F.posexplode("best").alias("at", "b")) for f in found]).select("name", "at", F.col("b.id").cast(fields.schema["field_id"].dataType).alias("field_id"), "b.score")
+    if len(found) == 1:
+        return rows.select("name", (F.col("at") + 1).alias("rank"), "field_id", "score")
+    return top_k_per(rows.drop("at"), ["name"], "score", k, "field_id").select("name", "rank", "field_id", "score")
 
 
 def map_attributes(attrs: DataFrame, fields: DataFrame, rules: DataFrame | None = None, fuzzy: bool = True) -> DataFrame:
@@ -62,10 +73,9 @@ def map_attributes(attrs: DataFrame, fields: DataFrame, rules: DataFrame | None
     A saved rule (normalized_name, field_id) wins; else the best field, if its score is high enough and clear of the second.
     Only the reference table of fields of one template stands on the right of the comparison, never data with data.
     """
-    w = Window.partitionBy("name").orderBy(F.desc("score"), "field_id")
-    ranked = score_fields(attrs, fields, fuzzy).withColumn("second", F.lead("score").over(w)).withColumn("n", F.row_number().over(w)).where("n = 1")
+    two = best_fields(attrs, fields, 2, fuzzy).groupBy("name").agg(F.min_by("field_id", "rank").alias("field_id"), F.max("score").alias("score"), F.min(F.when(F.col("rank") == 2, F.col("score"))).alias("second"))
     status = F.when(F.col("score") < FIELD, "unknown").when(F.col("second").isNotNull() & (F.col("score") - F.col("second") < MARGIN) & (F.col("score") < SURE), "ambiguous").otherwise("mapped")
-    best = ranked.select("name", "field_id", F.bround(F.col("score") * 100).cast("int").alias("confidence"), status.alias("status"))
+    best = two.select("name", "field_id", F.bround(F.col("score") * 100).cast("int").alias("confidence"), status.alias("status"))
     names = attrs.select("name").distinct().join(best.hint("merge"), "name", "left")
     if rules is not None:
         names = names.withColumn("_k", attr_key(F.col("name"))).join(rules.select(F.col("normalized_name").alias("_k"), F.col("field_id").alias("_rule")), "_k", "left").drop("_k")
@@ -96,8 +106,9 @@ def map_values(values: DataFrame, fields: DataFrame, allowed: DataFrame, synonym
     score = F.when(form & F.col("part").isNotNull(), 96).when(F.col("_exact").isNotNull(), 100).when(F.col("_synonym").isNotNull(), 98)
     joined = joined.withColumn("_value", known).withColumn("_score", score)
     if fuzzy:
-        rest = joined.where("_score is null and part is not null").select("field_id", "_k").distinct().join(words.withColumnRenamed("_k", "_w").hint("merge"), "field_id")
-        near = rest.where(ratio_bound(F.col("_k"), F.col("_w")) >= VALUE).withColumn("_ratio", sequence_ratio(F.col("_k"), F.col("_w"))).where(F.col("_ratio") >= VALUE)
+        rest = joined.where("_score is null and part is not null").select("field_id", F.col("_k").alias("text"))
+        near = fuzzy_ops.alike(rest, words.withColumnRenamed("_k", "text"), ["field_id"], VALUE).select("field_id", F.col("a").alias("_k"), F.col("b").alias("_w"), F.col("ratio").alias("_ratio"))
+        near = near.join(words.withColumnRenamed("_k", "_w").hint("shuffle_hash"), ["field_id", "_w"])
         near = near.groupBy("field_id", "_k").agg(F.max(F.struct("_ratio", "_exact")).alias("b")).select("field_id", "_k", F.col("b._exact").alias("_near"), F.bround(F.col("b._ratio") * 100).cast("int").alias("_near_score"))
         joined = joined.join(near.hint("merge"), ["field_id", "_k"], "left").withColumn("_value", F.coalesce("_value", "_near")).withColumn("_score", F.coalesce("_score", "_near_score"))
     grouped = joined.groupBy("field_id", "value").agg(F.bool_and(F.col("_score").isNotNull()).alias("ok"), F.min("_score").alias("s"), F.collect_set("_value").alias("parts"))
@@ -112,8 +123,9 @@ def match_template(pages: DataFrame, templates: DataFrame, fuzzy: bool = True) -
     exact = cats.join(names.groupBy(F.col("_t").alias("_k")).agg(F.min("template_id").alias("_exact")), "_k", "left")
     out = exact.withColumn("template_id", F.col("_exact")).withColumn("score", F.when(F.col("_exact").isNotNull(), 1.0))
     if fuzzy:
-        pairs = against(exact.where("_exact is null").select("_k").distinct(), names, F.struct("template_id", "_t"), "template_id").select("_k", "e.*")
-        pairs = pairs.where(ratio_bound(F.col("_k"), F.col("_t")) >= TEMPLATE).withColumn("r", sequence_ratio(F.col("_k"), F.col("_t"))).where(F.col("r") >= TEMPLATE)
+        rest, own = exact.where("_exact is null").select(F.col("_k").alias("text")), names.select(F.col("_t").alias("text"))
+        pairs = fuzzy_ops.alike(rest, own, [], TEMPLATE).select(F.col("a").alias("_k"), F.col("b").alias("_t"), F.col("ratio").alias("r"))
+        pairs = pairs.join(names.hint("shuffle_hash"), "_t")
         near = pairs.groupBy("_k").agg(F.max_by("template_id", F.struct("r", -F.col("template_id"))).alias("_near"), F.max("r").alias("_r"))
         out = out.join(near.hint("merge"), "_k", "left").withColumn("template_id", F.coalesce("template_id", "_near")).withColumn("score", F.coalesce("score", "_r"))
     return out.select("category", "template_id", "score")
@@ -167,8 +179,7 @@ def batch_totals(values: DataFrame) -> DataFrame:
 
 def alternatives(attrs: DataFrame, fields: DataFrame, fuzzy: bool = True, k: int = 4) -> DataFrame:
     """name, rank (from 1), field_id, score (0 to 100): the k best fields of every distinct source name."""
-    best = top_k_per(score_fields(attrs, fields, fuzzy), ["name"], "score", k, "field_id")
-    return best.select("name", "rank", "field_id", F.bround(F.col("score") * 100).cast("int").alias("score"))
+    return best_fields(attrs, fields, k, fuzzy).select("name", "rank", "field_id", F.bround(F.col("score") * 100).cast("int").alias("score"))
 
 
 def similar_fill(values: DataFrame, targets: DataFrame, fields: DataFrame, peers: int = 100) -> DataFrame:
