@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import json
 import re
 import unicodedata
 from collections.abc import Callable
+from html.entities import html5
 
 import pandas as pd
 from pyspark.sql import Column
@@ -13,8 +15,12 @@ from pyspark.sql import types as T
 
 # A price with its currency, as crawled pages show it
 PRICE = "(?iU)\\d[\\d\\s]{1,}(?:\u20bd|руб\\.?)"
-# Character references that occur in feeds
-ENTITIES = {"&nbsp;": " ", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&apos;": "'", "&laquo;": "«", "&raquo;": "»", "&ndash;": "–", "&mdash;": "—", "&times;": "×", "&amp;": "&"}
+#: What HTML calls its characters, with and without the semicolon: the standard's table as Python has it, as JSON so that it is one literal of a plan.
+NAMES = json.dumps(html5, separators=(",", ":"))
+#: Names that count without a semicolon, longest first, also where more letters follow.
+SHORT = "|".join(sorted((n for n in html5 if not n.endswith(";")), key=lambda n: (-len(n), n)))
+#: What stands for the numbers 128 to 159: the characters of windows-1252, where it has one.
+LATIN = "".join(bytes([b]).decode("cp1252", "ignore") or chr(b) for b in range(128, 160))
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -94,12 +100,41 @@ def model_key(c: Column) -> Column:
     return F.upper(clean_text(c))
 
 
+def _numbered(ref: Column) -> Column:
+    """The character of #number or #xnumber: windows-1252 for 128 to 159, U+FFFD for none, '' for one that text does not hold."""
+    digits = F.regexp_extract(ref, "^#[xX]?0*([0-9a-fA-F]*)", 1)
+    base = lambda n: F.conv(digits, n, 10).cast("int")
+    number = F.when(F.length(digits) > 7, 0x110000).when(digits == "", 0).when(ref.rlike("^#[xX]"), base(16)).otherwise(base(10))
+
+    def char(n: Column) -> Column:
+        within = lambda a, b: (n >= a) & (n <= b)
+        none = within(1, 8) | (n == 11) | within(14, 31) | (n == 127) | within(0xFDD0, 0xFDEF) | (n.bitwiseAND(0xFFFE) == 0xFFFE)
+        point = F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32")
+        lost = (n == 0) | within(0xD800, 0xDFFF) | (n > 0x10FFFF)
+        return F.when(within(128, 159), F.substring(F.lit(LATIN), n - 127, F.lit(1))).when(lost, "\ufffd").when(none, "").otherwise(point)
+
+    return let(number, char)
+
+
+def _named(ref: Column, rest: Column) -> Column:
+    """A name's character and what follows it; of a name that there is not the longest start that counts without a semicolon."""
+    names = F.from_json(F.lit(NAMES), "map<string,string>")
+    start = F.regexp_extract(ref, f"^({SHORT})", 1)
+    whole = F.concat(F.try_element_at(names, ref), rest)
+    part = F.when(start != "", F.concat(F.try_element_at(names, start), F.substring(ref, F.length(start) + 1, F.length(ref)), rest))
+    return F.coalesce(whole, part, F.concat(F.lit("&"), ref, rest))
+
+
 def unescape(c: Column) -> Column:
-    """Character references as their characters, the ampersand last."""
-    out = text_of(c)
-    for name, char in ENTITIES.items():
-        out = F.replace(out, F.lit(name), F.lit(char))
-    return out
+    """Character references as their characters, by name or number, once: &amp;lt; becomes &lt;. What is no reference stays."""
+
+    def one(piece: Column) -> Column:
+        ref = F.regexp_extract(piece, r"^(#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[^\t\n\f <&#;]{1,32};?)", 1)
+        parts = let(F.struct(ref.alias("ref"), F.substring(piece, F.length(ref) + 1, F.length(piece)).alias("rest")), lambda p: F.when(p["ref"] == "", F.concat(F.lit("&"), p["rest"])).when(p["ref"].startswith("#"), F.concat(_numbered(p["ref"]), p["rest"])).otherwise(_named(p["ref"], p["rest"])))
+        return parts
+
+    join = lambda pieces: F.concat(F.get(pieces, F.lit(0)), F.array_join(F.transform(F.slice(pieces, F.lit(2), F.size(pieces)), one), ""))
+    return let(text_of(c), lambda text: F.when(text.rlike("&[#A-Za-z]"), let(F.split(text, "&"), join)).otherwise(text))
 
 
 def strip_tags(c: Column) -> Column:
@@ -107,8 +142,8 @@ def strip_tags(c: Column) -> Column:
 
 
 def technical_clean(c: Column, drop_brackets: bool = True) -> Column:
-    """Without tags; references decoded; dashes alike; no blanks around / _ . + -; bracketed parts off if wanted."""
-    text = F.regexp_replace(unescape(strip_tags(c)), "[–—−]", "-")
+    """Without tags; references decoded, also those that a reference to an ampersand makes; dashes alike; no blanks around / _ . + -; bracketed parts off if wanted."""
+    text = F.regexp_replace(unescape(unescape(strip_tags(c))), "[–—−]", "-")
     text = F.regexp_replace(text, r"(?U)\s*([/_.+\-])\s*", "$1")
     if drop_brackets:
         text = F.regexp_replace(text, r"\([^)]*\)|\[[^\]]*\]|\{[^}]*\}", " ")

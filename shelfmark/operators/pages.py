@@ -15,6 +15,7 @@ from shelfmark.functions.text import PRICE, between_markers, clean_text, extract
 from shelfmark.functions.urls import canonical_product_url, normalize_url, product_url_ok, should_follow, url_excluded
 from shelfmark.functions.values import attr_key
 from shelfmark.operators.dedupe import first_by
+from shelfmark.operators.structured import page_facts
 
 # Fixed values
 BLOCK_WORDS = ("cloudflare", "captcha", "access denied", "http 403", "__qrator", "qauth.js", "qrator", "доступ ограничен", "проверяем ваш браузер", "enable javascript")
@@ -38,8 +39,13 @@ class PageRules:
     exclude: tuple[str, ...] = field(default=())
 
 
+def plain_text(c: Column) -> Column:
+    """The text of a piece of HTML: tags off first, so that a reference to '<' makes no tag."""
+    return clean_text(unescape(strip_tags(c)))
+
+
 def _value(html: Column, pattern: str) -> Column:
-    return strip_tags(unescape(F.regexp_extract(html, pattern, 1))) if pattern else F.lit("")
+    return plain_text(F.regexp_extract(html, pattern, 1)) if pattern else F.lit("")
 
 
 def visible_text(html: Column) -> Column:
@@ -118,7 +124,7 @@ def extract_name(html: Column, rules: PageRules = PageRules()) -> Column:
     social = r"""(?:property|name)\s*=\s*["'](?:og|twitter):title["']"""
     content = r"""content\s*=\s*(?:"([^"]*)"|'([^']*)')"""
     tag = F.regexp_extract(text_of(html), rf"(?is)(<meta(?=[^>]*{social})(?=[^>]*{content})[^>]*>)", 1)
-    meta = let(tag, lambda t: strip_tags(unescape(F.concat(F.regexp_extract(t, f"(?is){content}", 1), F.regexp_extract(t, f"(?is){content}", 2)))))
+    meta = let(tag, lambda t: clean_text(unescape(F.concat(F.regexp_extract(t, f"(?is){content}", 1), F.regexp_extract(t, f"(?is){content}", 2)))))
     tries = [_value(html, rules.name), meta, _value(html, r"(?is)<h1[^>]*>(.*?)</h1>")]
     return F.coalesce(*[F.nullif(t, F.lit("")) for t in tries], F.lit(""))
 
@@ -139,37 +145,41 @@ def availability_ok(status: Column, rules: list[str]) -> Column:
     return ~bad
 
 
-LD = "name string, model string, mpn string, sku string, category string, brand string, additionalProperty array<struct<name:string,value:string>>"
+# Fixed values
+MODEL_NAMES = ("модель", "код модели", "артикул", "sku")
+
+
+def with_facts(pages: DataFrame) -> DataFrame:
+    """pages with facts, what their structured data says; where a caller has asked for it already, as it is."""
+    return pages if "facts" in pages.columns else pages.withColumn("facts", page_facts(F.col("html")))
 
 
 def extract_jsonld(pages: DataFrame) -> DataFrame:
-    """url, name, model, brand, category, properties of the JSON-LD products of each page."""
-    bodies = F.regexp_extract_all("html", F.lit(r"""(?is)<script[^>]*application/ld\+json[^>]*>(.*?)</script>"""), 1)
-    rows = pages.select("url", F.posexplode(bodies).alias("pos", "body")).where(F.get_json_object("body", "$.@type") == "Product")
-    p = F.from_json("body", LD)
-    brand = F.coalesce(F.get_json_object("body", "$.brand.name"), F.get_json_object("body", "$.brand"))
-    return rows.select("url", "pos", clean_text(p["name"]).alias("name"), F.coalesce(*[F.nullif(clean_text(p[k]), F.lit("")) for k in ("model", "mpn", "sku")], F.lit("")).alias("model"), clean_text(brand).alias("brand"), clean_text(p["category"]).alias("category"), p["additionalProperty"].alias("properties"))
+    """url, pos, name, model, brand, category, properties of the JSON-LD products of each page."""
+    return with_facts(pages).select("url", F.posexplode("facts.products").alias("pos", "p")).select("url", "pos", "p.*")
 
 
 def extract_pairs(pages: DataFrame) -> DataFrame:
-    """url, pos, name, value: first and last cell of table rows of two cells or more, and dt with dd; the first of equal pairs."""
-    rows = F.regexp_extract_all("html", F.lit(r"(?is)(<tr\b.*?</tr>|<dt\b.*?</dd>)"), 1)
-    cells = F.regexp_extract_all("row", F.lit(r"(?is)<(?:td|th|dt|dd)\b[^>]*>(.*?)</(?:td|th|dt|dd)>"), 1)
-    pairs = pages.select("url", F.posexplode(rows).alias("pos", "row")).withColumn("cells", cells).where(F.size("cells") >= 2)
-    pairs = pairs.select("url", "pos", strip_tags(unescape(F.col("cells")[0])).alias("name"), strip_tags(unescape(F.element_at("cells", -1))).alias("value"), F.col("row").rlike("(?i)^<tr").alias("_tr")).where("name <> '' and value <> '' and not (_tr and name = value)").drop("_tr")
-    return first_by(pairs, [F.col("url"), attr_key(F.col("name")), attr_key(F.col("value"))], [F.col("pos")])
+    """url, pos, name, value: first and last cell of table rows of two cells or more, and dt with dd, unless a product or an earlier pair of the page has the same."""
+    return with_facts(pages).select("url", F.posexplode("facts.pairs").alias("pos", "p")).select("url", "pos", "p.*")
 
 
-# Fixed values
-MODEL_NAMES = ("модель", "код модели", "артикул", "sku")
+def page_product(pages: DataFrame) -> DataFrame:
+    """url, name, model, brand, category, attributes of each page: of its products the last field that says anything, else the heading, the first pair whose
+    name says model, and the breadcrumbs; attributes are the products' properties, then the pairs."""
+    p = F.col("facts.products")
+    last = lambda name: F.coalesce(F.get(F.reverse(F.filter(F.transform(p, lambda x: x[name]), lambda v: v != "")), F.lit(0)), F.lit(""))
+    attributes = F.concat(F.flatten(F.transform(p, lambda x: x["properties"])), F.col("facts.pairs"))
+    model = F.get(F.filter(attributes, lambda x: attr_key(x["name"]).isin(*MODEL_NAMES)), F.lit(0))["value"]
+    or_else = lambda name, other: F.coalesce(F.nullif(last(name), F.lit("")), other, F.lit("")).alias(name)
+    fields = or_else("name", F.col("facts.heading")), or_else("model", model), last("brand").alias("brand"), or_else("category", F.array_join("facts.crumbs", " > "))
+    return with_facts(pages).select("url", *fields, attributes.alias("attributes"))
 
 
 def page_fallbacks(pages: DataFrame) -> DataFrame:
     """url, model (of the first pair whose name says so) and category (breadcrumb texts, distinct, joined by ' > ')."""
-    model = extract_pairs(pages).where(attr_key(F.col("name")).isin(*MODEL_NAMES)).groupBy("url").agg(F.min_by("value", "pos").alias("model"))
-    crumbs = F.regexp_extract(F.col("html"), r"""(?is)<(?:nav|ul|ol|div)[^>]*class\s*=\s*["'][^"']*breadcrumb[^"']*["'][^>]*>(.*?)</(?:nav|ul|ol|div)>""", 1)
-    texts = F.filter(F.transform(F.regexp_extract_all(crumbs, F.lit(r"(?s)>([^<>]+)<"), 1), clean_text), lambda t: t != "")
-    return pages.select("url", F.array_join(F.array_distinct(texts), " > ").alias("category")).join(model.hint("merge"), "url", "left")
+    model = F.get(F.filter("facts.pairs", lambda x: attr_key(x["name"]).isin(*MODEL_NAMES)), F.lit(0))["value"]
+    return with_facts(pages).select("url", F.array_join("facts.crumbs", " > ").alias("category"), model.alias("model"))
 
 
 def usable_pages(pages: DataFrame, products: DataFrame, url: str = "page_url") -> DataFrame:

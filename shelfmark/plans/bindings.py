@@ -154,6 +154,15 @@ def markers_and_lists(spark, d):
     return offers(spark, d).select("row_id", text.between_markers(src, "[b]", "[/b]").alias("between_"), text.between_markers(src, "=>").alias("after_"), text.between_markers(n, "nowhere", "x").alias("none"), text.norm_field(F.lit("<ns:cost>")).alias("field"), F.size(listed).alias("items"), text.strip_phrases(F.lit("a side b side-by-side ")).alias("phrase"))
 
 
+@query("SELECT doc_id, coalesce(text, '') AS decoded, coalesce(text, '') || '&nosuch; &lt;' AS once FROM documents")
+def references(spark, d):
+    """every kind of character reference in whole texts"""
+    coded = F.coalesce("text", F.lit(""))
+    for char, ref in (("&", "&amp;"), (",", "&comma;"), ("t", "&#x74;"), (".", "&#46;"), ("é", "&eacute;"), ("ó", "&#243"), ("\n", "&NewLine;")):
+        coded = F.replace(coded, F.lit(char), F.lit(ref)) if not ref.startswith("&#243") else F.regexp_replace(coded, "ó(?![0-9])", ref)
+    return table(spark, d, "documents").select("doc_id", text.unescape(coded).alias("decoded"), text.unescape(F.concat(coded, F.lit("&nosuch; &amp;lt;"))).alias("once"))
+
+
 @query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events")
 def json_defaults(spark, d):
     """F31"""
@@ -210,12 +219,17 @@ def page_links(spark, d):
     return pages.extract_links(table(spark, d, "pages").select("url", "html")).distinct()
 
 
-@query(r"""SELECT page_id, trim(regexp_replace(replace(regexp_extract(html, '<h1>(.*?)</h1>', 1), '&amp;', '&'), '[ \t\n\r]+', ' ', 'g')) AS name, '' AS availability, false AS blocked FROM pages""")
+@query(r"""SELECT page_id, trim(regexp_replace(replace(regexp_extract(html, '<h1>(.*?)</h1>', 1), '&amp;', '&'), '[ \t\n\r]+', ' ', 'g')) || ' <X5> ®' AS name,
+  CASE page_id % 3 WHEN 0 THEN 'в наличии' WHEN 1 THEN 'под заказ' ELSE '' END AS availability, page_id % 4 = 0 AS blocked FROM pages""")
 def page_names(spark, d):
     """U9, U13, U14"""
-    h = F.col("html")
+    h, n = F.col("html"), F.col("page_id")
     p = table(spark, d, "pages")
-    return p.select("page_id", pages.extract_name(h).alias("name"), pages.extract_availability(F.regexp_replace(h, "(?i)available|stock", "")).alias("availability"), (pages.is_blocked(h) & (F.length(pages.visible_text(h)) >= 250)).alias("blocked"))
+    said = F.when(n % 3 == 0, "<i>Нет</i> в наличии, Ожидается").when(n % 3 == 1, "Ожидался, под заказ").otherwise("")
+    shell = F.when(n % 4 == 0, "<html><body><p>One more step: CAPTCHA</p></body></html>").otherwise(h)
+    enough = (n % 4 == 0) | (F.length(pages.visible_text(h)) >= 250)
+    named = F.regexp_replace(h, "</h1>", " &lt;X5&gt; &reg;</h1>")
+    return p.select("page_id", pages.extract_name(named).alias("name"), pages.extract_availability(F.concat(F.regexp_replace(h, "(?i)available|stock", ""), said)).alias("availability"), (pages.is_blocked(shell) & enough).alias("blocked"))
 
 
 CARD = pages.PageRules(card_open='<div class="card">', url='href="([^"]*)"', model='<b class="model">(.*?)</b>', price='<i class="price">(.*?)</i>')
@@ -269,6 +283,36 @@ def structured_data(spark, d):
     return found.join(pairs.hint("merge"), "url").join(back.hint("merge"), "url").withColumnRenamed("url", "id")
 
 
+@query("""WITH pairs AS (
+  SELECT p_partkey AS id, 0 AS pos, 'Цвет & размер' AS attr, p_type || ' <' || p_size || '>' AS value FROM part
+  UNION ALL SELECT p_partkey, 1, 'outer', p_size || ' inner ' || p_brand FROM part UNION ALL SELECT p_partkey, 2, 'inner', p_brand FROM part UNION ALL SELECT p_partkey, 3, 'Артикул', 'M' || p_partkey FROM part)
+SELECT p_partkey AS id, p_name AS name, CASE WHEN p_partkey % 3 = 2 THEN 'M' || p_partkey ELSE 'S' || p_partkey END AS model, p_brand AS brand,
+  CASE WHEN p_partkey % 2 = 0 THEN p_type ELSE 'Home > ' || p_type END AS category, attr, value FROM part JOIN pairs ON p_partkey = id""")
+def structured_pages(spark, d):
+    """Products in graphs and lists, of several types, fields from several products, tables within cells, references in cells"""
+    p = table(spark, d, "part")
+    n = F.col("p_partkey")
+    text = lambda c: F.to_json(F.struct(F.col(c).alias("x")))
+    quoted = lambda c: F.regexp_extract(text(c), r"^\{\"x\":(.*)\}$", 1)
+    first = F.concat(F.lit('{"@type":["Thing","Product"],"name":"old","category":"'), F.when(n % 2 == 0, F.col("p_type")).otherwise(""), F.lit('","brand":{"name":'), quoted("p_brand"), F.lit("}}"))
+    sku = F.when(n % 3 == 2, "").otherwise(F.concat(F.lit("S"), n))
+    second = F.concat(F.lit('{"@type":"Product","name":'), quoted("p_name"), F.lit(',"brand":"","sku":"'), sku, F.lit('"}'))
+    ld = F.when(n % 3 == 0, F.concat(F.lit('{"@context":"x","@graph":[{"@type":"Other"},'), first, F.lit(",["), second, F.lit("]]}"))).when(n % 3 == 1, F.concat(F.lit("["), first, F.lit(","), second, F.lit("]"))).otherwise(
+        F.concat(first, F.lit('</script><script type="application/ld+json">not json</script><script type="application/ld+json">'), second)
+    )
+    size, brand = F.col("p_size").cast("string"), F.col("p_brand")
+    cells = F.concat(
+        F.lit("<table><tr><td>Цвет &amp; размер<td></td></td><td>"), F.col("p_type"), F.lit(" &lt;"), size, F.lit("&gt;</td></tr><tr><th>outer</th><td>"), size, F.lit("<table><tr><td>inner</td><td>"), brand,
+        F.lit("</td></tr></table></td></tr><tr><td>INNER</td><td>"), F.lower(brand), F.lit("</td></tr><tr><td>same</td><td>same</td></tr></table><dl><dt>Артикул</dt><p>x</p><dd>M"), n, F.lit("</dd></dl>"),
+    )
+    crumbs = F.concat(F.lit('<ul class="top breadcrumb"><li><a>Home</a></li><li><a>'), F.col("p_type"), F.lit("</a></li><li><a> home</a></li></ul>"))
+    html = F.concat(F.lit('<script type="application/ld+json">'), ld, F.lit("</script>"), F.regexp_replace(crumbs, "<li><a> home</a></li>", ""), F.lit("<h1>heading</h1>"), cells)
+    made = pages.with_facts(p.select(F.col("p_partkey").alias("url"), html.alias("html")))
+    found = pages.page_product(made).select("url", "name", "model", "brand", "category", F.explode("attributes").alias("a"))
+    return found.select(F.col("url").alias("id"), "name", "model", "brand", "category", F.col("a.name").alias("attr"), F.col("a.value").alias("value"))
+
+
+
 @query("WITH" + PARTS + r""", links AS (SELECT DISTINCT scheme || '://' || host || h AS link, h FROM (SELECT scheme, host, unnest(regexp_extract_all(html, '<a href="(/[^"]*)"', 1)) AS h FROM parts WHERE host LIKE '%.example.com'))
  SELECT link FROM links WHERE NOT starts_with(lower(h), '/the') AND link NOT IN (SELECT url FROM pages)""")
 def url_frontier(spark, d):

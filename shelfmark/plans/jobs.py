@@ -123,12 +123,8 @@ def batch_from_csv(products: DataFrame, fields: DataFrame) -> DataFrame:
 
 
 def batch_from_pages(stored: DataFrame, templates: DataFrame, fuzzy: bool = True) -> DataFrame:
-    """url, name, model, brand, category, template_id of stored product pages: structured data first, then the page's own pairs and headings."""
-    ld = dedupe.first_by(pages.extract_jsonld(stored), [F.col("url")], [F.col("pos")]).drop("pos", "properties")
-    back = pages.page_fallbacks(stored).select("url", F.col("model").alias("_model"), F.col("category").alias("_category"))
-    rows = stored.select("url", pages.extract_name(F.col("html")).alias("_name")).join(ld.hint("merge"), "url", "left").join(back.hint("merge"), "url", "left")
-    pick = lambda a, b: F.coalesce(F.nullif(F.col(a), F.lit("")), F.col(b), F.lit("")).alias(a)
-    out = rows.select("url", pick("name", "_name"), pick("model", "_model"), F.coalesce("brand", F.lit("")).alias("brand"), pick("category", "_category"))
+    """url, name, model, brand, category, template_id of stored product pages: structured data, the last of its products that says a field, then the page's own heading, pairs and breadcrumbs."""
+    out = pages.page_product(stored).drop("attributes")
     return out.join(attributes.match_template(out, templates, fuzzy).hint("merge"), "category", "left").drop("score")
 
 
