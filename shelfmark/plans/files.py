@@ -372,8 +372,7 @@ SELECT item_id, string_agg(k || '=' || v, ',' ORDER BY k || '=' || v) AS payload
 def stream_current(spark, d):
     """The last state of every item, laid down batch by batch of a change stream"""
     stream = change_view(spark, d, streams.file_stream(spark, d, "events.parquet"))
-    out = streams.run_batches(stream, streams.current_writer, "item_id long, payload map<string,string>")
-    return out.select("item_id", flat(F.col("payload")).alias("payload"))
+    return streams.current_table(stream).select("item_id", flat(F.col("payload")).alias("payload"))
 
 
 @query("WITH" + MISSING + ", firsts AS (SELECT min(row_id) AS row_id FROM offers GROUP BY source_model) SELECT source_model AS model_key, string_agg(label, ',' ORDER BY position) AS missing FROM missing JOIN offers USING (row_id) WHERE row_id IN (SELECT row_id FROM firsts) GROUP BY source_model")
@@ -381,5 +380,4 @@ def stream_new(spark, d):
     """Products of a stream that were never seen before and are missing in some feed, once each"""
     model = offers(spark, d, streams.file_stream(spark, d, "part.parquet")).select("row_id", keys.key_texts(F.col("source_model")).alias("keys"), F.col("source_model").alias("model_key"))
     f, k = feeds(spark, d), staged(feed_keys(spark, d), "feed-keys")
-    out = streams.run_batches(model, lambda read, write: streams.new_writer(read, write, f, k), "model_key string, missing array<string>", append=True)
-    return out.select("model_key", F.array_join("missing", ",").alias("missing"))
+    return streams.new_products(model, f, k).select("model_key", F.array_join("missing", ",").alias("missing"))

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.stateful_processor import TimerValues
 
-from shelfmark.operators.changes import apply_delta, collapse
 from shelfmark.operators.match import missing_feeds
-from shelfmark.storage import new_path
+from shelfmark.storage import new_path, setting, staged
 
 
 def file_stream(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -20,39 +23,31 @@ def file_stream(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return reader.option("pathGlobFilter", name).parquet(folder) if one else reader.parquet(f"{folder}/{name}")
 
 
-def settled(stream: DataFrame, mode: str) -> DataFrame:
-    """What a stream gives for all that is there now: run to its end, each batch stored in the shared folder under its number."""
-    spark = stream.sparkSession
-    path = new_path(spark, "stream")
-    whole = mode == "complete"
-    write = lambda batch, n: batch.write.mode("overwrite").parquet(f"{path}/rows/{'all' if whole else f'batch={n}'}")
-    stream.writeStream.outputMode(mode).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).foreachBatch(write).start().awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{path}/rows/*")
-
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
-def run_batches(stream: DataFrame, writer: Callable[..., Callable[[DataFrame, int], None]], schema: str, append: bool = False) -> DataFrame:
-    """The table that a writer (of read and write) keeps over all that a stream has now. A batch's table is stored under its number, so that one that is
-    run again replaces itself; append: a batch adds rows instead of giving the whole table."""
-    spark = stream.sparkSession
-    path = new_path(spark, "table")
-    done: dict[int, DataFrame] = {}
-    empty = spark.createDataFrame([], schema)
 
-    def read(before: int | None = None) -> DataFrame:
-        parts = [t for n, t in sorted(done.items()) if before is None or n < before]
-        if not parts or not append:
-            return parts[-1] if parts else empty
-        return spark.read.schema(empty.schema).parquet(*[f"{path}/{n}" for n in sorted(done) if before is None or n < before])
+def settled(stream: DataFrame, mode: str, path: str | None = None, each: Callable[[DataFrame], DataFrame] = lambda batch: batch) -> DataFrame:
+    """What a stream gives for all that is there now, with the number of the batch of each row: run to its end, what each makes of a batch stored under its number.
 
-    def batch(rows: DataFrame, n: int) -> None:
-        def write(table: DataFrame, number: int) -> None:
-            table.select(empty.columns).write.mode("overwrite").parquet(f"{path}/{number}")
-            done[number] = spark.read.schema(empty.schema).parquet(f"{path}/{number}")
+    path is a folder of the shared file system that keeps rows, progress and state. A later call with the same path goes on where the last one ended, also one that broke
+    off: a batch that is run again replaces its own rows. Without a path the stream starts anew. State is held by RocksDB, on disk and as changes in the checkpoint.
+    """
+    spark = stream.sparkSession
+    path = path or new_path(spark, "stream")
+    whole = mode == "complete"
 
-        writer(lambda: read(n), write)(rows, n)
+    def write(batch: DataFrame, n: int) -> None:
+        each(batch).write.mode("overwrite").parquet(f"{path}/rows/batch={0 if whole else n}")
 
-    stream.writeStream.option("checkpointLocation", f"{path}/state").trigger(availableNow=True).foreachBatch(batch).start().awaitTermination()
-    return read()
+    empty = each(spark.createDataFrame([], stream.schema))
+    with setting(spark, "spark.sql.streaming.stateStore.providerClass", ROCKS):
+        query = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).foreachBatch(write).start()
+        query.awaitTermination()
+    schema = empty.schema.add("batch", "long")
+    try:
+        return spark.read.schema(schema).option("basePath", f"{path}/rows").parquet(f"{path}/rows")
+    except AnalysisException:  # no batch so far
+        return spark.createDataFrame([], schema)
 
 
 def stream_log_counts(stream: DataFrame) -> DataFrame:
@@ -70,16 +65,45 @@ def log_counts_by_day(stream: DataFrame, time: str = "created_at", days: int = 7
     return with_retention(stream, time, days).groupBy(F.window(time, "1 day"), "level").agg(F.count(F.lit(1)).alias("n")).select(F.col("window.start").alias("day"), "level", "n")
 
 
-def current_writer(read: Callable[[], DataFrame], write: Callable[[DataFrame, int], None]) -> Callable[[DataFrame, int], None]:
-    """For foreachBatch over a change stream: each batch is collapsed and laid over the current table.
+class LastState(StatefulProcessor):
+    """An item's payload, a key of the state for each of its keys, and its last revision. Of removed items the revision stays, so that changes that come again do not bring them back."""
 
-    read gives the table (item_id, payload), write stores the new one under the batch's id, so that a batch that is run again replaces itself.
-    """
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.head = handle.getValueState("head", "revision long, present boolean")
+        self.payload = handle.getMapState("payload", "k string", "v string")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
+        last, present = self.head.get() if self.head.exists() else (None, False)
+        told = sorted((c for frame in rows for c in zip(frame["revision"].tolist(), frame["kind"], frame["payload"])), key=lambda c: c[0])
+        told = [c for c in told if last is None or c[0] > last]
+        whole = max((k for k, c in enumerate(told) if c[1] != "state"), default=None)  # what was before it does not count
+        if whole is not None:
+            self.payload.clear()
+            present = told[whole][1] == "upsert"
+            told = told[whole:]
+        if not told or (whole is None and not present):
+            return  # nothing new, or patches of an unknown item
+        for k, v in {k: v for _, _, payload in told if present for k, v in dict(payload or {}).items()}.items():
+            self.payload.updateValue((k,), (v,))
+        self.head.update((told[-1][0], present))
+        held = {k: v for (k,), (v,) in self.payload.iterator()} if present else {}
+        yield pd.DataFrame({"item_id": [key[0]], "payload": [held], "present": [present]})
+
+    def close(self) -> None:
+        pass
+
+
+def current_states(stream: DataFrame) -> DataFrame:
+    """item_id, payload, present for each item that a batch of a change stream (revision, item_id, kind, payload) changes; write it in update mode."""
+    kind = stream.schema["item_id"].dataType.simpleString()
+    return stream.groupBy("item_id").transformWithStateInPandas(LastState(), f"item_id {kind}, payload map<string,string>, present boolean", "update", "none")
 
-    def run(batch: DataFrame, batch_id: int) -> None:
-        write(apply_delta(read(), collapse(batch, -1)), batch_id)
 
-    return run
+def current_table(stream: DataFrame, path: str | None = None) -> DataFrame:
+    """The table (item_id, payload) after all that a change stream has now. A batch stores the items that it changes, not the table; see settled for path."""
+    told = settled(current_states(stream), "update", path)
+    last = told.groupBy("item_id").agg(F.max_by(F.struct("payload", "present"), "batch").alias("x"))
+    return last.where("x.present").select("item_id", "x.payload")
 
 
 def first_seen(stream: DataFrame, keys: list[str], time: str, delay: str = "7 days") -> DataFrame:
@@ -87,11 +111,12 @@ def first_seen(stream: DataFrame, keys: list[str], time: str, delay: str = "7 da
     return stream.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, delay).dropDuplicatesWithinWatermark(keys)
 
 
-def new_writer(read: Callable[[], DataFrame], write: Callable[[DataFrame, int], None], feeds: DataFrame, feed_keys: DataFrame) -> Callable[[DataFrame, int], None]:
-    """For foreachBatch over products (row_id, keys, model_key): those never seen before that are missing in some feed, with full history in a table."""
+def new_products(stream: DataFrame, feeds: DataFrame, feed_keys: DataFrame, path: str | None = None) -> DataFrame:
+    """Products of a stream (row_id, keys, model_key) that were never seen before, with the feeds in which they are missing (missing): those missing somewhere, once each, over
+    all runs on one path. The state store knows every model seen; a batch reads none of what earlier ones stored."""
 
-    def run(batch: DataFrame, batch_id: int) -> None:
-        fresh = batch.dropDuplicates(["model_key"]).join(read().select("model_key"), "model_key", "left_anti")
-        write(fresh.join(missing_feeds(fresh, feeds, feed_keys, no_keys="none").hint("merge"), "row_id"), batch_id)
+    def compared(fresh: DataFrame) -> DataFrame:
+        fresh = staged(fresh, "fresh")  # read twice
+        return fresh.join(missing_feeds(fresh, feeds, feed_keys, no_keys="none").hint("merge"), "row_id")
 
-    return run
+    return settled(stream.dropDuplicates(["model_key"]), "append", path, compared)

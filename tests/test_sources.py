@@ -105,10 +105,3 @@ def test_streams(spark, tmp_path):
     q = streams.first_seen(stream, ["level"], "created_at").writeStream.format("memory").queryName("firsts").outputMode("append").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "d")).start()
     q.awaitTermination(60)
     assert spark.table("firsts").count() == 2
-
-
-def test_current_writer(spark):
-    state = {"t": spark.createDataFrame([("a", {"x": "1"})], "item_id string, payload map<string,string>")}
-    run = streams.current_writer(lambda: state["t"], lambda df, i: state.update(t=df))
-    run(spark.createDataFrame([(1, "a", "remove", {}), (2, "b", "upsert", {"y": "1"})], "revision int, item_id string, kind string, payload map<string,string>"), 0)
-    assert [tuple(r) for r in state["t"].collect()] == [("b", {"y": "1"})]
