@@ -10,7 +10,7 @@ def missing_summary(news: DataFrame, feeds: DataFrame, codes: DataFrame | None =
     """source_label, missing and, with codes (label, codes_count), the size of each feed; feeds that miss nothing count 0."""
     counts = news.select(F.explode("missing").alias("label")).groupBy("label").agg(F.count(F.lit(1)).alias("missing"))
     out = feeds.select("label").join(counts.hint("merge"), "label", "left").select("label", F.coalesce("missing", F.lit(0)).cast("long").alias("missing"))
-    return out.join(codes, "label", "left") if codes is not None else out
+    return out.join(codes.hint("merge"), "label", "left") if codes is not None else out
 
 
 def import_totals(rows: DataFrame) -> DataFrame:

@@ -720,6 +720,19 @@ def orphan_customers(spark, d):
     return entities.orphans(table(spark, d, "customer"), table(spark, d, "orders"), "c_custkey", "o_custkey").select("c_custkey")
 
 
+@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderkey % 5 = 0)")
+def customers_without_fifths(spark, d):
+    """Customers none of whose orders has a number divisible by five"""
+    return entities.orphans(table(spark, d, "customer"), table(spark, d, "orders").where("o_orderkey % 5 = 0"), "c_custkey", "o_custkey").select("c_custkey")
+
+
+@query("SELECT p_partkey AS id FROM part WHERE p_size > 25")
+def removed_parts(spark, d):
+    """Parts that a later snapshot, of the small ones, does not have"""
+    p = table(spark, d, "part").select(F.col("p_partkey").alias("id"), "p_size")
+    return changes.removed(p, p.where("p_size <= 25"))
+
+
 @query("WITH " + DONORS + " SELECT n_nationkey AS brand_id, CASE WHEN EXISTS (SELECT 1 FROM donors d WHERE d.id = n_nationkey AND d.brand_id = n_nationkey) THEN n_nationkey ELSE (SELECT min(id) FROM donors d WHERE d.brand_id = n_nationkey) END AS donor_id FROM nation")
 def primary_donors(spark, d):
     """J17"""
@@ -902,6 +915,13 @@ def accepted_values(spark, d):
     return attributes.accept_suggested(v, True).select("product_id", "status", "final_value")
 
 
+@query("WITH " + VALUES + " SELECT product_id FROM vals WHERE t AND status <> 'filled'")
+def open_values(spark, d):
+    """P10: the template's values that the source file left blank"""
+    v = value_view(spark, d).withColumn("current_value", F.when(F.col("status") == "filled", "x").otherwise(" ").cast("string"))
+    return attributes.open_values(v.withColumn("current_value", F.trim("current_value"))).select("product_id")
+
+
 @query("SELECT p_partkey AS product_id, '1|brand|' || p_brand || chr(10) || '1|size|' || p_size || chr(10) || 'z|extra|' || p_type AS stack FROM part")
 def exported_stacks(spark, d):
     """K6"""

@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 
 from shelfmark.functions import candidates as cand
 from shelfmark.functions import keys, text, values
-from shelfmark.operators import attributes, changes, dedupe, match
-from shelfmark.plans.bindings import CHANGES, MISSING, OFFERS, change_view, feed_keys, feeds, field_view, flat, offers, query, table
+from shelfmark.operators import attributes, changes, dedupe, logs, match
+from shelfmark.plans.bindings import CHANGES, MISSING, OFFERS, change_view, feed_keys, feeds, field_view, flat, log_view, offers, query, table
 from shelfmark.sources import feeds as feed_sources
 from shelfmark.sources import grid as grids
 from shelfmark.sources import sinks
@@ -362,6 +362,19 @@ def fuzzy_templates(spark, d):
     return found.select("category", "template_id", F.bround(F.col("score") * 100).cast("int").alias("score"))
 
 
+# --- the log
+
+
+@query("""SELECT event_id AS id, CASE WHEN event_type = 'error' THEN 'error' ELSE 'info' END AS level, left(CAST(user_id AS VARCHAR), 255) AS project_name, strftime(CAST(ts AS TIMESTAMP), '%Y-%m-%d') AS day FROM events""")
+def stored_logs(spark, d):
+    """K8: the log appended in two steps, a folder for each day, and read again"""
+    path = new_path(spark, "log")
+    rows = log_view(spark, d).withColumn("level", F.upper("level"))
+    for part in (0, 1):
+        logs.append_logs(rows.where(F.col("id") % 2 == part), path)
+    return spark.read.parquet(path).select("id", "level", "project_name", F.date_format("day", "yyyy-MM-dd").alias("day"))
+
+
 # --- streams
 
 

@@ -21,7 +21,7 @@ def same(got, want):
 
 
 @pytest.mark.skipif(not os.path.isdir(DIR), reason="no tables here")
-@pytest.mark.parametrize("name", ["missing_feeds", "feed_comparison", "converted_prices", "collapsed_changes", "page_urls", "filled_values", "schedules", "brand_cards", "references", "page_batch", "structured_data", "structured_pages", "page_names"])
+@pytest.mark.parametrize("name", ["missing_feeds", "feed_comparison", "converted_prices", "collapsed_changes", "page_urls", "filled_values", "schedules", "brand_cards", "references", "page_batch", "structured_data", "structured_pages", "page_names", "customers_without_fifths", "removed_parts", "open_values"])
 def test_query(spark, name):
     con = duckdb.connect()
     for t in TABLES:
