@@ -42,12 +42,24 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(table: DataFrame) -> None:
+    """Removes a table that this process staged, once nothing that is still to be computed reads it."""
+    spark = table.sparkSession
+    for file in table.inputFiles()[:1]:
+        for name in [w for w in _written if f"/{w.rsplit('/', 1)[-1]}/" in file]:
+            _written.remove(name)
+            _delete(spark, name)
+
+
+def _delete(spark: SparkSession, name: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(name)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def clear(spark: SparkSession) -> None:
     """Removes all tables that this process staged. Results that read them are gone, too: store them before."""
-    hadoop = spark._jsc.hadoopConfiguration()
     while _written:
-        path = spark._jvm.org.apache.hadoop.fs.Path(_written.pop())
-        path.getFileSystem(hadoop).delete(path, True)
+        _delete(spark, _written.pop())
 
 
 @contextmanager

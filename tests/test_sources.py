@@ -1,6 +1,9 @@
+import os
+
 import pytest
 from pyspark.sql import functions as F
 
+from shelfmark import storage
 from shelfmark.sources import feeds, grid, sinks
 from shelfmark.streaming import streams
 
@@ -105,3 +108,11 @@ def test_streams(spark, tmp_path):
     q = streams.first_seen(stream, ["level"], "created_at").writeStream.format("memory").queryName("firsts").outputMode("append").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "d")).start()
     q.awaitTermination(60)
     assert spark.table("firsts").count() == 2
+
+
+def test_a_staged_table_is_discarded(spark):
+    kept, gone = storage.staged(spark.range(5), "kept"), storage.staged(spark.range(7), "gone")
+    file = gone.inputFiles()[0].removeprefix("file://")
+    storage.discard(gone)
+    storage.discard(storage.staged(spark.range(0), "empty"))
+    assert not os.path.exists(file) and kept.count() == 5
