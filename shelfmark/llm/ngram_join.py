@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from shelfmark.llm.common import partitions, staged
+from shelfmark.llm.common import discard, partitions, staged
 
 LEAF, FAN = 64, 8
 #: Sets of a group that one task takes; larger groups are cut into blocks.
@@ -446,6 +446,9 @@ def classes(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
         reps = reps.dropDuplicates(["doc_id", "digest"])
     reps = reps.withColumnsRenamed({"doc_id": "id", "n_shingles": "n"})
     reps = staged(reps.select("id", "n", "band", "prefix", "up", "bitmap", "wide"), "ngram-reps")
+    # from here on the wide rows are those of reps; of the others three columns are left
+    wide, table = table, staged(table.select("doc_id", "n_shingles", "digest"), "ngram-digests")
+    discard(wide)
     # each shingle of a prefix, with the overlap that is left from its place on
     placed = reps.select("id", "n", "band", "up", F.posexplode("prefix").alias("at", "key"))
     above = (F.col("at") < F.col("up")).cast("int")
