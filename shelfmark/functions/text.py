@@ -15,6 +15,8 @@ from pyspark.sql import types as T
 
 # A price with its currency, as crawled pages show it
 PRICE = "(?iU)\\d[\\d\\s]{1,}(?:\u20bd|руб\\.?)"
+# Character references that occur in feeds
+ENTITIES = {"&nbsp;": " ", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&apos;": "'", "&laquo;": "«", "&raquo;": "»", "&ndash;": "–", "&mdash;": "—", "&times;": "×", "&amp;": "&"}
 #: What HTML calls its characters, with and without the semicolon: the standard's table as Python has it, as JSON so that it is one literal of a plan.
 NAMES = json.dumps(html5, separators=(",", ":"))
 #: Names that count without a semicolon, longest first, also where more letters follow.
@@ -104,16 +106,12 @@ def _numbered(ref: Column) -> Column:
     """The character of #number or #xnumber: windows-1252 for 128 to 159, U+FFFD for none, '' for one that text does not hold."""
     digits = F.regexp_extract(ref, "^#[xX]?0*([0-9a-fA-F]*)", 1)
     base = lambda n: F.conv(digits, n, 10).cast("int")
-    number = F.when(F.length(digits) > 7, 0x110000).when(digits == "", 0).when(ref.rlike("^#[xX]"), base(16)).otherwise(base(10))
-
-    def char(n: Column) -> Column:
-        within = lambda a, b: (n >= a) & (n <= b)
-        none = within(1, 8) | (n == 11) | within(14, 31) | (n == 127) | within(0xFDD0, 0xFDEF) | (n.bitwiseAND(0xFFFE) == 0xFFFE)
-        point = F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32")
-        lost = (n == 0) | within(0xD800, 0xDFFF) | (n > 0x10FFFF)
-        return F.when(within(128, 159), F.substring(F.lit(LATIN), n - 127, F.lit(1))).when(lost, "\ufffd").when(none, "").otherwise(point)
-
-    return let(number, char)
+    n = F.when(F.length(digits) > 7, 0x110000).when(digits == "", 0).when(ref.rlike("^#[xX]"), base(16)).otherwise(base(10))
+    within = lambda a, b: n.between(a, b)
+    none = within(1, 8) | n.isin(11, 127) | within(14, 31) | within(0xFDD0, 0xFDEF) | (n.bitwiseAND(0xFFFE) == 0xFFFE)
+    point = F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32")
+    lost = (n == 0) | within(0xD800, 0xDFFF) | (n > 0x10FFFF)
+    return F.when(within(128, 159), F.substring(F.lit(LATIN), n - 127, F.lit(1))).when(lost, "\ufffd").when(none, "").otherwise(point)
 
 
 def _named(ref: Column, rest: Column) -> Column:
@@ -128,13 +126,24 @@ def _named(ref: Column, rest: Column) -> Column:
 def unescape(c: Column) -> Column:
     """Character references as their characters, by name or number, once: &amp;lt; becomes &lt;. What is no reference stays."""
 
+    # one lambda only: the analyzer resolves one level of them in a round, of which it has a hundred, and callers nest this again and again
     def one(piece: Column) -> Column:
         ref = F.regexp_extract(piece, r"^(#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[^\t\n\f <&#;]{1,32};?)", 1)
-        parts = let(F.struct(ref.alias("ref"), F.substring(piece, F.length(ref) + 1, F.length(piece)).alias("rest")), lambda p: F.when(p["ref"] == "", F.concat(F.lit("&"), p["rest"])).when(p["ref"].startswith("#"), F.concat(_numbered(p["ref"]), p["rest"])).otherwise(_named(p["ref"], p["rest"])))
-        return parts
+        rest = F.substring(piece, F.length(ref) + 1, F.length(piece))
+        return F.when(ref == "", F.concat(F.lit("&"), piece)).when(ref.startswith("#"), F.concat(_numbered(ref), rest)).otherwise(_named(ref, rest))
+
+    text = text_of(c)
+    pieces = F.split(text, "&")
+    whole = F.concat(F.get(pieces, F.lit(0)), F.array_join(F.transform(F.slice(pieces, F.lit(2), F.size(pieces)), one), ""))
+    return F.when(text.rlike("&[#A-Za-z]"), whole).otherwise(text)
+
 
-    join = lambda pieces: F.concat(F.get(pieces, F.lit(0)), F.array_join(F.transform(F.slice(pieces, F.lit(2), F.size(pieces)), one), ""))
-    return let(text_of(c), lambda text: F.when(text.rlike("&[#A-Za-z]"), let(F.split(text, "&"), join)).otherwise(text))
+def unescape_common(c: Column) -> Column:
+    """The references of ENTITIES only, the ampersand last: a small expression, for keys and candidates, which nest it many times. Where texts hold others, unescape a column first."""
+    out = text_of(c)
+    for name, char in ENTITIES.items():
+        out = F.replace(out, F.lit(name), F.lit(char))
+    return out
 
 
 def strip_tags(c: Column) -> Column:
@@ -142,8 +151,8 @@ def strip_tags(c: Column) -> Column:
 
 
 def technical_clean(c: Column, drop_brackets: bool = True) -> Column:
-    """Without tags; references decoded, also those that a reference to an ampersand makes; dashes alike; no blanks around / _ . + -; bracketed parts off if wanted."""
-    text = F.regexp_replace(unescape(unescape(strip_tags(c))), "[–—−]", "-")
+    """Without tags; common references decoded; dashes alike; no blanks around / _ . + -; bracketed parts off if wanted."""
+    text = F.regexp_replace(unescape_common(strip_tags(c)), "[–—−]", "-")
     text = F.regexp_replace(text, r"(?U)\s*([/_.+\-])\s*", "$1")
     if drop_brackets:
         text = F.regexp_replace(text, r"\([^)]*\)|\[[^\]]*\]|\{[^}]*\}", " ")
@@ -228,7 +237,7 @@ def apply_rules(c: Column, rules: str) -> Column:
     {br} is any line break; {reg[#regex#flags]} a regular expression with flags i, m, s; {skip} the shortest
     run and {.} one character in a pattern; anything else is literal. Lines without '|' and bad regexes are skipped.
     """
-    out = unescape(c)
+    out = unescape_common(c)
     for line in (rules or "").splitlines():
         pattern, bar, new = line.strip().partition("|")
         pattern, new = pattern.strip(), new.strip()
