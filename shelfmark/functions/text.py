@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-import json
+import html
 import re
 import unicodedata
 from collections.abc import Callable
-from html.entities import html5
 
 import pandas as pd
 from pyspark.sql import Column
@@ -17,12 +16,6 @@ from pyspark.sql import types as T
 PRICE = "(?iU)\\d[\\d\\s]{1,}(?:\u20bd|руб\\.?)"
 # Character references that occur in feeds
 ENTITIES = {"&nbsp;": " ", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&apos;": "'", "&laquo;": "«", "&raquo;": "»", "&ndash;": "–", "&mdash;": "—", "&times;": "×", "&amp;": "&"}
-#: What HTML calls its characters, with and without the semicolon: the standard's table as Python has it, as JSON so that it is one literal of a plan.
-NAMES = json.dumps(html5, separators=(",", ":"))
-#: Names that count without a semicolon, longest first, also where more letters follow.
-SHORT = "|".join(sorted((n for n in html5 if not n.endswith(";")), key=lambda n: (-len(n), n)))
-#: What stands for the numbers 128 to 159: the characters of windows-1252, where it has one.
-LATIN = "".join(bytes([b]).decode("cp1252", "ignore") or chr(b) for b in range(128, 160))
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -102,44 +95,35 @@ def model_key(c: Column) -> Column:
     return F.upper(clean_text(c))
 
 
-def _numbered(ref: Column) -> Column:
-    """The character of #number or #xnumber: windows-1252 for 128 to 159, U+FFFD for none, '' for one that text does not hold."""
-    digits = F.regexp_extract(ref, "^#[xX]?0*([0-9a-fA-F]*)", 1)
-    base = lambda n: F.conv(digits, n, 10).cast("int")
-    n = F.when(F.length(digits) > 7, 0x110000).when(digits == "", 0).when(ref.rlike("^#[xX]"), base(16)).otherwise(base(10))
-    within = lambda a, b: n.between(a, b)
-    none = within(1, 8) | n.isin(11, 127) | within(14, 31) | within(0xFDD0, 0xFDEF) | (n.bitwiseAND(0xFFFE) == 0xFFFE)
-    point = F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32")
-    lost = (n == 0) | within(0xD800, 0xDFFF) | (n > 0x10FFFF)
-    return F.when(within(128, 159), F.substring(F.lit(LATIN), n - 127, F.lit(1))).when(lost, "\ufffd").when(none, "").otherwise(point)
+@F.pandas_udf(T.StringType())
+def _unescape(c: pd.Series) -> pd.Series:
+    return c.map(html.unescape, na_action="ignore")
 
 
-def _named(ref: Column, rest: Column) -> Column:
-    """A name's character and what follows it; of a name that there is not the longest start that counts without a semicolon."""
-    names = F.from_json(F.lit(NAMES), "map<string,string>")
-    start = F.regexp_extract(ref, f"^({SHORT})", 1)
-    whole = F.concat(F.try_element_at(names, ref), rest)
-    part = F.when(start != "", F.concat(F.try_element_at(names, start), F.substring(ref, F.length(start) + 1, F.length(ref)), rest))
-    return F.coalesce(whole, part, F.concat(F.lit("&"), ref, rest))
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def _unescape_each(c: pd.Series) -> pd.Series:
+    return c.map(lambda texts: [html.unescape(t) for t in texts], na_action="ignore")
 
 
-def unescape(c: Column) -> Column:
-    """Character references as their characters, by name or number, once: &amp;lt; becomes &lt;. What is no reference stays."""
+# What may be a reference; nothing else goes to Python
+REFERENCE = "&[#A-Za-z]"
 
-    # one lambda only: the analyzer resolves one level of them in a round, of which it has a hundred, and callers nest this again and again
-    def one(piece: Column) -> Column:
-        ref = F.regexp_extract(piece, r"^(#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[^\t\n\f <&#;]{1,32};?)", 1)
-        rest = F.substring(piece, F.length(ref) + 1, F.length(piece))
-        return F.when(ref == "", F.concat(F.lit("&"), piece)).when(ref.startswith("#"), F.concat(_numbered(ref), rest)).otherwise(_named(ref, rest))
 
+def unescape(c: Column) -> Column:
+    """Character references as their characters, by name or number, once: &amp;lt; becomes &lt;. What is no reference stays. An Arrow function, so not for use within let or transform."""
     text = text_of(c)
-    pieces = F.split(text, "&")
-    whole = F.concat(F.get(pieces, F.lit(0)), F.array_join(F.transform(F.slice(pieces, F.lit(2), F.size(pieces)), one), ""))
-    return F.when(text.rlike("&[#A-Za-z]"), whole).otherwise(text)
+    odd = text.rlike(REFERENCE)
+    return F.when(odd, _unescape(F.when(odd, text))).otherwise(text)
+
+
+def unescape_each(c: Column) -> Column:
+    """unescape of each text of an array that holds no null."""
+    odd = F.exists(c, lambda t: t.rlike(REFERENCE))
+    return F.when(odd, _unescape_each(F.when(odd, c))).otherwise(c)
 
 
 def unescape_common(c: Column) -> Column:
-    """The references of ENTITIES only, the ampersand last: a small expression, for keys and candidates, which nest it many times. Where texts hold others, unescape a column first."""
+    """The references of ENTITIES only, the ampersand last, natively: for keys and candidates, which nest it within lambdas. Where texts hold others, unescape a column first."""
     out = text_of(c)
     for name, char in ENTITIES.items():
         out = F.replace(out, F.lit(name), F.lit(char))

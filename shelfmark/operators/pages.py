@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfmark.functions.candidates import finalize_model
-from shelfmark.functions.text import PRICE, between_markers, clean_text, extract_prices, let, price_display, strip_tags, text_of, unescape
+from shelfmark.functions.text import PRICE, between_markers, clean_text, extract_prices, let, price_display, strip_tags, text_of, unescape, unescape_each
 from shelfmark.functions.urls import canonical_product_url, normalize_url, product_url_ok, should_follow, url_excluded
 from shelfmark.functions.values import attr_key
 from shelfmark.operators.dedupe import first_by
@@ -66,7 +66,7 @@ def is_blocked(html: Column) -> Column:
 def extract_links(pages: DataFrame) -> DataFrame:
     """url, link: the distinct normalised links of each page."""
     hrefs = F.regexp_extract_all("html", F.lit("(?i)<a\\s[^>]*?href\\s*=\\s*[\"']([^\"']*)[\"']"), 1)
-    links = F.transform(hrefs, lambda h: normalize_url(unescape(h), F.col("url")))
+    links = F.transform(unescape_each(hrefs), lambda h: normalize_url(h, F.col("url")))
     return pages.select("url", F.explode(F.array_distinct(F.filter(links, lambda x: x.isNotNull()))).alias("link"))
 
 
@@ -124,7 +124,7 @@ def extract_name(html: Column, rules: PageRules = PageRules()) -> Column:
     social = r"""(?:property|name)\s*=\s*["'](?:og|twitter):title["']"""
     content = r"""content\s*=\s*(?:"([^"]*)"|'([^']*)')"""
     tag = F.regexp_extract(text_of(html), rf"(?is)(<meta(?=[^>]*{social})(?=[^>]*{content})[^>]*>)", 1)
-    meta = let(tag, lambda t: clean_text(unescape(F.concat(F.regexp_extract(t, f"(?is){content}", 1), F.regexp_extract(t, f"(?is){content}", 2)))))
+    meta = clean_text(unescape(let(tag, lambda t: F.concat(F.regexp_extract(t, f"(?is){content}", 1), F.regexp_extract(t, f"(?is){content}", 2)))))
     tries = [_value(html, rules.name), meta, _value(html, r"(?is)<h1[^>]*>(.*?)</h1>")]
     return F.coalesce(*[F.nullif(t, F.lit("")) for t in tries], F.lit(""))
 

@@ -1,4 +1,4 @@
-"""The jobs: operators put together. They give tables, and writing them is up to the caller; W1 and W3 store the offers with their candidates in the shared folder."""
+"""The jobs: operators put together. They give tables, and writing them is up to the caller; W1 and W3 store the offers with their candidates in the shared folder, W10 the cards."""
 
 from __future__ import annotations
 
@@ -103,9 +103,9 @@ def scan_partial(products: DataFrame, feeds: DataFrame, feed_keys: DataFrame) ->
 
 
 def crawl_result(stored: DataFrame, listing: pages.PageRules, detail: pages.PageRules) -> DataFrame:
-    """url, model, price of the products of stored pages (url, html): cards of listings, and pages of their own, the listing's price carried over."""
+    """url, model, price of the products of stored pages (url, html): cards of listings, and pages of their own, the listing's price carried over. The cards are stored once."""
     usable = stored.where(~pages.is_blocked(F.col("html")))
-    cards = pages.extract_listing(usable, listing)
+    cards = staged(pages.extract_listing(usable, listing), "cards")  # read three times
     # a page that lists products is no product page
     rest = usable.join(cards.select(F.col("page_url").alias("url")).hint("merge"), "url", "left_anti")
     single = pages.extract_detail(pages.with_listing_price(rest, cards), detail)
