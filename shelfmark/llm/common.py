@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfmark.storage import discard, shared_dir, staged
+from shelfmark.storage import discard, shared_dir, small_batches, staged
 
 __all__ = ["LOWER", "UPPER", "WORD", "ascii_lower", "discard", "partitions", "shared_dir", "small_batches", "staged", "table"]
 
@@ -14,15 +14,6 @@ WORD = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-#: Rows of an Arrow batch: texts may be long, and this bounds what a Python worker holds at once.
-BATCH_ROWS = 500
-
-
-def small_batches(spark: SparkSession) -> None:
-    """Sets the rows of an Arrow batch for this session. It stays set: results are lazy and need it when they are read."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -18,6 +18,7 @@ from shelfmark.operators import attributes, changes, dedupe, entities, logs, mat
 from shelfmark.plans import jobs
 from shelfmark.sources import feeds as feed_sources
 from shelfmark.sources import grid as grids
+from shelfmark.storage import small_batches
 from shelfmark.streaming import streams
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -160,7 +161,9 @@ def references(spark, d):
     coded = F.coalesce("text", F.lit(""))
     for char, ref in (("&", "&amp;"), (",", "&comma;"), ("t", "&#x74;"), (".", "&#46;"), ("é", "&eacute;"), ("ó", "&#243"), ("\n", "&NewLine;")):
         coded = F.replace(coded, F.lit(char), F.lit(ref)) if not ref.startswith("&#243") else F.regexp_replace(coded, "ó(?![0-9])", ref)
-    return table(spark, d, "documents").select("doc_id", text.unescape(coded).alias("decoded"), text.unescape(F.concat(coded, F.lit("&nosuch; &amp;lt;"))).alias("once"))
+    small_batches(spark)
+    rows = table(spark, d, "documents").select("doc_id", coded.alias("coded"))
+    return rows.select("doc_id", text.unescape(F.col("coded")).alias("decoded"), text.unescape(F.concat("coded", F.lit("&nosuch; &amp;lt;"))).alias("once"))
 
 
 @query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events")

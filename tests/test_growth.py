@@ -22,3 +22,18 @@ def size(df):
 def test_the_plan_of_a_crawl_is_small(spark):
     # it was 19 MB, and a driver keeps several of each query
     assert size(bindings.listing_cards(spark, DIR)) < 1_000_000
+
+
+def test_references_are_no_part_of_a_plan(spark):
+    df = spark.createDataFrame([("a &lt;b&gt; &copy &nosuch;",), (None,), ("R&D",)], "t string")
+    out = df.select(text.unescape(F.col("t")).alias("u"), text.unescape_each(F.array(text.text_of(F.col("t")), F.lit("&eacute;"))).alias("e"))
+    assert size(out) < 5_000  # a table of names was in it, and every reference searched it from its start
+    assert [(r["u"], r["e"]) for r in out.collect()] == [(html.unescape(t), [html.unescape(t), "é"]) for t in ("a &lt;b&gt; &copy &nosuch;", "", "R&D")]
+
+
+@tables
+def test_whole_texts_go_to_python_in_small_batches(spark):
+    for query in (bindings.QUERIES["references"], bindings.QUERIES["search_texts"]):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 10_000)
+        query(spark, DIR)
+        assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 500
