@@ -222,8 +222,11 @@ def page_links(spark, d):
     return pages.extract_links(table(spark, d, "pages").select("url", "html")).distinct()
 
 
-@query(r"""SELECT page_id, trim(regexp_replace(replace(regexp_extract(html, '<h1>(.*?)</h1>', 1), '&amp;', '&'), '[ \t\n\r]+', ' ', 'g')) || ' <X5> ®' AS name,
-  CASE page_id % 3 WHEN 0 THEN 'в наличии' WHEN 1 THEN 'под заказ' ELSE '' END AS availability, page_id % 4 = 0 AS blocked FROM pages""")
+@query(r"""WITH headed AS (SELECT page_id, regexp_extract(html, '<h1>(.*?)</h1>', 1) AS h FROM pages),
+unquoted AS (SELECT page_id, regexp_replace(regexp_replace(h, '&quot;?', '"', 'g'), '&#(39|[xX]27);', '''', 'g') AS h FROM headed),
+decoded AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(h, '&lt;?', '<', 'g'), '&gt;?', '>', 'g'), '&amp;?', '&', 'g') AS h FROM unquoted)
+SELECT page_id, trim(regexp_replace(h, '[ \t\n\r]+', ' ', 'g')) || ' <X5> ®' AS name,
+  CASE page_id % 3 WHEN 0 THEN 'в наличии' WHEN 1 THEN 'под заказ' ELSE '' END AS availability, page_id % 4 = 0 AS blocked FROM decoded""")
 def page_names(spark, d):
     """U9, U13, U14"""
     h, n = F.col("html"), F.col("page_id")

@@ -37,3 +37,14 @@ def test_whole_texts_go_to_python_in_small_batches(spark):
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 10_000)
         query(spark, DIR)
         assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 500
+
+
+def test_names_and_their_sql_decode_alike(spark, tmp_path):
+    heads = ["a &amp; b &amp", "cut &am", "&quot;x&quot; &amp;lt; &lt", "it&#x27;s &gt;", "plain & bare"]
+    path = str(tmp_path / "pages.parquet")
+    spark.createDataFrame([(n, f"https://x.test/{n}", f"<body><h1>{h}</h1></body>") for n, h in enumerate(heads)], "page_id long, url string, html string").coalesce(1).write.parquet(path)
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{path}/*.parquet'")
+    want = {r[0]: r[1] for r in con.execute(bindings.ORACLE["page_names"]).fetchall()}
+    got = {r["page_id"]: r["name"] for r in bindings.page_names(spark, str(tmp_path)).collect()}
+    assert got == want and got[0].startswith("a & b & <")
