@@ -998,7 +998,7 @@ def usable_pages(spark, d):
 def stream_log_counts(spark, d):
     """R1"""
     e = streams.file_stream(spark, d, "events.parquet")
-    return streams.settled(streams.stream_log_counts(e.select(F.col("event_type").alias("level"))), "complete")
+    return streams.settled(streams.stream_log_counts(e.select(F.col("event_type").alias("level"))), "complete").select("level", "n")
 
 
 @query("SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, event_type AS level, count(*) AS n FROM events GROUP BY ALL")

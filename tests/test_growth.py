@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from shelfmark.functions import text
-from shelfmark.plans import bindings
+from shelfmark.plans import bindings, files  # noqa: F401 - files adds its queries
 
 DIR = "/root/testdata/sf0.001"
 tables = pytest.mark.skipif(not os.path.isdir(DIR), reason="no tables here")
@@ -48,3 +48,10 @@ def test_names_and_their_sql_decode_alike(spark, tmp_path):
     want = {r[0]: r[1] for r in con.execute(bindings.ORACLE["page_names"]).fetchall()}
     got = {r["page_id"]: r["name"] for r in bindings.page_names(spark, str(tmp_path)).collect()}
     assert got == want and got[0].startswith("a & b & <")
+
+
+@tables
+def test_stream_counts_have_the_columns_of_their_sql(spark):
+    out = bindings.stream_log_counts(spark, DIR)
+    want = duckdb.sql(f"SELECT event_type, count(*) FROM '{DIR}/events.parquet' GROUP BY ALL").fetchall()
+    assert out.columns == ["level", "n"] and sorted(map(tuple, out.collect())) == sorted(want)
