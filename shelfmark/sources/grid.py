@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from shelfmark.functions.candidates import converter_model
 from shelfmark.functions.text import clean_text, norm_header, price_digits, text_of
+from shelfmark.storage import spread
 
 # Fixed values
 DELIMITERS = (";", ",", "|", "\t")
@@ -157,6 +158,10 @@ def convert_prices(grid: DataFrame, model_field: str, price_field: str, promo_fi
     if promo_field and not (promo_start and promo_end):
         raise ValueError("a promo column needs its dates")
     fields = [model_field, price_field] + ([promo_field] if promo_field else [])
+    grid = spread(grid, *SHEET, "row_number")
     rows = body(grid, locate_header(grid, fields, sheet))
-    out = rows.select(*SHEET, "row_number", converter_model(F.get("cells", F.col("at")[0])).alias("model"), price_digits(F.get("cells", F.col("at")[1])).alias("price"), *([promo_special(price_digits(F.get("cells", F.col("at")[2])), promo_start, promo_end).alias("special")] if promo_field else []))
+    special = [promo_special(price_digits(F.get("cells", F.col("at")[2])), promo_start, promo_end).alias("special")] if promo_field else []
+    # one struct, exploded, so that the filter below does not compute the models again
+    made = F.struct(converter_model(F.get("cells", F.col("at")[0])).alias("model"), price_digits(F.get("cells", F.col("at")[1])).alias("price"), *special)
+    out = rows.select(*SHEET, "row_number", F.explode_outer(F.array(made)).alias("c")).select(*SHEET, "row_number", "c.*")
     return out.where("model <> '' and price <> ''")

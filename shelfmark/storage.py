@@ -45,6 +45,13 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """df by hash of keys in some partitions for each core: a table of few bytes is read by few tasks, however much is to be computed for each of its rows."""
+    spark = df.sparkSession
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 3 * spark.sparkContext.defaultParallelism)
+    return df.repartition(n, *keys)
+
+
 def discard(table: DataFrame) -> None:
     """Removes a table that this process staged, once nothing that is still to be computed reads it."""
     spark = table.sparkSession
