@@ -12,6 +12,7 @@ from shelfmark.functions.values import DIMENSIONS, NUMBER, attr_key, attr_model,
 from shelfmark.operators import fuzzy as fuzzy_ops
 from shelfmark.operators.dedupe import first_by, top_k_per
 from shelfmark.operators.match import small
+from shelfmark.storage import staged
 
 # Fixed thresholds
 FIELD, MARGIN, SURE, VALUE, TEMPLATE = 0.74, 0.06, 0.94, 0.88, 0.82
@@ -58,7 +59,8 @@ def best_fields(attrs: DataFrame, fields: DataFrame, k: int, fuzzy: bool = True)
 
     The fields are those of one template, laid beside the names as a value of at most MAX_DIMENSION; a larger reference table in several such values.
     """
-    names = attrs.select("name").where("name is not null").distinct()
+    # stored: else the test that a name has best fields goes below the distinct, and they are looked for in every row
+    names = staged(attrs.select("name").where("name is not null").distinct(), "names")
     entries = fields.select(F.col("field_id").alias("id"), attr_key(F.col("name")).alias("key"), name_tokens(F.col("name")).alias("tokens"))
     found = [fuzzy_ops.best_entries(names, value, k, fuzzy) for value in beside(entries, F.struct("id", "key", "tokens"), "id")]
     rows = reduce(DataFrame.unionAll, [f.select("name", F.posexplode("best").alias("at", "b")) for f in found]).select("name", "at", F.col("b.id").cast(fields.schema["field_id"].dataType).alias("field_id"), "b.score")
@@ -93,7 +95,7 @@ def map_values(values: DataFrame, fields: DataFrame, allowed: DataFrame, synonym
     form. A composite value maps if all of its parts do, with their least confidence.
     """
     has = allowed.select("field_id").distinct().withColumn("_has", F.lit(True))
-    own = values.select("field_id", "value").distinct().join(fields.select("field_id", "value_type", "is_composite"), "field_id").join(has, "field_id", "left")
+    own = staged(values.select("field_id", "value").distinct(), "values").join(fields.select("field_id", "value_type", "is_composite"), "field_id").join(has, "field_id", "left")
     normal = norm_value(F.col("value"), F.col("value_type"))
     single = F.array(normal)
     many = F.filter(F.transform(F.split("value", "/"), clean_text), lambda p: p != "")

@@ -13,7 +13,7 @@ from shelfmark.functions.text import clean_text, let, prepare_model, text_of
 from shelfmark.functions.values import parse_stack
 from shelfmark.operators import attributes, dedupe, match, pages, report
 from shelfmark.sources import grid as grids
-from shelfmark.storage import staged
+from shelfmark.storage import spread, staged
 
 
 @dataclass
@@ -44,9 +44,9 @@ def with_candidates(offers: DataFrame, rules: str = "", brands: DataFrame | None
 
 
 def prepared(offers: DataFrame, rules: str, exclusions: list[str]) -> DataFrame:
-    """offers with candidates, keys and kept, stored: the costly columns are computed once, however many joins read them."""
+    """offers with candidates, keys and kept, stored: the costly columns are computed once, by all cores, however many joins read them."""
     kept = not_excluded(F.col("source_model"), F.col("name"), F.col("brand"), exclusions)
-    return staged(with_candidates(offers.withColumn("kept", kept), rules).withColumn("keys", _keys(F.col("candidates"))), "prepared-offers")
+    return staged(with_candidates(spread(offers, "row_id").withColumn("kept", kept), rules).withColumn("keys", _keys(F.col("candidates"))), "prepared-offers")
 
 
 def _keys(candidates: Column) -> Column:
@@ -124,8 +124,10 @@ def batch_from_csv(products: DataFrame, fields: DataFrame) -> DataFrame:
 
 def batch_from_pages(stored: DataFrame, templates: DataFrame, fuzzy: bool = True) -> DataFrame:
     """url, name, model, brand, category, template_id of stored product pages: structured data, the last of its products that says a field, then the page's own heading, pairs and breadcrumbs."""
-    out = pages.page_product(stored).drop("attributes")
-    return out.join(attributes.match_template(out, templates, fuzzy).hint("merge"), "category", "left").drop("score")
+    out = staged(pages.page_product(stored).drop("attributes"), "page-products")
+    # categories may be few: by a shuffle all pages of one would be a task
+    found = staged(attributes.match_template(out, templates, fuzzy), "templates")
+    return out.join(match.small(found, attributes.MAX_DIMENSION), "category", "left").drop("score")
 
 
 def fill_from_sources(attrs: DataFrame, fields: DataFrame, allowed: DataFrame, synonyms: DataFrame, rules: DataFrame | None = None, auto: bool = False, fuzzy: bool = True) -> Result:
@@ -133,9 +135,11 @@ def fill_from_sources(attrs: DataFrame, fields: DataFrame, allowed: DataFrame, s
 
     Confidence is the lesser of the field's and the value's.
     """
-    mapped = attributes.map_attributes(attrs, fields, rules, fuzzy)
-    named = attrs.join(mapped.hint("merge"), "name")
+    # names, and values of a field, may be few: by a shuffle all rows of one would be a task
+    mapped = staged(attributes.map_attributes(attrs, fields, rules, fuzzy), "mapped-names")
+    named = attrs.join(match.small(mapped, attributes.MAX_DIMENSION), "name")
     values = attributes.map_values(named.where("field_id is not null"), fields, allowed, synonyms, fuzzy).select("field_id", "value", "mapped", F.col("confidence").alias("_c"))
-    good = named.join(values.hint("merge"), ["field_id", "value"]).where("mapped is not null")
+    values = staged(values, "mapped-values")
+    good = named.join(match.small(values, attributes.MAX_DIMENSION), ["field_id", "value"]).where("mapped is not null")
     cands = good.select("product_id", "field_id", F.col("mapped").alias("value"), "source", "priority", F.least("confidence", "_c").alias("confidence"), "pos")
     return Result(attributes.resolve_candidates(cands, auto), attributes.mapping_report(named))
