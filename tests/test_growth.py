@@ -55,3 +55,17 @@ def test_stream_counts_have_the_columns_of_their_sql(spark):
     out = bindings.stream_log_counts(spark, DIR)
     want = duckdb.sql(f"SELECT event_type, count(*) FROM '{DIR}/events.parquet' GROUP BY ALL").fetchall()
     assert out.columns == ["level", "n"] and sorted(map(tuple, out.collect())) == sorted(want)
+
+
+@tables
+@pytest.mark.parametrize("name", ["model_candidates", "unit_tokens", "converted_prices"])
+def test_costly_rows_are_spread(spark, name):
+    # a table of few bytes was one task
+    assert "REPARTITION_BY_NUM" in bindings.QUERIES[name](spark, DIR)._jdf.queryExecution().executedPlan().toString()
+
+
+@tables
+@pytest.mark.parametrize("name", ["filled_values", "mapping_report", "page_batch"])
+def test_few_names_are_no_shuffle_keys(spark, name):
+    plan = bindings.QUERIES[name](spark, DIR)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
