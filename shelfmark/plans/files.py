@@ -23,6 +23,11 @@ def _one_file(df: DataFrame, by: str) -> DataFrame:
     return df.repartition(1).sortWithinPartitions(by).drop(by)
 
 
+def _parts(df: DataFrame, by: str) -> DataFrame:
+    """In files that, put together by name, are in order."""
+    return df.repartitionByRange(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), by).sortWithinPartitions(by).drop(by)
+
+
 def _xml(df: DataFrame) -> str:
     path = new_path(df.sparkSession, "feed")
     df.write.format("xml").option("rowTag", "offer").option("rootTag", "offers").save(path)
@@ -85,7 +90,7 @@ def xml_offers(spark, d):
         "price",
     )
     fields = {"model": "sku", "name": "<display>", "price": "price", "brand": "param:бренд", "url": "@href"}
-    read = feed_sources.read_supplier_xml(spark, _xml(_one_file(feed, "row_id")), "offer", fields)
+    read = feed_sources.read_supplier_xml(spark, _xml(_parts(feed, "row_id")), "offer", fields)
     numbered = dedupe.number_offers(dedupe.dedupe_offers(read).withColumn("source", F.lit("one")))
     return numbered.select("row_number", "source_model", "name", "price", "brand", "url")
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from shelfmark.functions.text import clean_text
+from shelfmark.storage import staged
 
 
 def read_offer_xml(spark: SparkSession, path: str, row_tag: str) -> DataFrame:
@@ -54,16 +55,21 @@ def selected(df: DataFrame, selector: str) -> Column:
 
 
 def read_supplier_xml(spark: SparkSession, path: str, row_tag: str, fields: dict[str, str]) -> DataFrame:
-    """Offers of a supplier's XML feed: row_number (position in the file, from 1), source_model, name, price, brand, url.
+    """Offers of a supplier's XML feed: row_number (position in the feed, from 1), source_model, name, price, brand, url. A folder's files, put together by name, are the feed; it is read once and stored.
 
     fields maps model, name, price, brand and url to selectors. Blank models are dropped, without a name the model is it.
     Dedupe and number afterwards (dedupe_offers, number_offers).
     """
-    df = spark.read.format("xml").option("rowTag", row_tag).option("inferSchema", "false").load(path)
+    df = spark.read.format("xml").option("rowTag", row_tag).option("inferSchema", "false").option("multiLine", True).load(path)
     get = {k: selected(df, fields[k]) if fields.get(k) else F.lit("") for k in ("model", "name", "price", "brand", "url")}
     name = F.when(get["name"] != "", get["name"]).otherwise(get["model"])
-    out = df.select((F.monotonically_increasing_id() + 1).alias("row_number"), get["model"].alias("source_model"), name.alias("name"), get["price"].alias("price"), get["brand"].alias("brand"), get["url"].alias("url"))
-    return out.where("source_model <> ''")
+    # a file is one task with multiLine: its rows come in order
+    read = df.select(F.col("_metadata.file_name").alias("_file"), F.monotonically_increasing_id().alias("_n"), get["model"].alias("source_model"), name.alias("name"), get["price"].alias("price"), get["brand"].alias("brand"), get["url"].alias("url"))
+    rows = staged(read, "supplier-feed")
+    files = rows.groupBy("_file").agg(F.min("_n").alias("_first"), F.count(F.lit(1)).alias("_rows"))
+    before = F.coalesce(F.sum("_rows").over(Window.orderBy("_file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = files.select("_file", (before - F.col("_first") + 1).alias("_start"))
+    return rows.join(F.broadcast(starts), "_file").select((F.col("_n") + F.col("_start")).alias("row_number"), "source_model", "name", "price", "brand", "url").where("source_model <> ''")
 
 
 def available_xml_fields(df: DataFrame, limit: int = 20) -> list[str]:

@@ -69,3 +69,12 @@ def test_costly_rows_are_spread(spark, name):
 def test_few_names_are_no_shuffle_keys(spark, name):
     plan = bindings.QUERIES[name](spark, DIR)._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+
+
+@tables
+def test_no_task_writes_a_whole_feed(spark):
+    out = files.xml_offers(spark, DIR)
+    want = duckdb.connect()
+    want.execute(f"CREATE VIEW part AS SELECT * FROM '{DIR}/part.parquet'")
+    assert sorted(map(tuple, out.collect())) == sorted(want.execute(bindings.ORACLE["xml_offers"]).fetchall())
+    assert "SinglePartition" not in files._parts(spark.range(8).select("id"), "id")._jdf.queryExecution().executedPlan().toString()
