@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfmark.llm import mixing, ngram_join, pii, piece_codec, toxicity
-from shelfmark.llm.common import WORD, small_batches, staged, table
+from shelfmark.llm.common import WORD, gathered, listed, small_batches, staged, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -22,24 +22,24 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose score is below 0.5 stay."""
     model = toxicity.learn(docs, table(spark, sf_dir, "labels"), ~toxicity.held_out(F.col("doc_id")))
-    return docs.where(toxicity.toxicity(F.col("text"), model) < 0.5).select(COLUMNS)
+    return gathered(docs.where(toxicity.toxicity(F.col("text"), model) < 0.5).select(COLUMNS))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest doc_id of each class of near copies stays (five words, 0.8); rows without a doc_id all stay."""
     small_batches(spark)
     classes = ngram_join.classes(docs, n=5, percent=80)
-    gone = staged(classes.where("doc_id <> component_id").select("doc_id").distinct(), "near-copies")
+    gone = staged(gathered(classes.where("doc_id <> component_id").select("doc_id").distinct()), "near-copies")
     few = gone.count() <= ngram_join.BROADCAST_IDS
     kept = docs.join(F.broadcast(gone) if few else gone.hint("shuffle_hash"), "doc_id", "left_anti")
-    return kept.select(COLUMNS)
+    return gathered(kept.select(COLUMNS)) if few else kept.select(COLUMNS)
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every span becomes its kind in brackets."""
     small_batches(spark)
     text = pii.redact(F.col("text"), pii.learn(docs))
-    return docs.withColumn("text", text).withColumn("n_chars", F.length("text").cast("long")).select(COLUMNS)
+    return gathered(docs.withColumn("text", text).withColumn("n_chars", F.length("text").cast("long")).select(COLUMNS))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -60,7 +60,7 @@ def placed(docs: DataFrame) -> DataFrame:
     part = lambda name: int(m[1]) if (m := re.match(r"part-(\d+)", name)) else 0
     files = sorted(sizes, key=lambda r: (part(r["_file"]), r["_file"]))
     starts = accumulate((r["count"] for r in files), initial=0)
-    first = docs.sparkSession.createDataFrame([(r["_file"], n) for r, n in zip(files, starts)], "_file string, _first long")
+    first = listed(docs.sparkSession, [(r["_file"], n) for r, n in zip(files, starts)], "_file string, _first long")
     return rows.join(F.broadcast(first), "_file").withColumn("position", F.col("_first") + F.col("_row")).drop("_file", "_row", "_first")
 
 

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfmark.storage import discard, shared_dir, small_batches, staged
+from shelfmark.storage import discard, gathered, listed, shared_dir, small_batches, staged
 
-__all__ = ["LOWER", "UPPER", "WORD", "ascii_lower", "discard", "partitions", "shared_dir", "small_batches", "staged", "table"]
+__all__ = ["LOWER", "UPPER", "WORD", "ascii_lower", "discard", "gathered", "listed", "partitions", "shared_dir", "small_batches", "staged", "table"]
 
 #: Words as the contracts define them: runs of anything but blank, tab, LF, VT, FF and CR.
 WORD = r"[^\x20\x09-\x0D]+"

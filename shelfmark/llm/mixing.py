@@ -17,7 +17,7 @@ from fractions import Fraction
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from shelfmark.llm.common import partitions, staged
+from shelfmark.llm.common import gathered, listed, partitions, staged
 
 WEIGHTS = (5, 2, 1)
 SHARE = Fraction(3, 2)
@@ -78,13 +78,13 @@ def assign(docs: DataFrame, source: str = "source", doc_id: str = "doc_id", size
     # a key that is never null, so that window and join share one exchange
     named = F.coalesce(F.concat(F.lit("s"), F.col(source).cast("string")), F.lit(""))
     keyed = rows.withColumn("_order", order).withColumn("_key", named).withColumn("_bucket", F.floor(F.conv(F.substring("_order", 1, 7), 16, 10).cast("long") * buckets / (1 << 28)).cast("int"))
-    sums = staged(keyed.groupBy(F.col("_key").alias("_of"), F.col("_bucket").alias("_at")).agg(F.sum("size").alias("_sum")), "mixing-sums")
+    sums = staged(gathered(keyed.groupBy(F.col("_key").alias("_of"), F.col("_bucket").alias("_at")).agg(F.sum("size").alias("_sum"))), "mixing-sums")
     by_source = sums.groupBy("_of").agg(F.sum("_sum").alias("n")).limit(MAX_SOURCES + 1).collect()
     if len(by_source) > MAX_SOURCES:
         raise ValueError(f"more than {MAX_SOURCES} sources")
     ranked = sorted(by_source, key=lambda r: (not r["_of"], r["_of"].encode("utf-8")))
     goal = targets([r["n"] for r in ranked], [weights[k % len(weights)] for k in range(len(ranked))], share)
-    plan = spark.createDataFrame([(r["_of"], r["n"], goal[k], k % len(schedules)) for k, r in enumerate(ranked)], "_of string, source_size long, target double, _schedule int")
+    plan = listed(spark, [(r["_of"], r["n"], goal[k], k % len(schedules)) for k, r in enumerate(ranked)], "_of string, source_size long, target double, _schedule int")
     running = F.sum("_sum").over(Window.partitionBy("_of").orderBy("_at").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("_sum")
     offsets = sums.withColumn("_before", running).join(plan.hint("shuffle_hash"), "_of").drop("_sum")
     inner = Window.partitionBy("_key", "_bucket").orderBy("_order", doc_id).rowsBetween(Window.unboundedPreceding, Window.currentRow)

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from shelfmark.llm.common import discard, partitions, staged
+from shelfmark.llm.common import discard, gathered, partitions, staged
 
 LEAF, FAN = 64, 8
 #: Sets of a group that one task takes; larger groups are cut into blocks.
@@ -383,9 +383,9 @@ def possible(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 def verified(pairs: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
     """Those of the pairs whose exact sets link."""
-    pairs = staged(pairs, "ngram-pairs")
+    pairs = staged(gathered(pairs), "ngram-pairs")
     ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    ids = staged(ids, "ngram-ids")
+    ids = staged(gathered(ids), "ngram-ids")
     ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids.hint("shuffle_hash")
 
     @F.pandas_udf("binary")
@@ -404,7 +404,7 @@ def verified(pairs: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFra
     sets = docs.join(ids, "doc_id", "left_semi").select("doc_id", exact("text").alias("s"))
     first = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("s").alias("x")).hint("merge"), "a")
     both = first.join(sets.select(F.col("doc_id").alias("b"), F.col("s").alias("y")).hint("merge"), "b")
-    return staged(both.where(link("x", "y")).select("a", "b").distinct(), "ngram-links")
+    return staged(gathered(both.where(link("x", "y")).select("a", "b").distinct()), "ngram-links")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -415,10 +415,10 @@ def components(links: DataFrame) -> DataFrame:
         both = edges.unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.where("v > u").join(least.hint("merge"), "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = staged(large.where("u > v").distinct(), "stars")
+        large = staged(gathered(large.where("u > v").distinct()), "stars")
         small_least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(small_least.hint("merge"), "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*")
-        edges = staged(small.where("u > v").distinct(), "stars")
+        edges = staged(gathered(small.where("u > v").distinct()), "stars")
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == state:
             break
@@ -435,19 +435,19 @@ def classes(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
     (component_id null). Rows of one doc_id count as one document. Ties do not matter: a component has no order. Texts may be of
     any length; an empty table gives an empty one; other columns of docs, whatever their names, are not looked at.
     """
-    table = staged(described(docs.select("doc_id", "text"), n, percent), "ngram-sets")
+    table = staged(gathered(described(docs.select("doc_id", "text"), n, percent)), "ngram-sets")
     usable = table.where("doc_id is not null and n_shingles > 0")
-    twins = staged(usable.groupBy("digest").agg(F.min("doc_id").alias("rep")), "ngram-twins")
+    twins = staged(gathered(usable.groupBy("digest").agg(F.min("doc_id").alias("rep"))), "ngram-twins")
     # a row goes on if it is the first of its class; the others are few, as a rule, and then the wide rows stay where they are
     others = usable.select("digest", "doc_id").join(twins.hint("merge"), "digest").where("doc_id <> rep").select("digest", "doc_id").distinct()
-    others = staged(others, "ngram-others")
+    others = staged(gathered(others), "ngram-others")
     reps = usable.join(F.broadcast(others) if others.count() <= BROADCAST_IDS else others.hint("merge"), ["digest", "doc_id"], "left_anti")
     if not usable.groupBy("digest", "doc_id").count().where("count > 1").isEmpty():
         reps = reps.dropDuplicates(["doc_id", "digest"])
     reps = reps.withColumnsRenamed({"doc_id": "id", "n_shingles": "n"})
-    reps = staged(reps.select("id", "n", "band", "prefix", "up", "bitmap", "wide"), "ngram-reps")
+    reps = staged(gathered(reps.select("id", "n", "band", "prefix", "up", "bitmap", "wide")), "ngram-reps")
     # from here on the wide rows are those of reps; of the others three columns are left
-    wide, table = table, staged(table.select("doc_id", "n_shingles", "digest"), "ngram-digests")
+    wide, table = table, staged(gathered(table.select("doc_id", "n_shingles", "digest")), "ngram-digests")
     discard(wide)
     # each shingle of a prefix, with the overlap that is left from its place on
     placed = reps.select("id", "n", "band", "up", F.posexplode("prefix").alias("at", "key"))
@@ -460,13 +460,13 @@ def classes(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
     size, left = (lambda c: F.shiftright(c, 32)), (lambda c: F.col(c).bitwiseAND((1 << 32) - 1))
     counted = counted.select("key", "band", "g", "a", "b", size("_low").alias("low"), size("_high").alias("high"), F.least(left("_low"), left("_high")).alias("rest"))
     two = (F.col("g") == 2) & ((100 + percent) * F.col("rest") >= percent * (F.col("low") + F.col("high"))) & (100 * F.col("low") >= percent * F.col("high"))
-    shared = staged(counted.where((F.col("g") > 2) | two).select("key", "band", "g", "a", "b"), "ngram-shared")
+    shared = staged(gathered(counted.where((F.col("g") > 2) | two).select("key", "band", "g", "a", "b")), "ngram-shared")
     sets = reps.select("id", "n", "bitmap")
     twos = possible(shared.where("g = 2").select("a", "b").distinct(), sets, percent)
     keys = shared.where("g > 2").select("key", "band", "g")
     keys = F.broadcast(keys) if keys.count() <= BROADCAST_IDS else keys.hint("shuffle_hash")
     groups = records.join(keys, ["key", "band"]).select("key", "band", "id", "n", "rest", "g")
-    groups = staged(viable(groups, percent), "ngram-groups")
+    groups = staged(gathered(viable(groups, percent)), "ngram-groups")
     maps = reps.select("id", "band", "bitmap").unionAll(reps.where("up > 0").select("id", F.col("band") + 1, "wide"))
 
     def with_sets(groups: DataFrame, comp: str) -> DataFrame:
@@ -477,18 +477,18 @@ def classes(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
         return cells.join(maps.hint("shuffle_hash"), ["id", "band"]).select("key", "band", "left", "right", "block", "id", "n", "rest", "comp", "bitmap")
 
     texts = docs.select("doc_id", "text")
-    found = staged(candidates(with_sets(groups, "id"), percent, True), "ngram-forests")
+    found = staged(gathered(candidates(with_sets(groups, "id"), percent, True)), "ngram-forests")
     likest = found.where("a is not null").groupBy("a", "b").agg(F.max("like").alias("like"))
     sure = verified(nearest(likest).unionAll(twos).distinct(), texts, n, percent)
-    known = staged(components(sure), "ngram-known")
+    known = staged(gathered(components(sure)), "ngram-known")
     # groups that had a pair, and still hold several components
     active = found.where("key is not null").select("key", "band").distinct()
     named_groups = staged(
         groups.join(active.hint("shuffle_hash"), ["key", "band"], "left_semi").join(known.hint("shuffle_hash"), "id", "left").withColumn("comp", F.coalesce("comp", "id")), "ngram-active"
     )
-    rest = candidates(with_sets(staged(viable(named_groups, percent), "ngram-mixed"), "comp"), percent, False)
+    rest = candidates(with_sets(staged(gathered(viable(named_groups, percent)), "ngram-mixed"), "comp"), percent, False)
     more = verified(rest.select("a", "b").distinct(), texts, n, percent)
-    final = staged(components(sure.unionAll(more)), "ngram-components").withColumnRenamed("id", "rep")
+    final = staged(gathered(components(sure.unionAll(more))), "ngram-components").withColumnRenamed("id", "rep")
     named = twins.join(final.hint("shuffle_hash"), "rep", "left").select("digest", F.coalesce("comp", "rep").alias("component_id"))
     out = table.select("doc_id", "n_shingles", "digest").withColumn("digest", F.when(F.col("n_shingles") > 0, F.col("digest")))
     out = out.join(named.hint("merge"), "digest", "left")

@@ -9,7 +9,10 @@ import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 #: Rows of an Arrow batch: texts may be long, and this bounds what a Python worker holds at once.
 BATCH_ROWS = 500
@@ -45,6 +48,20 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def gathered(df: DataFrame) -> DataFrame:
+    """df in four partitions a core, or an eighth of the shuffle partitions where that is more: what many small partitions hold becomes few files.
+    A file on a local disk costs some chmod processes, forked off the executor with all its memory (127 for 40 files). Not for a stage with a shuffled
+    hash join: a task keeps the tables of all partitions that it takes."""
+    spark = df.sparkSession
+    return df.coalesce(max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")) // 8))
+
+
+def listed(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A small table from rows of the driver, as Arrow: from a plain list executors would start a second set of Python workers for it."""
+    kinds = to_arrow_schema(StructType.fromDDL(schema))
+    return spark.createDataFrame(pa.Table.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(kinds)], schema=kinds))
+
+
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     """df by hash of keys in some partitions for each core: a table of few bytes is read by few tasks, however much is to be computed for each of its rows."""
     spark = df.sparkSession
