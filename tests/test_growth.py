@@ -78,3 +78,17 @@ def test_no_task_writes_a_whole_feed(spark):
     want.execute(f"CREATE VIEW part AS SELECT * FROM '{DIR}/part.parquet'")
     assert sorted(map(tuple, out.collect())) == sorted(want.execute(bindings.ORACLE["xml_offers"]).fetchall())
     assert "SinglePartition" not in files._parts(spark.range(8).select("id"), "id")._jdf.queryExecution().executedPlan().toString()
+
+
+def test_search_texts_and_their_sql_fold_alike(spark, tmp_path):
+    # blanks, forms, marks and cases that the driver's small tables lack
+    texts = {
+        None: "", "": "abc fi 1", "\u00a0 \n": "abc fi 1", " A\u2003\u3000B\t": "a b abc fi 1", "½…Ⅳ ﬀ\u0345": "1\u20442...iv ff\u0345 abc fi 1", "E\u0301\u212b ｶ\uff9e": "éå ガ abc fi 1",
+        "İ ẞ Straße": "i\u0307 ß straße abc fi 1", "ΟΔΟΣ ΣΣΣ'Α Σ ΑΣ’ς": "οδος σσσ'α σ ασ’ς abc fi 1", "\ua7dc": "\u019b abc fi 1", "A\x1cB": "a\x1cb abc fi 1",
+    }
+    path = str(tmp_path / "documents.parquet")
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1).write.parquet(path)
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{path}/*.parquet'")
+    got = dict(map(tuple, files.search_texts(spark, str(tmp_path)).collect()))
+    assert got == dict(con.execute(bindings.ORACLE["search_texts"]).fetchall()) == dict(enumerate(texts.values()))
